@@ -1,0 +1,42 @@
+"""Joins that stay balanced when one key holds a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A key is hot when it holds more than 1/HOT_KEYS of all rows, so there are always fewer than HOT_KEYS of them.
+HOT_KEYS = 50_000
+# Keys below this many rows fit one task and are never worth splitting.
+HOT_MIN_ROWS = 1_000_000
+
+
+def hot_keys(counted: DataFrame, keys: list[str], rows: str, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
+    """Keys to split and in how many ways, from a table with one row and a row count per key.
+
+    The counts add up to the total and every hot key exceeds total / HOT_KEYS, hence fewer than HOT_KEYS
+    rows come back whatever the data; that bound is what makes broadcasting them safe.
+    """
+    total = counted.select(F.sum(rows)).scalar()
+    share = F.greatest(total / F.lit(float(HOT_KEYS)), F.lit(float(min_rows)))
+    return counted.where(F.col(rows) > share).select(*keys, F.ceil(F.col(rows) / share).cast("int").alias("ways"))
+
+
+def salted_lookup(big: DataFrame, lookup: DataFrame, keys: list[str], spread_by: list[str],
+                  hot: DataFrame | None = None, min_rows: int = HOT_MIN_ROWS, rows: int | None = None) -> DataFrame:
+    """Left join of ``big`` to ``lookup`` (one row per key), hot keys split over many tasks.
+
+    Rows of a hot key are spread by a hash of ``spread_by``; the single lookup row of that key is repeated
+    once per split. Cold keys take a plain shuffle join. The result is the same as ``big.join(lookup, keys, 'left')``,
+    and that is what runs when ``rows``, an upper bound on the rows of ``big``, rules hot keys out.
+    """
+    if rows is not None and rows <= min_rows:
+        return big.join(lookup, keys, "left")
+    if hot is None:
+        counted = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+        hot = hot_keys(counted, keys, "_rows", min_rows)
+    marked = big.join(F.broadcast(hot), keys, "left").withColumn(
+        "_salt", F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("ways")).cast("int"), F.lit(0))).drop("ways")
+    spread = lookup.join(F.broadcast(hot), keys, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("ways"), F.lit(1)) - 1))).drop("ways")
+    return marked.join(spread, [*keys, "_salt"], "left").drop("_salt")
