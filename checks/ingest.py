@@ -111,7 +111,7 @@ def holiday_proximity(spark, sf_dir):
 
 # The holidays of each year by weekday rule, enumerated from a dense day table.
 RULE_DAYS = """
-  years AS (SELECT DISTINCT year(o_orderdate) AS y FROM orders),
+  years AS (SELECT year(o_orderdate) AS y FROM orders UNION SELECT year(ts) FROM events),
   days AS (SELECT CAST(unnest(generate_series(make_date(min(y), 1, 1), make_date(max(y) + 1, 12, 31), INTERVAL 1 DAY)) AS DATE) AS d FROM years),
   rule_days AS (SELECT d FROM days WHERE strftime(d, '%m-%d') IN ('01-01', '07-04', '11-11', '12-25', '12-31')
     OR (isodow(d) = 1 AND ((month(d) = 1 AND day(d) BETWEEN 15 AND 21) OR (month(d) = 2 AND day(d) BETWEEN 15 AND 21)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from hotspan.functions.geo import EARTH_RADIUS_KM, haversine_km, unit_sphere
 from hotspan.operators.components import connected_components
 from hotspan.skew import HOT_MIN_ROWS, hot_keys, salted_lookup
-from hotspan.storage import spread_out, write_once
+from hotspan.storage import spread_out, write_measured, write_once
 
 EPS_KM, MIN_SAMPLES = 0.5, 3
 
@@ -126,9 +126,8 @@ def fit_clusters(incidents: DataFrame, eps_km: float = EPS_KM, min_samples: int
         incidents.groupBy("latitude", "longitude").agg(
             F.count(F.lit(1)).alias("n"), F.min("incident_id").alias("loc_id"))
         .withColumns(dict(zip(AXES, positions))))
-    cubes = write_once(_boxes(locations, 0))
+    cubes, rows = write_measured(_boxes(locations, 0), F.sum("n"))
     hot = hot_keys(cubes, ["cube"], "n", min_rows)
-    rows = cubes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     sparse = _sparse_locations(locations, cubes, min_samples, min_rows if rows > min_rows else None)
     dense = cubes.where(F.col("n") >= min_samples)
@@ -202,7 +201,8 @@ def _neighbour_pairs(items: DataFrame, eps_km: float) -> DataFrame:
     shell = centre2.between(max(0.0, REACH / chord - 1) ** 2, (REACH / chord + 1) ** 2)
     a = a.where(shell & (_gap2("a_", "b_") <= REACH ** 2 * (1 + SLACK)))
     a = a.select(*[f"a_{c}" for c in ITEM], F.struct(*[F.col(f"b_lo_{x}").alias(x) for x in AXES]).alias("b_cube"))
-    return _judged(a.join(_side(items, "b", ITEM), "b_cube"), eps_km)
+    # Partitioning by the join key here also keeps the two expression-heavy halves in separate stages.
+    return _judged(a.repartition("b_cube").join(_side(items, "b", ITEM), "b_cube"), eps_km)
 
 
 def _opened(pairs: DataFrame, side: str, parts: DataFrame) -> DataFrame:
@@ -210,12 +210,12 @@ def _opened(pairs: DataFrame, side: str, parts: DataFrame) -> DataFrame:
 
     ``parts`` has the same columns as an item without its owner, keyed by ``cube``, plus the part's own ``part``.
     """
-    whole = pairs.where(F.col(f"{side}_m") == 1)
-    kept = [c for c in pairs.columns if c in (f"{side}_gid", f"{side}_dense", f"{side}_cube") or not c.startswith(f"{side}_")]
     inner = ["n", "m", "latitude", "longitude", *BOX]
-    renamed = parts.select(F.col("cube").alias(f"{side}_cube"), "part", *[F.col(c).alias(f"{side}_{c}") for c in inner])
-    split = pairs.where(F.col(f"{side}_m") > 1).select(*kept).join(renamed, f"{side}_cube")
-    return whole.unionByName(split.withColumn(f"{side}_cube", F.col("part")).select(*whole.columns))
+    keyed = parts.select(F.col("cube").alias("_cube"), F.col("part").alias("_cube_in"),
+                         *[F.col(c).alias(f"_{c}_in") for c in inner])
+    joined = pairs.join(keyed, (F.col(f"{side}_cube") == F.col("_cube")) & (F.col(f"{side}_m") > 1), "left")
+    finer = {f"{side}_{c}": F.coalesce(f"_{c}_in", f"{side}_{c}").alias(f"{side}_{c}") for c in ["cube", *inner]}
+    return joined.select(*[finer.get(c, F.col(c)) for c in pairs.columns])
 
 
 def _links(items: DataFrame, locations: DataFrame, cubes: DataFrame, eps_km: float, leaf_pairs: int,
@@ -231,11 +231,14 @@ def _links(items: DataFrame, locations: DataFrame, cubes: DataFrame, eps_km: flo
 
     position = [F.col(a) for a in AXES]
     level, boxes = 0, cubes
-    pairs = write_once(_neighbour_pairs(items, eps_km))
+    undecided = F.count_if(F.col("near").isNull())
+    pairs, left = write_measured(_neighbour_pairs(items, eps_km), undecided)
     found = []
     while True:
         near, open_ = pairs.where("near"), pairs.where(F.col("near").isNull())
         found.append(summed(near))
+        if left == 0:
+            break
         joined = near.where(F.col("a_dense") & F.col("b_dense")).select("a_gid", "b_gid").distinct()
         # A pair of dense cubes that already touches needs no further look.
         open_ = open_.join(joined, ["a_gid", "b_gid"], "left_anti").drop("near")
@@ -259,7 +262,7 @@ def _links(items: DataFrame, locations: DataFrame, cubes: DataFrame, eps_km: flo
         parts = boxes.withColumnRenamed("cube", "part").withColumn("cube", F.struct(
             *[F.shiftright(F.col(f"part.{a}"), 1).alias(a) for a in AXES]))
         halfway = _judged(_opened(large, "a", parts), eps_km).drop("near")
-        pairs = write_once(_judged(_opened(halfway, "b", parts), eps_km))
+        pairs, left = write_measured(_judged(_opened(halfway, "b", parts), eps_km), undecided)
     links = found[0]
     for more in found[1:]:
         links = links.unionByName(more)

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hotspan.skew import HOT_MIN_ROWS, salted_lookup
-from hotspan.storage import write_once
+from hotspan.storage import write_measured, write_once
 
 # The edge set shrinks by a constant factor per round, so this is far beyond any real graph.
 MAX_ROUNDS = 100
-# Times the moves of a round are composed with themselves.
-JUMPS = 2
+# Further moves each node follows within a round.
+JUMPS = 3
 
 
 def _scatter(node: Column) -> Column:
@@ -24,37 +24,36 @@ def _scatter(node: Column) -> Column:
 def connected_components(edges: DataFrame, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
     """(node, component) for every node of the undirected edges (u, v); a component is named by its smallest node.
 
-    Each round every node moves to its lowest-ranked neighbour, jumps along those moves twice, and the edges are
-    rewritten between the places reached. Any such move keeps a component connected, and with scattered ranks it
-    removes most of the nodes, so the number of rounds grows with the logarithm of the graph and the edge table
-    shrinks geometrically. Hubs are looked up with salted keys.
+    Each round every node moves to its lowest-ranked neighbour and follows the moves found there a few times; then the
+    edges are rewritten between the places reached. Any such move keeps a component connected, and with scattered
+    ranks it removes most of the nodes, so the number of rounds grows with the logarithm of the graph and the edge
+    table shrinks geometrically. Hubs are looked up with salted keys. The edge table is read twice.
     """
-    ends = edges.where(F.col("u") != F.col("v")).select(F.col("u"), F.col("v"))
-    links = write_once(ends.select("u", "v", _scatter(F.col("u")).alias("low"), _scatter(F.col("v")).alias("high")))
-    nodes = links.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("low").alias("rank")),
-                                           F.struct(F.col("v").alias("node"), F.col("high").alias("rank")))).alias("s")
-                         ).select("s.*").distinct()
-    links, moves = _ordered(links), []
-    while (size := links.count()) > 0:
+    ends = edges.where(F.col("u") != F.col("v"))
+    nodes = ends.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("rank", _scatter(F.col("node")))
+    links = ends.select(_scatter(F.col("u")).alias("low"), _scatter(F.col("v")).alias("high"))
+    (links, size), moves = write_measured(_ordered(links)), []
+    while size > 0:
         if len(moves) == MAX_ROUNDS:
             raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
         bounds = {"min_rows": min_rows, "rows": size}
-        hop = links.groupBy(F.col("high").alias("rank")).agg(F.min("low").alias("to"))
+        step = links.groupBy(F.col("high").alias("rank")).agg(F.min("low").alias("to"))
+        hop = step
         for _ in range(JUMPS):
-            hop = _moved(hop, "to", hop, **bounds)
+            hop = _moved(hop, "to", step, **bounds)
         hop = write_once(hop)
         moves.append((hop, size))
-        links = write_once(_ordered(_moved(_moved(links, "low", hop, **bounds), "high", hop, **bounds)))
+        links, size = write_measured(_ordered(_moved(_moved(links, "low", hop, **bounds), "high", hop, **bounds)))
     if not moves:
         return nodes.select("node", F.col("node").alias("component"))
     reached, _ = moves.pop()
     for earlier, size in reversed(moves):
         later = _moved(earlier, "to", reached, min_rows=min_rows, rows=size)
         reached = later.unionByName(reached.join(earlier, "rank", "left_anti"))
-    settled = write_once(nodes.join(reached, "rank", "left").select(
+    settled, size = write_measured(nodes.join(reached, "rank", "left").select(
         "node", F.coalesce("to", "rank").alias("root")))
     names = settled.groupBy("root").agg(F.min("node").alias("component"))
-    return salted_lookup(settled, names, ["root"], ["node"], min_rows=min_rows, rows=settled.count()).select(
+    return salted_lookup(settled, names, ["root"], ["node"], min_rows=min_rows, rows=size).select(
         "node", "component")
 
 

@@ -17,6 +17,8 @@ from hotspan.storage import write_once
 
 TOP_HOTSPOTS = 10
 CELLS_PER_DEGREE = 100
+# Coordinates are summed as decimals (a tenth of a millimetre), so a centroid does not depend on the order of the rows.
+EXACT = "decimal(13,9)"
 
 COLUMNS = [
     "rank", "latitude", "longitude", "incident_count", "weighted_score", "cluster_radius_km", "dominant_type",
@@ -77,7 +79,7 @@ def cluster_facts(incidents: DataFrame, fitted: Clustering, use_recency: bool =
     members = labelled.where(F.col("cluster_id").isNotNull()).withColumn("band", band)
     return members.groupBy("cluster_id", "incident_type", "hour", "day_of_week").agg(
         F.count(F.lit(1)).alias("count"), F.sum("recency_weight").alias("weight"),
-        F.sum("latitude").alias("lat_sum"), F.sum("longitude").alias("lon_sum"),
+        F.sum(F.col("latitude").cast(EXACT)).alias("lat_sum"), F.sum(F.col("longitude").cast(EXACT)).alias("lon_sum"),
         F.min("incident_id").alias("first_id"),
         *[F.count_if(F.col("band") == b).alias(b) for b in ("recent", "older", "very_old")])
 
@@ -88,7 +90,8 @@ def hotspot_profiles(incidents: DataFrame, fitted: Clustering, n: int | None = N
     facts = write_once(cluster_facts(incidents, fitted, use_recency))
     totals = facts.groupBy("cluster_id").agg(
         F.sum("count").alias("incident_count"), F.sum("weight").alias("weight"),
-        (F.sum("lat_sum") / F.sum("count")).alias("lat"), (F.sum("lon_sum") / F.sum("count")).alias("lon"),
+        (F.sum("lat_sum").cast("double") / F.sum("count")).alias("lat"),
+        (F.sum("lon_sum").cast("double") / F.sum("count")).alias("lon"),
         F.min("first_id").alias("first_incident_id"),
         *[F.sum(b).alias(b) for b in ("recent", "older", "very_old")]
     ).withColumn("weighted_score", bround(F.col("weight"), 2))

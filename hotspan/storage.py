@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,6 +28,17 @@ def write_once(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_measured(df: DataFrame, measure: Column | None = None) -> tuple[DataFrame, int]:
+    """``write_once`` plus one number observed on the way, by default the row count, without a second job.
+
+    A retried stage may report more than the table holds, never less, so use it as an upper bound or to test for zero.
+    """
+    seen = Observation()
+    value = F.count(F.lit(1)) if measure is None else measure
+    table = write_once(df.observe(seen, F.coalesce(value, F.lit(0)).alias("value")))
+    return table, seen.get["value"]
+
+
 def spread_out(df: DataFrame) -> DataFrame:
     """Even partitions, at least one per core, ahead of a step that does much work per row on a compact table."""
     spark = df.sparkSession
