@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -38,10 +39,23 @@ def to_double(col: Column) -> Column:
     return F.when(plain & ~F.isnan(number) & (F.abs(number) < F.lit(float("inf"))), number)
 
 
+def _shape(layout: str) -> str:
+    """Regular expression for the look of a date layout: doubled letters are two digits, single ones one or two."""
+    digits = {"yyyy": r"\d{4}", "a": "[AaPp][Mm]"}
+    tokens = re.finditer(r"'([^']*)'|([a-zA-Z])\2*|[^a-zA-Z']", layout)
+    return "^" + "".join(
+        re.escape(t.group(1)) if t.group(1) is not None
+        else digits.get(t.group(), r"\d{2}" if len(t.group()) == 2 else r"\d{1,2}") if t.group(2)
+        else re.escape(t.group()) for t in tokens) + "$"
+
+
 def to_timestamp_any(col: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
-    """First layout that parses the text, else NULL."""
+    """First layout that parses the text, else NULL.
+
+    A layout is only tried on text of its shape: a failed parse costs far more than the check.
+    """
     text = blank_to_null(col)
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+    return F.coalesce(*[F.when(text.rlike(_shape(f)), F.try_to_timestamp(text, F.lit(f))) for f in formats])
 
 
 def parse_pct(col: Column) -> Column:
@@ -49,14 +63,9 @@ def parse_pct(col: Column) -> Column:
     return to_double(F.regexp_replace(F.trim(col.cast("string")), "^%+|%+$", ""))
 
 
-def _hour_with(col: Column, formats: tuple[str, ...]) -> Column:
-    text = blank_to_null(col)
-    return F.hour(F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]))
-
-
 def hour_candidates(col: Column) -> list[Column]:
     """Hour under each layout family, strictest first, free form last."""
-    return [_hour_with(col, (f,)) for f in TIME_FORMATS] + [_hour_with(col, FREE_TIME_FORMATS)]
+    return [F.hour(to_timestamp_any(col, (f,))) for f in TIME_FORMATS] + [F.hour(to_timestamp_any(col, FREE_TIME_FORMATS))]
 
 
 def parse_hour(df: DataFrame, source: Column, policy: str = "column") -> Column:
@@ -72,7 +81,7 @@ def parse_hour(df: DataFrame, source: Column, policy: str = "column") -> Column:
     if policy != "column":
         raise ValueError(f"unknown policy {policy!r}: use 'column' or 'row'")
     chosen = (
-        df.select(F.struct(*[F.count(c).alias(f"f{i}") for i, c in enumerate(candidates)]).alias("parsed"))
+        df.select(F.struct(*[F.count(c).alias(f"f{i}") for i, c in enumerate(candidates[:-1])]).alias("parsed"))
         .scalar()
     )
     # Nested from the last candidate outwards: f0 if it parsed anything, else f1, else f2.
