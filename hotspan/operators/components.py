@@ -15,10 +15,15 @@ JUMPS = 3
 
 
 def _scatter(node: Column) -> Column:
-    """One-to-one mixing of 64-bit ids (xorshift), so that neighbours in id order are not neighbours in rank order."""
-    x = node.bitwiseXOR(F.shiftleft(node, 13))
-    x = x.bitwiseXOR(F.shiftrightunsigned(x, 7))
-    return x.bitwiseXOR(F.shiftleft(x, 17))
+    """One-to-one mixing of 64-bit ids, so that neighbours in id order are not neighbours in rank order.
+
+    Each half is combined with a hash of the other one, which can be undone and therefore never merges two ids.
+    """
+    half = F.lit(0xFFFFFFFF)
+    low, high = node.bitwiseAND(half), F.shiftrightunsigned(node, 32)
+    first = high.bitwiseXOR(F.xxhash64(low).bitwiseAND(half))
+    second = low.bitwiseXOR(F.xxhash64(first).bitwiseAND(half))
+    return F.shiftleft(first, 32).bitwiseOR(second)
 
 
 def connected_components(edges: DataFrame, min_rows: int = HOT_MIN_ROWS) -> DataFrame:

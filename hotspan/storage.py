@@ -36,7 +36,7 @@ def write_measured(df: DataFrame, measure: Column | None = None) -> tuple[DataFr
     seen = Observation()
     value = F.count(F.lit(1)) if measure is None else measure
     table = write_once(df.observe(seen, F.coalesce(value, F.lit(0)).alias("value")))
-    return table, seen.get["value"]
+    return table, seen.get.get("value", 0)
 
 
 def spread_out(df: DataFrame) -> DataFrame:
