@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hotspan.llm import licenses, mixing, secrets, topk
+from hotspan.llm import fit_packing, langid, licenses, mixing, secrets, tier_packing, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def fold(doc_id: str, of: int, number: int) -> Column:
+    """True for rows whose crc32(doc_id as text) leaves ``number`` modulo ``of``; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % of == number
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -48,6 +53,24 @@ FROM ord JOIN bud ON ord.source IS NOT DISTINCT FROM bud.source
 """
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from three quarters of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold("doc_id", 4, 2)
+    network = langid.fit(docs, ~held_out)
+    return langid.identify(docs, network).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op5_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in rows of 1024 token ids."""
+    return fit_packing.pack_rows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of up to 1024 token ids."""
+    return tier_packing.pack_tiers(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -88,6 +111,9 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: name -> (query, SQL or None)
 QUERIES = {
     "op3_mix_sources": (op3_mix_sources, OP3_SQL),
+    "op4_language_id": (op4_language_id, None),
+    "op5_fit_packing": (op5_fit_packing, None),
+    "op6_tier_packing": (op6_tier_packing, None),
     "op7_secret_scan": (op7_secret_scan, None),
     "op8_exact_top_k": (op8_exact_top_k, OP8_SQL),
     "op10_license_scan": (op10_license_scan, None),
