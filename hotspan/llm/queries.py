@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hotspan.llm import fit_packing, langid, licenses, mixing, secrets, tier_packing, topk
+from hotspan.llm import fingerprints, fit_packing, langid, licenses, mixing, quality, secrets, tier_packing, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,13 @@ def fold(doc_id: str, of: int, number: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % of == number
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from two thirds of the labelled ones."""
+    held_out = fold("doc_id", 3, 1)
+    scored = quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -103,6 +110,11 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and passages in every document."""
     return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -110,11 +122,13 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: name -> (query, SQL or None)
 QUERIES = {
+    "op1_quality": (op1_quality, None),
     "op3_mix_sources": (op3_mix_sources, OP3_SQL),
     "op4_language_id": (op4_language_id, None),
     "op5_fit_packing": (op5_fit_packing, None),
     "op6_tier_packing": (op6_tier_packing, None),
     "op7_secret_scan": (op7_secret_scan, None),
     "op8_exact_top_k": (op8_exact_top_k, OP8_SQL),
+    "op9_fingerprints": (op9_fingerprints, None),
     "op10_license_scan": (op10_license_scan, None),
 }
