@@ -18,9 +18,9 @@ STATISTICS = (
     "symbol_ends", "symbol_words", "distinct", "repeated_triples", "log_lines", "repeated_lines", "letters_outside_ascii",
     "long_words", "capital_words")
 #: Share of the pooled spherical covariance in each class covariance, at least; small classes get more.
-SHRINKAGE = 0.05
+SHRINKAGE = 0.5
 #: Standardised statistics beyond this many deviations count as this many.
-CLIP = 8.0
+CLIP = 3.0
 
 _UPPER, _LOWER, _DIGIT, _MARK, _SYMBOL, _SPACE, _LINE, _HIGH = range(8)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hotspan.llm import fingerprints, fit_packing, langid, licenses, mixing, quality, secrets, tier_packing, topk
+from hotspan.llm import fingerprints, fit_packing, langid, licenses, mixing, partenum, quality, secrets, tier_packing, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share 85 % of their four-word shingles."""
+    found = partenum.components(table(spark, sf_dir, "documents").select("doc_id", "text"), partenum.Join(words=4, percent=85))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -123,6 +129,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: name -> (query, SQL or None)
 QUERIES = {
     "op1_quality": (op1_quality, None),
+    "op2_jaccard_join": (op2_jaccard_join, None),
     "op3_mix_sources": (op3_mix_sources, OP3_SQL),
     "op4_language_id": (op4_language_id, None),
     "op5_fit_packing": (op5_fit_packing, None),
