@@ -297,7 +297,7 @@ def _labels(items: DataFrame, singles: DataFrame, links: DataFrame, min_rows: in
     edges = flagged.where(F.col("a_core") & F.col("b_core")).select(
         F.col("a_gid").alias("u"), F.col("b_gid").alias("v")).unionByName(
         mates.where("is_core").select(F.col("first").alias("u"), F.col("gid").alias("v")))
-    parts = connected_components(edges, min_rows)
+    parts = connected_components(edges)
     nodes = items.where("dense").select("gid").unionByName(core.select("gid"))
     named = write_once(nodes.join(parts.withColumnRenamed("node", "gid"), "gid", "left").select(
         "gid", F.coalesce("component", "gid").alias("cluster_id")))

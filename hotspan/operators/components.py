@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hotspan.skew import HOT_MIN_ROWS, salted_lookup
 from hotspan.storage import write_measured, write_once
 
-# The edge set shrinks by a constant factor per round, so this is far beyond any real graph.
-MAX_ROUNDS = 100
-# Further moves each node follows within a round.
-JUMPS = 3
+# Doublings of the path each node follows within a round.
+DOUBLINGS = 2
+# Rounds that may pass while the edge table does not get smaller. Every round with an edge removes one, so this never
+# happens; it guards against a defect that would loop for ever.
+STALLED = 3
 
 
 def _scatter(node: Column) -> Column:
@@ -26,40 +26,32 @@ def _scatter(node: Column) -> Column:
     return F.shiftleft(first, 32).bitwiseOR(second)
 
 
-def connected_components(edges: DataFrame, min_rows: int = HOT_MIN_ROWS) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the undirected edges (u, v); a component is named by its smallest node.
 
     Each round every node moves to its lowest-ranked neighbour and follows the moves found there a few times; then the
-    edges are rewritten between the places reached. Any such move keeps a component connected, and with scattered
-    ranks it removes most of the nodes, so the number of rounds grows with the logarithm of the graph and the edge
-    table shrinks geometrically. Hubs are looked up with salted keys. The edge table is read twice.
+    edges are rewritten between the places reached, and every node's place moves along. Any such move keeps a component
+    connected, and with scattered ranks it removes most of the nodes, so the number of rounds grows with the logarithm
+    of the graph and the edge table shrinks geometrically. Every step is written and read back, so that no plan has more
+    than two joins however many rounds there are; joins at hubs are left to adaptive execution. The edge table is read twice.
     """
     ends = edges.where(F.col("u") != F.col("v"))
-    nodes = ends.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("rank", _scatter(F.col("node")))
-    links = ends.select(_scatter(F.col("u")).alias("low"), _scatter(F.col("v")).alias("high"))
-    (links, size), moves = write_measured(_ordered(links)), []
+    nodes = ends.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    place = write_once(nodes.select("node", _scatter(F.col("node")).alias("at")))
+    links, size = write_measured(_ordered(ends.select(_scatter(F.col("u")).alias("low"), _scatter(F.col("v")).alias("high"))))
+    stalled = 0
     while size > 0:
-        if len(moves) == MAX_ROUNDS:
-            raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-        bounds = {"min_rows": min_rows, "rows": size}
-        step = links.groupBy(F.col("high").alias("rank")).agg(F.min("low").alias("to"))
-        hop = step
-        for _ in range(JUMPS):
-            hop = _moved(hop, "to", step, **bounds)
-        hop = write_once(hop)
-        moves.append((hop, size))
-        links, size = write_measured(_ordered(_moved(_moved(links, "low", hop, **bounds), "high", hop, **bounds)))
-    if not moves:
-        return nodes.select("node", F.col("node").alias("component"))
-    reached, _ = moves.pop()
-    for earlier, size in reversed(moves):
-        later = _moved(earlier, "to", reached, min_rows=min_rows, rows=size)
-        reached = later.unionByName(reached.join(earlier, "rank", "left_anti"))
-    settled, size = write_measured(nodes.join(reached, "rank", "left").select(
-        "node", F.coalesce("to", "rank").alias("root")))
-    names = settled.groupBy("root").agg(F.min("node").alias("component"))
-    return salted_lookup(settled, names, ["root"], ["node"], min_rows=min_rows, rows=size).select(
-        "node", "component")
+        hop = write_once(links.groupBy(F.col("high").alias("rank")).agg(F.min("low").alias("to")))
+        for _ in range(DOUBLINGS):
+            hop = write_once(_moved(hop, "to", hop))
+        place = write_once(_moved(place, "at", hop))
+        links, left = write_measured(_ordered(_moved(_moved(links, "low", hop), "high", hop)))
+        stalled = stalled + 1 if left >= size else 0
+        if stalled == STALLED:
+            raise RuntimeError("components do not settle")
+        size = left
+    names = place.groupBy("at").agg(F.min("node").alias("component"))
+    return place.join(names, "at").select("node", "component")
 
 
 def _ordered(links: DataFrame) -> DataFrame:
@@ -68,9 +60,8 @@ def _ordered(links: DataFrame) -> DataFrame:
         F.least("low", "high").alias("low"), F.greatest("low", "high").alias("high")).distinct()
 
 
-def _moved(table: DataFrame, column: str, hop: DataFrame, min_rows: int, rows: int) -> DataFrame:
+def _moved(table: DataFrame, column: str, hop: DataFrame) -> DataFrame:
     """Replace a column by where its node moves; a node without a move stays."""
     target = hop.select(F.col("rank").alias(column), F.col("to").alias("_moved"))
     others = [c for c in table.columns if c != column]
-    found = salted_lookup(table, target, [column], others, min_rows=min_rows, rows=rows)
-    return found.select(*others, F.coalesce("_moved", column).alias(column))
+    return table.join(target, column, "left").select(*others, F.coalesce("_moved", column).alias(column))

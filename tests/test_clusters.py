@@ -104,9 +104,8 @@ def components_by_search(edges):
     return {x: find(x) for x in list(parent)}
 
 
-@pytest.mark.parametrize("min_rows", [1_000_000, 0])
 @pytest.mark.parametrize("shape", ["path", "star", "random", "none"])
-def test_components(spark, shape, min_rows):
+def test_components(spark, shape):
     rng = np.random.default_rng(3)
     edges = {
         "path": [(i, i + 1) for i in range(-50, 250)],
@@ -116,5 +115,29 @@ def test_components(spark, shape, min_rows):
     }[shape]
     edges = [e for e in edges if e[0] != e[1]]
     df = spark.createDataFrame(edges, "u long, v long")
-    got = {r.node: r.component for r in connected_components(df, min_rows).collect()}
+    got = {r.node: r.component for r in connected_components(df).collect()}
     assert got == components_by_search(edges)
+
+
+def test_component_plans_stay_small(spark, monkeypatch):
+    """No plan of any round has more than two joins or three scans, on a long path as on a star."""
+    from hotspan import storage
+    from hotspan.operators import components
+
+    plans = []
+
+    def recorded(df, *args, **kwargs):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, *args, **kwargs)
+
+    write = storage.write_once
+    monkeypatch.setattr(components, "write_once", recorded)
+    monkeypatch.setattr(storage, "write_once", recorded)
+    n = 3000
+    path = spark.range(n).selectExpr("id u", "id + 1 v")
+    star = spark.range(1, n).selectExpr("1000000 u", "1000000 + id v")
+    got = {r.node: r.component for r in components.connected_components(path.union(star)).collect()}
+    assert set(got.values()) == {0, 1000000} and len(got) == 2 * n + 1
+    assert len(plans) > 10
+    for text in plans:
+        assert text.count("Join") <= 2 and text.count("Relation [") <= 3
