@@ -21,6 +21,8 @@ BAND = 1.5
 MEET = 1 << 21
 #: Rounds that compare open buckets with one more of their members each, before what is left is compared pair by pair.
 ROUNDS = 2
+#: Times that sets without enough shared values drop out in each round; every time makes more values unshared.
+PEELINGS = 2
 
 
 @dataclass(frozen=True)
@@ -224,7 +226,7 @@ def with_values(docs: DataFrame, wanted: DataFrame, join: Join, doc_id: str, tex
 
 
 def linked(pairs: DataFrame, values: DataFrame, join: Join) -> DataFrame:
-    """The pairs (u, v) of keys whose sets link; both sets are compared value by value."""
+    """The pairs (u, v) of ids whose sets link; both sets are compared value by value. ``un`` and ``vn`` are their sizes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             us, vs = [], []
@@ -237,35 +239,40 @@ def linked(pairs: DataFrame, values: DataFrame, join: Join) -> DataFrame:
                     vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    a = values.select(F.col("id").alias("u"), F.col("n").alias("un"), F.col("values").alias("a"), F.col("key").alias("uk"))
-    b = values.select(F.col("id").alias("v"), F.col("n").alias("vn"), F.col("values").alias("b"), F.col("key").alias("vk"))
-    sized = pairs.join(values.groupBy("id").agg(F.max("n").alias("un")).withColumnRenamed("id", "u"), "u").join(
-        values.groupBy("id").agg(F.max("n").alias("vn")).withColumnRenamed("id", "v"), "v")
-    near = sized.where(100 * F.least("un", "vn") >= join.percent * F.greatest("un", "vn")).select("u", "v")
-    both = near.join(a.drop("un", "uk"), "u").join(b.drop("vn", "vk"), "v")
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint").distinct()
+    a, b = (values.select(F.col("id").alias(i), F.col("values").alias(v)) for i, v in (("u", "a"), ("v", "b")))
+    near = pairs.where(100 * F.least("un", "vn") >= join.percent * F.greatest("un", "vn")).select("u", "v").distinct()
+    return near.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint").distinct()
 
 
-def _leaders(members: DataFrame, weight: DataFrame) -> DataFrame:
-    """One member of each bucket: the one with the most shared signatures, which is the most central of many near copies."""
-    weighed = members.join(weight, "id")
-    return weighed.groupBy("sig").agg(F.max(F.struct("shared", "id")).getField("id").alias("leader"))
+def _led(members: DataFrame, weight: DataFrame) -> DataFrame:
+    """Members (sig, id, n) with the leader of their bucket and its size, the leader's own row left out.
+
+    The leader has the most shared signatures, and so is the most central of many near copies.
+    """
+    best = members.join(weight, "id").groupBy("sig").agg(F.max(F.struct("shared", "id", "n")).alias("best"))
+    leaders = best.select("sig", F.col("best.id").alias("leader"), F.col("best.n").alias("leader_n"))
+    return members.join(leaders, "sig").where("id <> leader")
 
 
 def _open(members: DataFrame, joined: DataFrame) -> DataFrame:
-    """Buckets with members of several components, as (sig, id, component)."""
-    named = members.join(joined, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
+    """Members of the buckets that reach over several components, with their component."""
+    named = members.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = named.groupBy("sig").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
     return named.join(mixed.select("sig"), "sig", "left_semi")
 
 
+def could_link(shared, size, other_size, percent: int):
+    """Whether a set can link with one of the other size, if at most ``shared`` of its values are in any other set."""
+    return 100 * shared >= percent * (size + other_size - shared)
+
+
 def _peeled(members: DataFrame, values: DataFrame, join: Join) -> DataFrame:
-    """Members that could still link: ``percent`` of their values are also in another set of an open bucket.
+    """Members that could still link, with ``shared``: how many of their values another set of an open bucket has too.
 
-    Linked sets have at least that share of each in common, so a set with fewer shared values links with none.
+    Two linked sets have in common no more than either's shared values; what is too little for the smallest possible
+    partner in the bucket drops out.
     """
-    ids = members.select("id").distinct()
-    own = values.join(ids, "id", "left_semi").select("id", "n", "values")
+    own = values.join(members.select("id").distinct(), "id", "left_semi").select("id", "n", "values")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,60 +284,72 @@ def _peeled(members: DataFrame, values: DataFrame, join: Join) -> DataFrame:
     rows = own.mapInArrow(spread, "value bigint, id bigint")
     alone = rows.groupBy("value").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
     single = alone.groupBy("id").agg(F.count(F.lit(1)).alias("single"))
-    kept = own.groupBy("id").agg(F.max("n").alias("n")).join(single, "id", "left").where(
-        100 * (F.col("n") - F.coalesce("single", F.lit(0))) >= join.percent * F.col("n"))
-    return members.join(kept.select("id"), "id", "left_semi")
+    counted = members.drop("shared").join(single, "id", "left").withColumn("shared", F.col("n") - F.coalesce("single", F.lit(0)))
+    smallest = members.groupBy("sig").agg(F.min("n").alias("least"))
+    partner = F.greatest(F.col("least"), F.ceil(F.col("n") * join.percent / 100))
+    kept = counted.join(smallest, "sig").where(could_link(F.col("shared"), F.col("n"), partner, join.percent))
+    return kept.select("sig", "id", "n", "shared")
+
 
+def _across(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of one bucket that lie in different components and share enough values with others to link.
 
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs of members of one bucket that lie in different components."""
-    a, b = members.toDF("sig", "u", "cu"), members.toDF("sig", "v", "cv")
-    return a.join(b, "sig").where("u < v and cu <> cv").select("u", "v").distinct()
+    Near copies meet in many buckets; a pair is made only in the one with the least signature that both have.
+    """
+    listed = members.groupBy("id").agg(F.collect_list("sig").alias("sigs"))
+    a, b = (members.join(listed, "id").select(
+        "sig", F.col("id").alias(i), F.col("n").alias(f"{i}n"), F.col("shared").alias(f"{i}s"),
+        F.col("component").alias(f"{i}c"), F.col("sigs").alias(f"{i}sigs")) for i in "uv")
+    common = F.least("us", "vs", "un", "vn")
+    likely = (F.col("u") < F.col("v")) & (F.col("uc") != F.col("vc")) & could_link(common, F.col("un"), F.col("vn"), percent) & (
+        a["sig"] == F.array_min(F.array_intersect("usigs", "vsigs")))
+    return a.join(b, (a["sig"] == b["sig"]) & likely).select("u", "v", "un", "vn")
 
 
 def components(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, set_key, the smallest id reachable by links.
+    """One row per document: doc_id, n_shingles, component_id (the smallest id reachable by links) and set_key.
 
     Equal sets share a key and are one node, whose name is their smallest id. Sets that share a signature are candidates.
-    Every bucket's most central set is compared with the others, and links join components. Buckets whose members
-    are still apart go on: sets with too many values of their own drop out, more members are compared with all
-    others, and at last all pairs of a bucket that lie in different components. So no link between components is
-    missed, while a group of near copies costs about one comparison per member and round.
+    Every bucket's most central set is compared with the others, and links join components. Buckets whose other members
+    are still apart go on: sets with too many values of their own drop out, one more member is compared with the
+    rest, and at last all likely pairs of a bucket that lie in different components. So no link between components
+    is missed, while a group of near copies costs about one comparison per member and round.
 
     A null or blank text has no shingle, size 0, and is alone. Rows with a null id take no part and have no component. Rows
     that repeat an id are one node with all their texts. An empty table gives an empty result. Other columns are not read.
     """
     sets = write_once(document_sets(docs, join, doc_id, text))
-    named = sets.where("n > 0 and doc_id is not null").groupBy("n", "key", "check").agg(F.min("doc_id").alias("id"))
-    nodes = write_once(named)
+    usable = sets.where("n > 0 and doc_id is not null")
+    nodes = write_once(usable.groupBy("n", "key", "check").agg(F.min("doc_id").alias("id")))
     shared = shared_signatures(docs, join, sets, doc_id, text)
-    members = write_once(shared.join(nodes.select("key", "id"), "key").select("sig", "id").distinct())
+    members = write_once(shared.join(nodes.select("key", "id", "n"), "key").select("sig", "id", "n"))
     weight = write_once(members.groupBy("id").agg(F.count(F.lit(1)).alias("shared")))
     wanted = nodes.join(weight, "id", "left_semi").select("id", "key")
     values = write_once(with_values(docs, wanted, join, doc_id, text))
     # rows that repeat an id with different texts link their sets through the id
-    links, joined, left = None, None, members
-    same = sets.where("n > 0 and doc_id is not null").select("doc_id", "n", "key", "check").distinct().join(
-        nodes, ["n", "key", "check"]).select(F.col("doc_id").alias("u"), F.col("id").alias("v")).where("u <> v")
+    same = usable.select("doc_id", "n", "key", "check").distinct().join(nodes, ["n", "key", "check"]).select(
+        F.col("doc_id").alias("u"), F.col("id").alias("v")).where("u <> v")
+    links, left = None, members
     for turn in range(ROUNDS + 1):
-        if turn == ROUNDS:
-            pairs = _across(left)
+        if turn < ROUNDS:
+            led = write_once(_led(left.select("sig", "id", "n"), weight))
+            pairs = led.select(F.least("id", "leader").alias("u"), F.greatest("id", "leader").alias("v"),
+                               F.col("n").alias("un"), F.col("leader_n").alias("vn"))
         else:
-            leaders = write_once(_leaders(left.select("sig", "id"), weight))
-            pairs = left.join(leaders, "sig").where("id <> leader").select(
-                F.least("id", "leader").alias("u"), F.greatest("id", "leader").alias("v")).distinct()
+            pairs = _across(left, join.percent)
         found = write_once(linked(pairs, values, join))
         links = found if links is None else links.unionByName(found)
+        if turn == ROUNDS:
+            break
         joined = write_once(connected_components(links)).withColumnRenamed("node", "id")
-        if turn < ROUNDS:
-            others = left.join(leaders, "sig").where("id <> leader").select("sig", "id")
-            left = write_once(_peeled(_open(others, joined).select("sig", "id"), values, join))
-            left = write_once(_open(left, joined))
-            if left.isEmpty():
-                break
-    joined = write_once(connected_components(links.unionByName(same)))
-    final = nodes.join(joined.withColumnRenamed("node", "id"), "id", "left").select(
-        "n", "key", "check", F.coalesce("component", "id").alias("component"))
+        left = led.select("sig", "id", "n")
+        for _ in range(PEELINGS):
+            left = write_once(_peeled(_open(left, joined), values, join))
+        left = write_once(_open(left, joined))
+        if left.isEmpty():
+            break
+    joined = connected_components(links.unionByName(same)).withColumnRenamed("node", "id")
+    final = nodes.join(joined, "id", "left").select("n", "key", "check", F.coalesce("component", "id").alias("component"))
     out = sets.join(final, ["n", "key", "check"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").alias("set_key"))
