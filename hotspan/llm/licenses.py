@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hotspan.storage import write_once
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 K = 2
 
@@ -117,7 +119,7 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", c
     A null or empty text has no words: counts 0, labels empty, score 0. Repeated rows and null ids are rows of their
     own, for rows are told apart by their place in the scan. Only the two named columns are read.
     """
-    votes = license_votes(docs, doc_id, text, k=k)
+    votes = write_once(license_votes(docs, doc_id, text, k=k))  # small; the texts are read once
     exact = votes.where("base and votes = grams").select(
         "row", "doc_id", "n_words", F.col("label"), F.lit(True).alias("base"), F.col("diagonal").alias("start"), F.lit(1.0).alias("score"),
         F.lit(True).alias("holds"))
