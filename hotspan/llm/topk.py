@@ -102,7 +102,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_i
             ids, v = _read(one)
             for ask in q.itertuples():
                 found += tile_top(*_read(ask), ids, v, k)
-        return pd.DataFrame({"query_id": [f[0] for f in found], "node": key[0], "best": [f[1] for f in found]})
+        return pd.DataFrame({"query_id": [f[0] for f in found], "node": key[0], "best": pd.Series([f[1] for f in found], dtype=object)})
 
     keys = ["tile", "part", "dim"]
     lists = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
