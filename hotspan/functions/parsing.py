@@ -18,11 +18,14 @@ MISSING_TOKENS = (
 DATE_FORMATS = (
     "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd",
     "M/d/yyyy HH:mm:ss", "M/d/yyyy HH:mm", "M/d/yyyy",
+    "M/d/yyyy h:mm:ss a", "M/d/yyyy h:mm a", "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss.SSS",
+    "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "yyyy-MM-dd'T'HH:mm", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm",
+    "yyyy/MM/dd", "dd-MMM-yyyy", "yyyyMMdd", "M/d/yy",
 )
 
 # Time-of-day layouts; a column uses the first one that parses any of its rows.
 TIME_FORMATS = ("H:m", "H:m:s")
-FREE_TIME_FORMATS = ("h:m a", "h:m:s a") + DATE_FORMATS
+FREE_TIME_FORMATS = ("h:m a", "h:m:s a") + tuple(f for f in DATE_FORMATS if f not in ("yyyyMMdd", "M/d/yy"))
 
 
 def blank_to_null(col: Column) -> Column:
@@ -41,7 +44,7 @@ def to_double(col: Column) -> Column:
 
 def _shape(layout: str) -> str:
     """Regular expression for the look of a date layout: doubled letters are two digits, single ones one or two."""
-    digits = {"yyyy": r"\d{4}", "a": "[AaPp][Mm]"}
+    digits = {"yyyy": r"\d{4}", "a": "[AaPp][Mm]", "SSS": r"\d{3}", "MMM": "[A-Za-z]{3}"}
     tokens = re.finditer(r"'([^']*)'|([a-zA-Z])\2*|[^a-zA-Z']", layout)
     return "^" + "".join(
         re.escape(t.group(1)) if t.group(1) is not None

@@ -74,8 +74,3 @@ def day_name(day_of_week: Column) -> Column:
 def quarter_label(quarter: Column) -> Column:
     """1 -> Q1."""
     return F.concat(F.lit("Q"), quarter.cast("string"))
-
-
-def label_order(label: Column, labels: tuple[str, ...]) -> Column:
-    """Position of a label in its fixed order."""
-    return F.array_position(F.array(*[F.lit(x) for x in labels]), label).cast("int") - 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hotspan.functions.temporal import (SEASONS, TIME_PERIODS, label_order, month_name, quarter_label, season,
+from hotspan.functions.temporal import (SEASONS, TIME_PERIODS, month_name, quarter_label, season,
                                         time_period)
 from hotspan.functions.tiers import bround
 

@@ -35,7 +35,7 @@ def _located(items: Column) -> Column:
 
 
 def _from_json(raw: Column) -> Column:
-    objects = F.from_json(F.regexp_extract(raw, JSON_ARRAY, 1), JSON_SCHEMA)
+    objects = F.from_json(F.regexp_extract(raw, JSON_ARRAY, 1), JSON_SCHEMA, {"allowSingleQuotes": "false"})
     return _located(F.transform(objects, lambda o: _prediction(
         o["latitude"], o["longitude"], F.coalesce(o["crime_type"], F.lit(UNKNOWN_TYPE)),
         F.coalesce(o["prediction"], F.lit(NO_DETAILS)), F.coalesce(o["likelihood"], F.lit(DEFAULT_LIKELIHOOD)))))

@@ -10,18 +10,19 @@ from hotspan.operators import patterns, predictions as P, recency, seasonal
 from hotspan.operators.hotspots import hotspots
 from hotspan.plans.report import analysis_report
 from hotspan.sources.layers import map_layers
-from hotspan.sources.normalize import normalize_incidents
+from hotspan.sources.normalize import normalize_incidents, require_rows
 from hotspan.storage import write_once
 
 
 def analyze(df: DataFrame, roles: dict[str, str] | None = None, id_col: str | None = None,
             responses: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Every result table of the analysis, by name. All of them stay lazy but for the clustering and its fallback test.
+    """Every result table of the analysis, by name. The normalised table is written once and every result reads it from
+    there; beyond that only the clustering and its fallback test run at once. Raises when no row has coordinates.
 
     ``responses`` is an optional table (response_id, raw) of model answers. Without one, or when nothing can be
     extracted from it, the predictions repeat the strongest hotspots.
     """
-    incidents = normalize_incidents(df, roles, id_col)
+    incidents = require_rows(write_once(normalize_incidents(df, roles, id_col)))
     fit = write_once(FC.fit_decomposition(FC.forecast_series(incidents)))
     daily = FC.forecast_daily(fit)
     spots = write_once(hotspots(incidents))

@@ -58,9 +58,16 @@ def _hour(df: DataFrame, roles: dict[str, str], policy: str) -> Column:
         return F.lit(None).cast("int")
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.hour(column)
+    if isinstance(kind, T.IntegralType):
+        return _whole_hour(column)
     return parse_hour(df.where(_has_coordinates(df, roles)), column, policy)
 
 
+def _whole_hour(column: Column) -> Column:
+    """An integer from 0 to 23 as an hour, else NULL."""
+    return F.when(column.between(0, 23), column.cast("int"))
+
+
 def _coordinates(df: DataFrame, roles: dict[str, str]) -> tuple[Column, Column]:
     return to_double(_field(df, roles, "latitude")[0]), to_double(_field(df, roles, "longitude")[0])
 
@@ -107,6 +114,8 @@ def ingest_report(df: DataFrame, roles: dict[str, str] | None = None) -> DataFra
         families = [F.lit(None).cast("int")]
     elif isinstance(kind, T.StringType):
         families = hour_candidates(time)
+    elif isinstance(kind, T.IntegralType):
+        families = [_whole_hour(time)]
     else:
         families = [F.hour(time)]
     hours = [F.count_if(good & h.isNotNull()).alias(f"_h{i}") for i, h in enumerate(families)]

@@ -130,3 +130,21 @@ def test_layers(spark, incidents_of, tmp_path):
     feature = json.loads(geojson_features(layers.where("layer = 'prediction'")).first().value)
     assert feature["geometry"] == {"type": "Point", "coordinates": [-84.1, 33.1]}
     assert feature["properties"]["color"] == "red"
+
+
+@pytest.mark.parametrize("text,want", [
+    ("01/05/2024 11:30:00 PM", "2024-01-05 23:30:00"), ("2024-01-05T23:30:00.000", "2024-01-05 23:30:00"),
+    ("2024-01-05T23:30:00Z", "2024-01-05 23:30:00"), ("2024-01-05T23:30", "2024-01-05 23:30:00"), ("2024/01/05", "2024-01-05 00:00:00"),
+    ("05-Jan-2024", "2024-01-05 00:00:00"), ("20240105", "2024-01-05 00:00:00"), ("1/5/24", "2024-01-05 00:00:00"),
+    ("1/5/2024 1:05 am", "2024-01-05 01:05:00"), ("2024/01/05 07:08", "2024-01-05 07:08:00"), ("2024-13-05", None), ("soon", None)])
+def test_common_date_layouts(spark, text, want):
+    from hotspan.functions.parsing import to_timestamp_any
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(to_timestamp_any(F.col("t")).cast("string")).first()[0] == want
+
+
+def test_integer_hours(spark):
+    from hotspan.sources.normalize import ingest_report, normalize_incidents
+    df = spark.createDataFrame([(1.0, 2.0, "x", 5), (1.0, 2.0, "x", 24), (1.0, 2.0, "x", None)], "latitude double, longitude double, incident_type string, hour int")
+    assert [r.hour for r in normalize_incidents(df).orderBy("hour").collect()] == [None, None, 5]
+    assert ingest_report(df).first().valid_hours == 1

@@ -58,3 +58,9 @@ def test_full_analysis_with_responses(spark, raw):
     assert [r.incident_type for r in out["predictions"].collect()] == ["Theft"]
     values = {r.label: r.value for r in out["report"].collect()}
     assert values["Prediction #1.1 location"] == "(33.7, -84.4)" and values["total_records"] == "300"
+
+
+def test_single_quoted_text_is_not_json(spark):
+    from hotspan.operators.predictions import extract_predictions
+    df = spark.createDataFrame([("a", "[{'latitude': 1, 'longitude': 2}]"), ("b", '[{"latitude": 1, "longitude": 2}]')], "response_id string, raw string")
+    assert [r.response_id for r in extract_predictions(df).collect()] == ["b"]
