@@ -50,6 +50,25 @@ def normalized_incidents(spark, sf_dir):
         -1, ["day_of_week", "month", "quarter", "day_of_month", "year", "hour"])
 
 
+_GOOD = "latitude IS NOT NULL AND longitude IS NOT NULL"
+
+
+@query(f"""WITH {RAW_ROWS}, {_CLEAN}
+  SELECT count(*) AS rows, count(DISTINCT event_id) AS ids FROM typed WHERE {_GOOD}""")
+def incidents_with_text_keys(spark, sf_dir):
+    keyed = raw_rows(spark, sf_dir).withColumn("report", F.concat(F.lit("JA"), F.col("event_id").cast("string")))
+    return normalize_incidents(keyed, id_col="report").agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("incident_id").alias("ids"))
+
+
+@query(f"""WITH {RAW_ROWS}, {_CLEAN}, kept AS (SELECT r.lat, r.lon, r.offense, r.occurred, r.hour_text
+    FROM raw r JOIN typed t ON r.event_id = t.event_id WHERE {_GOOD})
+  SELECT count(*) AS rows, (SELECT count(*) FROM (SELECT DISTINCT * FROM kept)) AS ids FROM kept""")
+def incidents_without_key(spark, sf_dir):
+    return normalize_incidents(raw_rows(spark, sf_dir).drop("event_id")).agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("incident_id").alias("ids"))
+
+
 @query(f"""WITH {RAW_ROWS}, {_CLEAN}
   SELECT event_id AS incident_id, strftime(occurred_at, '%Y-%m-%d %H:%M:%S') AS occurred_at FROM typed
   WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND occurred_at IS NOT NULL""")
@@ -95,6 +114,7 @@ def recency_weights(spark, sf_dir):
         recency.recency_band(F.col("age")).alias("band"))
 
 
+# Month and day of the holidays.
 _FIXED = ((1, 1), (1, 15), (2, 19), (5, 27), (7, 4), (9, 2), (10, 14), (11, 11), (11, 28), (12, 25), (12, 31))
 _GAPS = ", ".join(f"abs(floor((epoch_us(occurred_at) - epoch_us(make_timestamp(year, {m}, {d}, 0, 0, 0.0))) / 86400000000.0))"
                   for m, d in _FIXED)
@@ -127,11 +147,12 @@ def holiday_proximity_rule(spark, sf_dir):
         "incident_id", calendars.days_to_holiday(F.col("occurred_at"), "rule").cast("long").alias("days_to_holiday"))
 
 
-@query(f"""WITH {ORDERS}, cal AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d FROM lineitem WHERE day(l_shipdate) = 10)
+@query(f"""WITH {ORDERS}, cal AS (SELECT CAST(max(l_shipdate) AS DATE) AS d FROM lineitem GROUP BY year(l_shipdate), month(l_shipdate))
   SELECT incident_id, CAST(coalesce(min(least(abs(date_diff('day', d, CAST(occurred_at AS DATE))), 365)), 365) AS BIGINT)
     AS days_to_holiday FROM inc LEFT JOIN cal ON year(d) = year GROUP BY incident_id""")
 def calendar_table_proximity(spark, sf_dir):
-    days = table(spark, sf_dir, "lineitem").where(F.dayofmonth("l_shipdate") == 10).select(F.col("l_shipdate").alias("day"))
+    shipped = F.col("l_shipdate")  # the last shipping day of every month is the calendar
+    days = table(spark, sf_dir, "lineitem").groupBy(F.year(shipped), F.month(shipped)).agg(F.max(shipped).alias("day")).select("day")
     return calendars.days_to_calendar_day(inc_orders(spark, sf_dir), days).select(
         "incident_id", F.col("days_to_holiday").cast("long").alias("days_to_holiday"))
 

@@ -38,8 +38,6 @@ SLACK = 1e-6
 REACH = math.sqrt(3) / (1 - SLACK)
 # Two boxes with at most this many location pairs are compared point by point.
 LEAF_PAIRS = 4096
-# Octants below this level are smaller than the spacing of double-precision positions.
-DEEPEST_LEVEL = 30
 
 AXES = ("x", "y", "z")
 # The half of the 5 x 5 x 5 block of cube offsets that follows its centre.
@@ -93,10 +91,19 @@ def cluster_summary(clusters: DataFrame) -> DataFrame:
         F.count_if(inside & ~F.col("is_core")).alias("border"), F.count_if(~inside).alias("noise"))
 
 
+def _scale(eps_km: float) -> float:
+    """Radius of the sphere in units of the cube side."""
+    return REACH / (2 * math.sin(min(eps_km / (2 * EARTH_RADIUS_KM), math.pi / 2)))
+
+
 def _position(lat: Column, lon: Column, eps_km: float) -> list[Column]:
-    """Position on the unit sphere in units of the cube side."""
-    chord = 2 * math.sin(min(eps_km / (2 * EARTH_RADIUS_KM), math.pi / 2))
-    return [c * F.lit(REACH / chord) for c in unit_sphere(lat, lon)]
+    """Position on the sphere in units of the cube side."""
+    return [c * F.lit(_scale(eps_km)) for c in unit_sphere(lat, lon)]
+
+
+def _deepest_level(eps_km: float) -> int:
+    """Level whose octants are no larger than the spacing of double-precision positions: nothing is left to split there."""
+    return max(1, 52 - math.frexp(_scale(eps_km))[1])
 
 
 def _cube(position: list[Column], level: int = 0) -> Column:
@@ -230,7 +237,7 @@ def _links(items: DataFrame, locations: DataFrame, cubes: DataFrame, eps_km: flo
             F.sum("a_n").alias("a_n"), F.sum("b_n").alias("b_n"))
 
     position = [F.col(a) for a in AXES]
-    level, boxes = 0, cubes
+    level, deepest, boxes = 0, _deepest_level(eps_km), cubes
     undecided = F.count_if(F.col("near").isNull())
     pairs, left = write_measured(_neighbour_pairs(items, eps_km), undecided)
     found = []
@@ -243,16 +250,16 @@ def _links(items: DataFrame, locations: DataFrame, cubes: DataFrame, eps_km: flo
         # A pair of dense cubes that already touches needs no further look.
         open_ = open_.join(joined, ["a_gid", "b_gid"], "left_anti").drop("near")
         size = F.col("a_m") * F.col("b_m")
-        small = F.lit(True) if level >= DEEPEST_LEVEL else size <= leaf_pairs
+        small = F.lit(True) if level >= deepest else size <= leaf_pairs
         members = locations.select(
             _cube(position, level).alias("cube"), F.struct(*[F.lit(0).cast("long").alias(a) for a in AXES]).alias("part"),
             "n", F.lit(1).cast("long").alias("m"), "latitude", "longitude",
             *[F.col(a).alias(f"{s}_{a}") for s in ("lo", "hi") for a in AXES])
         # Boxes too large for a leaf are in no leaf pair.
-        members = _without_crowded(members, boxes, F.col("m") <= leaf_pairs, None if level >= DEEPEST_LEVEL else min_rows)
+        members = _without_crowded(members, boxes, F.col("m") <= leaf_pairs, None if level >= deepest else min_rows)
         leaves = _judged(_opened(_opened(open_.where(small), "a", members), "b", members), eps_km)
         found.append(summed(leaves))
-        if level >= DEEPEST_LEVEL:
+        if level >= deepest:
             break
         if pairs.where(F.col("near").isNull() & ~small).isEmpty():
             break

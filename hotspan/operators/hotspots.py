@@ -18,7 +18,8 @@ from hotspan.storage import write_once
 TOP_HOTSPOTS = 10
 CELLS_PER_DEGREE = 100
 # Coordinates are summed as decimals (a tenth of a millimetre), so a centroid does not depend on the order of the rows.
-EXACT = "decimal(13,9)"
+# There is no range check on coordinates, so the type leaves room for any that a person might enter.
+EXACT = "decimal(27,9)"
 
 COLUMNS = [
     "rank", "latitude", "longitude", "incident_count", "weighted_score", "cluster_radius_km", "dominant_type",
@@ -79,7 +80,7 @@ def cluster_facts(incidents: DataFrame, fitted: Clustering, use_recency: bool =
     members = labelled.where(F.col("cluster_id").isNotNull()).withColumn("band", band)
     return members.groupBy("cluster_id", "incident_type", "hour", "day_of_week").agg(
         F.count(F.lit(1)).alias("count"), F.sum("recency_weight").alias("weight"),
-        F.sum(F.col("latitude").cast(EXACT)).alias("lat_sum"), F.sum(F.col("longitude").cast(EXACT)).alias("lon_sum"),
+        *[F.sum(F.col(c).try_cast(EXACT)).alias(f"{c[:3]}_sum") for c in ("latitude", "longitude")],
         F.min("incident_id").alias("first_id"),
         *[F.count_if(F.col("band") == b).alias(b) for b in ("recent", "older", "very_old")])
 

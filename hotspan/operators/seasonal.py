@@ -25,8 +25,10 @@ def holiday_effect(incidents: DataFrame, calendar: str | tuple = "fixed", days:
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("gap") <= days).alias("near"),
         F.count_if(F.col("gap") > days).alias("far"),
         (elapsed_days(F.max("occurred_at"), F.min("occurred_at")) + 1).alias("span"))
-    rated = counted.where(F.col("n") >= min_rows).select(
-        "near", "far", F.least(F.lit(holiday_days), F.col("span")).alias("near_days"), "span").select(
+    enough = F.col("n") >= min_rows
+    rated = counted.select(
+        F.when(enough, F.col("near")).alias("near"), F.when(enough, F.col("far")).alias("far"),
+        F.least(F.lit(holiday_days), F.col("span")).alias("near_days"), "span").select(
         "near", "far", (F.col("near") / F.col("near_days")).alias("near_rate"),
         (F.col("far") / F.greatest(F.lit(1), F.col("span") - F.col("near_days"))).alias("far_rate"))
     return rated.select(
@@ -36,13 +38,15 @@ def holiday_effect(incidents: DataFrame, calendar: str | tuple = "fixed", days:
 
 
 def payday_effect(incidents: DataFrame, min_rows: int = MIN_SEASONAL_ROWS) -> DataFrame:
-    """Rate on paydays against the rate on the other days of the month."""
+    """Rate on paydays against the rate on the other days of the month. NULL throughout below ``min_rows`` dated rows."""
     payday = is_payday(F.dayofmonth("occurred_at"))
+    enough = F.count("occurred_at") >= min_rows
     counted = incidents.where(F.col("occurred_at").isNotNull()).agg(
-        F.count_if(payday).alias("payday_count"), F.count_if(~payday).alias("non_payday_count"))
+        F.when(enough, F.count_if(payday)).alias("payday_count"),
+        F.when(enough, F.count_if(~payday)).alias("non_payday_count"))
     pay = F.col("payday_count") / F.lit(float(len(PAYDAYS)))
     other = F.col("non_payday_count") / F.lit(float(ORDINARY_DAYS_PER_MONTH))
-    return counted.where(F.col("payday_count") + F.col("non_payday_count") >= min_rows).select(
+    return counted.select(
         "payday_count", "non_payday_count", bround(pay, 2).alias("payday_rate"),
         bround(other, 2).alias("non_payday_rate"),
         ratio_verdict(pay / F.nullif(other, F.lit(0.0))).alias("payday_spike"))

@@ -9,7 +9,6 @@ from pyspark.sql import types as T
 from hotspan.functions.parsing import MISSING_TOKENS, hour_candidates, parse_hour, to_double, to_timestamp_any
 from hotspan.functions.temporal import calendar_columns
 from hotspan.schema import INCIDENTS
-from hotspan.storage import write_once
 
 # Name fragments that suggest a role, and fragments that rule it out.
 ROLE_HINTS = {
@@ -77,28 +76,33 @@ def _has_coordinates(df: DataFrame, roles: dict[str, str]) -> Column:
     return lat.isNotNull() & lon.isNotNull()
 
 
-def with_incident_ids(df: DataFrame, name: str = "incident_id") -> DataFrame:
-    """Number the rows of a table that has no key.
+def incident_key(df: DataFrame, id_col: str | None = None) -> Column:
+    """A 64-bit id that is the same in every run and under every partitioning.
 
-    The numbers are unique but not reproducible, so they are written out with the rows once and always read back.
-    Prefer a key column of the data where there is one: it saves this copy.
+    Integer keys stay as they are. Other keys are hashed as text, and without a key the whole row is hashed, nulls
+    told apart by their column. Rows with equal keys, or equal in all columns, share an id; such rows have one place, so
+    no result depends on telling them apart. Two different keys among n share a hash by chance with probability n^2 / 2^65.
     """
-    return write_once(df.select("*", F.monotonically_increasing_id().alias(name)))
+    if id_col is None:
+        nested = (T.ArrayType, T.MapType, T.StructType)
+        columns = [F.col(f"`{f.name}`").cast("string") if isinstance(f.dataType, nested) else F.col(f"`{f.name}`")
+                   for f in df.schema]
+        return F.xxhash64(*[part for c in columns for part in (c, c.isNull())])
+    key = F.col(f"`{id_col}`")
+    return key.cast("long") if isinstance(df.schema[id_col].dataType, T.IntegralType) else F.xxhash64(key.cast("string"))
 
 
 def normalize_incidents(df: DataFrame, roles: dict[str, str] | None = None, id_col: str | None = None,
                         time_policy: str = "column") -> DataFrame:
     """Typed incident table with the fixed schema; rows without usable coordinates are dropped.
 
-    ``id_col`` must be unique; without one the rows are numbered by ``with_incident_ids``.
+    ``id_col`` is a unique key of any type; without one the row itself is the key, see ``incident_key``.
     """
     roles = _checked_roles(df, roles)
-    if id_col is None:
-        df, id_col = with_incident_ids(df, "_row_number"), "_row_number"
     lat, lon = _coordinates(df, roles)
     kind = _field(df, roles, "incident_type")[0].cast("string")
     typed = df.select(
-        F.col(f"`{id_col}`").cast("long").alias("incident_id"), lat.alias("latitude"), lon.alias("longitude"),
+        incident_key(df, id_col).alias("incident_id"), lat.alias("latitude"), lon.alias("longitude"),
         F.when(~F.trim(kind).isin(*MISSING_TOKENS), kind).alias("incident_type"),
         _timestamp(df, roles).alias("occurred_at"), _hour(df, roles, time_policy).cast("int").alias("hour"))
     kept = typed.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())

@@ -34,7 +34,8 @@ def test_tables_without_dates(undated):
     assert patterns.row_half_trend(undated).first().recent_trend is None
     assert patterns.time_half_trend(undated).first().recent_trend is None
     assert seasonal.year_over_year(undated).first().year_over_year is None
-    assert seasonal.holiday_effect(undated).isEmpty() and seasonal.payday_effect(undated).isEmpty()
+    for effect in (seasonal.holiday_effect(undated), seasonal.payday_effect(undated)):
+        assert [set(r) for r in effect.collect()] == [{None}]
     verdicts = seasonal.seasonal_verdicts(undated).first()
     assert not verdicts.has_seasonal_data and verdicts.peak_quarter is None
     assert D.dominant_time_period(undated).first().dominant_time_period is None
@@ -100,6 +101,21 @@ def test_hotspot_without_dates_or_types(incidents_of):
     assert row.cluster_radius_km == 0.0
 
 
+@pytest.mark.parametrize("rows", [9, 10])
+def test_seasonal_effects_need_ten_rows(incidents_of, rows):
+    df = incidents_of([(i, 1.0, 1.0, "a", f"2024-0{1 + i % 2}-0{1 + i % 5}", 1) for i in range(rows)])
+    pay, near = seasonal.payday_effect(df).first(), seasonal.holiday_effect(df).first()
+    assert (pay.payday_count is None) == (near.near_holiday_count is None) == (near.normal_rate is None) == (rows < 10)
+    if rows == 10:
+        assert pay.payday_count + pay.non_payday_count == near.near_holiday_count + near.normal_days_count == 10
+
+
+def test_coordinates_out_of_range_do_not_stop_the_hotspots(incidents_of):
+    rows = [(i, 99999.0, 99999.0, "a", "2024-01-01", 1) for i in range(4)] + [(9 + i, 1e30, 2.0, "b", "2024-01-01", 1) for i in range(3)]
+    spots = {r.dominant_type: r for r in hotspots(incidents_of(rows)).collect()}
+    assert (spots["a"].latitude, spots["a"].incident_count) == (99999.0, 4) and spots["b"].incident_count == 3
+
+
 def test_shares_add_up(incidents_of):
     df = incidents_of([(i, 1.0, 1.0, "a", "2024-01-01", i % 24) for i in range(77)])
     assert sum(r.share for r in D.with_share(D.hourly_distribution(df)).collect()) == pytest.approx(100, abs=0.01)

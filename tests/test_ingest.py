@@ -143,6 +143,15 @@ def test_common_date_layouts(spark, text, want):
     assert df.select(to_timestamp_any(F.col("t")).cast("string")).first()[0] == want
 
 
+def test_incident_ids_are_reproducible(spark):
+    rows = [("JA366925", 1.0, 2.0, "x", None), ("JA366926", 1.0, 2.0, None, "x"), ("JA366926", 1.0, 2.0, None, "x"), (None, 1.0, 2.0, "y", "z")]
+    df = spark.createDataFrame(rows, "report_id string, latitude double, longitude double, incident_type string, note string")
+    for data, key, distinct in ((df, "report_id", 3), (df.drop("report_id"), None, 3), (df.withColumn("m", F.create_map(F.lit("a"), F.lit(1))), None, 3)):
+        ids = sorted(r[0] for r in normalize_incidents(data, id_col=key).select("incident_id").collect())
+        again = sorted(r[0] for r in normalize_incidents(data.repartition(3), id_col=key).select("incident_id").collect())
+        assert ids == again and len(ids) == 4 and len(set(ids)) == distinct
+
+
 def test_integer_hours(spark):
     from hotspan.sources.normalize import ingest_report, normalize_incidents
     df = spark.createDataFrame([(1.0, 2.0, "x", 5), (1.0, 2.0, "x", 24), (1.0, 2.0, "x", None)], "latitude double, longitude double, incident_type string, hour int")
