@@ -18,7 +18,7 @@ from hotspan.storage import write_once
 #: Upper size of a band over that of the band below.
 BAND = 1.5
 #: Signatures that meet in one task, on average.
-MEET = 1 << 21
+MEET = 1 << 20
 #: Rounds that compare open buckets with one more of their members each, before what is left is compared pair by pair.
 ROUNDS = 2
 #: Times that sets without enough shared values drop out in each round; every time makes more values unshared.
@@ -142,10 +142,12 @@ def document_sets(docs: DataFrame, join: Join, doc_id: str = "doc_id", text: str
     """(doc_id, n, key, check): size of each document's set and two hashes of the whole set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s for _, texts in ta.text_pieces(batch.column(1)) for s in shingles(texts, join.words)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s, 5) for s in sets], pa.int64()),
-                 pa.array([set_key(s, 6) for s in sets], pa.int64())], names=["doc_id", "n", "key", "check"])
+            for at, texts in ta.text_pieces(batch.column(1)):
+                sets = shingles(texts, join.words)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, texts.n), pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array([set_key(s, 5) for s in sets], pa.int64()), pa.array([set_key(s, 6) for s in sets], pa.int64())],
+                    names=["doc_id", "n", "key", "check"])
 
     return _rows(docs, doc_id, text).mapInArrow(run, "doc_id bigint, n bigint, key bigint, check bigint")
 
@@ -214,11 +216,12 @@ def with_values(docs: DataFrame, wanted: DataFrame, join: Join, doc_id: str, tex
     """(id, key, n, values): the packed sets of the documents in ``wanted`` (id, key)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s for _, texts in ta.text_pieces(batch.column(1)) for s in shingles(texts, join.words)]
-            keys, ids = [set_key(s, 5) for s in sets], batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "key", "n", "values"])
+            for at, texts in ta.text_pieces(batch.column(1)):
+                sets = shingles(texts, join.words)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, texts.n), pa.array([set_key(s, 5) for s in sets], pa.int64()),
+                     pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    names=["id", "key", "n", "values"])
 
     rows = _rows(docs, doc_id, text).join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     sets = rows.mapInArrow(run, "id bigint, key bigint, n bigint, values binary")
@@ -230,8 +233,8 @@ def linked(pairs: DataFrame, values: DataFrame, join: Join) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             us, vs = [], []
-            for u, v, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            for u, v, a, b in zip(*(c.to_pylist() for c in batch.columns[:2]), *batch.columns[2:]):
+                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
                 place = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 common = int((y[place] == x).sum())
                 if join.needs(common, len(x) + len(y) - common):
@@ -276,9 +279,8 @@ def _peeled(members: DataFrame, values: DataFrame, join: Join) -> DataFrame:
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, _, packed = (c.to_pylist() for c in batch.columns)
-            for i, raw in zip(ids, packed):
-                s = np.frombuffer(raw, np.int64)
+            for i, raw in zip(batch.column(0).to_pylist(), batch.column(2)):
+                s = np.frombuffer(raw.as_buffer(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), i))], names=["value", "id"])
 
     rows = own.mapInArrow(spread, "value bigint, id bigint")

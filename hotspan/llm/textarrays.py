@@ -10,9 +10,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer text is handled alone.
-PIECE = 2 << 20
+PIECE = 1 << 19
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
-MASK = (1 << 64) - 1
+INVERSE = pow(MULTIPLIER, -1, 1 << 64)
+#: Powers are products of one of so many low powers and a high one, so that only small tables stay in memory.
+LOW = 1 << 12
 
 
 def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -38,33 +40,46 @@ def is_space() -> np.ndarray:
     return table
 
 
-_POWERS: dict[str, np.ndarray] = {}
+_POWERS: dict[int, np.ndarray] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n - 1 of the multiplier modulo 2^64 and their inverses."""
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, PIECE + 1)
-        for name, base in (("up", MULTIPLIER), ("down", pow(MULTIPLIER, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            with np.errstate(over="ignore"):
-                _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+def _powers(base: int, n: int) -> np.ndarray:
+    """Powers 0 to n - 1 (or more) of a base modulo 2^64, kept for the next call."""
+    if len(_POWERS.get(base, ())) < n:
+        steps = np.full(n, base, np.uint64)
+        steps[0] = 1
+        with np.errstate(over="ignore"):
+            _POWERS[base] = np.multiply.accumulate(steps)
+    return _POWERS[base]
+
+
+def first_powers(n: int) -> np.ndarray:
+    """Powers 0 to n - 1 of the multiplier modulo 2^64."""
+    rows = n // LOW + 1
+    high, low = _powers(pow(MULTIPLIER, LOW, 1 << 64), rows)[:rows], _powers(MULTIPLIER, LOW)
+    with np.errstate(over="ignore"):
+        return (high[:, None] * low[None]).reshape(-1)[:n]
+
+
+def inverse_powers(places: np.ndarray) -> np.ndarray:
+    """The multiplier's inverse to the power of each place, modulo 2^64."""
+    high = _powers(pow(INVERSE, LOW, 1 << 64), int(places.max(initial=0)) // LOW + 1)
+    with np.errstate(over="ignore"):
+        return high[places // LOW] * _powers(INVERSE, LOW)[places % LOW]
 
 
 def prefix_sums(values: np.ndarray) -> np.ndarray:
     """Prefix hashes modulo 2^64: sums of value times power, with a leading 0."""
     out = np.zeros(len(values) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        np.cumsum(values * powers(len(values))[0], out=out[1:])
+        np.cumsum(values * first_powers(len(values)), out=out[1:])
     return out
 
 
 def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of each span of the values behind ``prefix``, independent of where it stands, with its length mixed in."""
     with np.errstate(over="ignore"):
-        raw = (prefix[end] - prefix[start]) * powers(len(prefix))[1][start]
+        raw = (prefix[end] - prefix[start]) * inverse_powers(start)
         return mixed(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 

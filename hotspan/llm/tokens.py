@@ -14,7 +14,7 @@ END = 0  # id after the last token of a document
 #: Characters below this are split here; a text with a later one goes to the tokenizer as a whole.
 KNOWN = 0x3000
 #: Distinct pieces kept per process before the memory of them starts afresh.
-REMEMBERED = 1 << 21
+REMEMBERED = 1 << 19
 _LETTER, _NUMBER, _SPACE, _OTHER = range(4)
 
 
