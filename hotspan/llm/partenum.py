@@ -19,9 +19,9 @@ from hotspan.storage import write_once
 BAND = 1.5
 #: Signatures that meet in one task, on average.
 MEET = 1 << 20
-#: Rounds that compare open buckets with one more of their members each, before what is left is compared pair by pair.
+#: Rounds that compare open buckets with one of their members each, before what is left is compared pair by pair.
 ROUNDS = 2
-#: Times that sets without enough shared values drop out in each round; every time makes more values unshared.
+#: Times that sets without enough shared values drop out before that; every time makes more values unshared.
 PEELINGS = 2
 
 
@@ -229,7 +229,10 @@ def with_values(docs: DataFrame, wanted: DataFrame, join: Join, doc_id: str, tex
 
 
 def linked(pairs: DataFrame, values: DataFrame, join: Join) -> DataFrame:
-    """The pairs (u, v) of ids whose sets link; both sets are compared value by value. ``un`` and ``vn`` are their sizes."""
+    """The pairs (u, v) of ids whose sets link; both sets are compared value by value. ``un`` and ``vn`` are their sizes.
+
+    The pairs are written first, so that a small table of them goes to the sets instead of all sets to the pairs.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             us, vs = [], []
@@ -243,18 +246,31 @@ def linked(pairs: DataFrame, values: DataFrame, join: Join) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     a, b = (values.select(F.col("id").alias(i), F.col("values").alias(v)) for i, v in (("u", "a"), ("v", "b")))
-    near = pairs.where(100 * F.least("un", "vn") >= join.percent * F.greatest("un", "vn")).select("u", "v").distinct()
+    likely = pairs.where(100 * F.least("un", "vn") >= join.percent * F.greatest("un", "vn")).select("u", "v").distinct()
+    near = write_once(likely)
+    b = b.join(near.select("v").distinct(), "v", "left_semi")
     return near.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint").distinct()
 
 
 def _led(members: DataFrame, weight: DataFrame) -> DataFrame:
-    """Members (sig, id, n) with the leader of their bucket and its size, the leader's own row left out.
+    """Members with the leader of their bucket (``leader``: shared, id, n and further columns), its own row left out.
 
     The leader has the most shared signatures, and so is the most central of many near copies.
     """
-    best = members.join(weight, "id").groupBy("sig").agg(F.max(F.struct("shared", "id", "n")).alias("best"))
-    leaders = best.select("sig", F.col("best.id").alias("leader"), F.col("best.n").alias("leader_n"))
-    return members.join(leaders, "sig").where("id <> leader")
+    more = [c for c in members.columns if c not in ("sig", "id", "n", "shared")]
+    ranked = members.drop("shared").join(weight, "id")
+    leaders = ranked.groupBy("sig").agg(F.max(F.struct("shared", "id", "n", *more)).alias("leader"))
+    return members.join(leaders, "sig").where("id <> leader.id")
+
+
+def _nearest(members: DataFrame, weight: DataFrame) -> DataFrame:
+    """Pairs of every set and the most central of all leaders of its buckets: one comparison a set."""
+    top = _led(members, weight).groupBy("id", "n").agg(F.max("leader").alias("leader"))
+    return _with_leader(top)
+
+
+def _with_leader(led: DataFrame) -> DataFrame:
+    return led.select(F.col("id").alias("u"), F.col("leader.id").alias("v"), F.col("n").alias("un"), F.col("leader.n").alias("vn"))
 
 
 def _open(members: DataFrame, joined: DataFrame) -> DataFrame:
@@ -286,7 +302,7 @@ def _peeled(members: DataFrame, values: DataFrame, join: Join) -> DataFrame:
     rows = own.mapInArrow(spread, "value bigint, id bigint")
     alone = rows.groupBy("value").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
     single = alone.groupBy("id").agg(F.count(F.lit(1)).alias("single"))
-    counted = members.drop("shared").join(single, "id", "left").withColumn("shared", F.col("n") - F.coalesce("single", F.lit(0)))
+    counted = members.select("sig", "id", "n").join(single, "id", "left").withColumn("shared", F.col("n") - F.coalesce("single", F.lit(0)))
     smallest = members.groupBy("sig").agg(F.min("n").alias("least"))
     partner = F.greatest(F.col("least"), F.ceil(F.col("n") * join.percent / 100))
     kept = counted.join(smallest, "sig").where(could_link(F.col("shared"), F.col("n"), partner, join.percent))
@@ -312,10 +328,10 @@ def components(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", tex
     """One row per document: doc_id, n_shingles, component_id (the smallest id reachable by links) and set_key.
 
     Equal sets share a key and are one node, whose name is their smallest id. Sets that share a signature are candidates.
-    Every bucket's most central set is compared with the others, and links join components. Buckets whose other members
-    are still apart go on: sets with too many values of their own drop out, one more member is compared with the
-    rest, and at last all likely pairs of a bucket that lie in different components. So no link between components
-    is missed, while a group of near copies costs about one comparison per member and round.
+    Every set is first compared with the most central set that it meets in any bucket, and links join components. Buckets
+    whose members are still apart go on: the bucket's most central set is compared with those of other components, then
+    sets with too many values of their own drop out, and at last all likely pairs of a bucket that lie in different
+    components are compared. So no link between components is missed, while a group of near copies costs about one comparison a member.
 
     A null or blank text has no shingle, size 0, and is alone. Rows with a null id take no part and have no component. Rows
     that repeat an id are one node with all their texts. An empty table gives an empty result. Other columns are not read.
@@ -331,25 +347,21 @@ def components(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", tex
     # rows that repeat an id with different texts link their sets through the id
     same = usable.select("doc_id", "n", "key", "check").distinct().join(nodes, ["n", "key", "check"]).select(
         F.col("doc_id").alias("u"), F.col("id").alias("v")).where("u <> v")
-    links, left = None, members
+    links = write_once(linked(_nearest(members, weight), values, join))
+    left = members
     for turn in range(ROUNDS + 1):
-        if turn < ROUNDS:
-            led = write_once(_led(left.select("sig", "id", "n"), weight))
-            pairs = led.select(F.least("id", "leader").alias("u"), F.greatest("id", "leader").alias("v"),
-                               F.col("n").alias("un"), F.col("leader_n").alias("vn"))
-        else:
-            pairs = _across(left, join.percent)
-        found = write_once(linked(pairs, values, join))
-        links = found if links is None else links.unionByName(found)
-        if turn == ROUNDS:
-            break
         joined = write_once(connected_components(links)).withColumnRenamed("node", "id")
-        left = led.select("sig", "id", "n")
-        for _ in range(PEELINGS):
-            left = write_once(_peeled(_open(left, joined), values, join))
-        left = write_once(_open(left, joined))
+        left = write_once(_open(left.select("sig", "id", "n"), joined))
         if left.isEmpty():
             break
+        if turn < ROUNDS:
+            led = write_once(_led(left, weight))
+            pairs, left = _with_leader(led.where("component <> leader.component")), led
+        else:
+            for _ in range(PEELINGS):
+                left = write_once(_open(_peeled(left, values, join), joined))
+            pairs = _across(left, join.percent)
+        links = links.unionByName(write_once(linked(pairs, values, join)))
     joined = connected_components(links.unionByName(same)).withColumnRenamed("node", "id")
     final = nodes.join(joined, "id", "left").select("n", "key", "check", F.coalesce("component", "id").alias("component"))
     out = sets.join(final, ["n", "key", "check"], "left")
