@@ -158,6 +158,14 @@ class Encoder:
         ends = np.append(begins[1:], len(points))
         keys = ta.span_hashes(ta.prefix_sums(_values()[points]), begins, ends)
         keys[keys == 0] = 1
+        found = [self._block(decoded, begins[a:a + REMEMBERED], ends[a:a + REMEMBERED], keys[a:a + REMEMBERED])
+                 for a in range(0, len(keys), REMEMBERED)]
+        ids, lengths = (np.concatenate(x) for x in zip(*found))
+        total = np.concatenate([[0], np.cumsum(lengths)])
+        return ids, total[np.searchsorted(begins, offsets)]
+
+    def _block(self, decoded: str, begins: np.ndarray, ends: np.ndarray, keys: np.ndarray):
+        """Ids of at most REMEMBERED pieces, so that all of them can be known at once, and how many each has."""
         numbers = self._find(keys)
         missing = np.flatnonzero(numbers < 0)
         if len(missing):
@@ -168,14 +176,10 @@ class Encoder:
                 new, first = np.unique(keys, return_index=True)
             where = missing[first]
             pieces = [decoded[a:b] for a, b in zip(begins[where].tolist(), ends[where].tolist())]
-            for a in range(0, len(pieces), REMEMBERED):
-                self._add(new[a:a + REMEMBERED], [e.ids for e in self.tokenizer.encode_batch_fast(
-                    pieces[a:a + REMEMBERED], add_special_tokens=False)])
+            self._add(new, [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
             numbers[missing] = self._find(keys[missing])
         lengths = self.lengths[numbers].astype(np.int64)
-        ids = self.arena[ta.ragged(self.starts[numbers], lengths)]
-        total = np.concatenate([[0], np.cumsum(lengths)])
-        return ids, total[np.searchsorted(begins, offsets)]
+        return self.arena[ta.ragged(self.starts[numbers], lengths)], lengths
 
 
 @cache

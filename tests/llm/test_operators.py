@@ -37,6 +37,19 @@ def test_words_and_token_ids():
         assert found == WORD.findall(t)
 
 
+def test_token_ids_beyond_what_is_remembered(monkeypatch):
+    """Texts with more distinct pieces than the encoder keeps, alone and in one batch with others, have all their ids."""
+    monkeypatch.setattr(tokens, "REMEMBERED", 64)
+    encoder = tokens.Encoder()
+    texts = [" ".join(f"{i * 7919:x}" for i in range(500)), "one two three", " ".join(map(str, range(300))) + " one two", "two 漢 three"]
+    for some in ([texts[0]], texts[:3], texts, texts[:1] * 2):
+        (_, batch), = textarrays.text_pieces(pa.array(some, pa.string()))
+        ids, offsets = encoder.encode(batch)
+        want = [e.ids for e in encoder.tokenizer.encode_batch(some, add_special_tokens=False)]
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == want
+        assert encoder.known <= 64
+
+
 def test_mix(spark, documents):
     rows = [(i, prose(i, 5 + i % 40), "en", ["a", "b", "c", None][min(3, i % 9)]) for i in range(200)]
     rows += [(7, rows[7][1], "en", rows[7][3]), (None, "x y", "en", "a"), (900, None, "en", "b"), (901, "", "en", "d")]
