@@ -213,43 +213,47 @@ def shared_signatures(docs: DataFrame, join: Join, sets: DataFrame, doc_id: str
 
 
 def with_values(docs: DataFrame, wanted: DataFrame, join: Join, doc_id: str, text: str) -> DataFrame:
-    """(id, key, n, values): the packed sets of the documents in ``wanted`` (id, key)."""
+    """(id, first, n, values): the packed sets of the nodes in ``wanted`` (n, key, check, id, first), read from a row of ``first``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in ta.text_pieces(batch.column(1)):
+            for _, texts in ta.text_pieces(batch.column(1)):
                 sets = shingles(texts, join.words)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, texts.n), pa.array([set_key(s, 5) for s in sets], pa.int64()),
-                     pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["id", "key", "n", "values"])
+                    [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s, 5) for s in sets], pa.int64()),
+                     pa.array([set_key(s, 6) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    names=["n", "key", "check", "values"])
 
-    rows = _rows(docs, doc_id, text).join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    sets = rows.mapInArrow(run, "id bigint, key bigint, n bigint, values binary")
-    return sets.join(wanted, ["id", "key"], "left_semi").dropDuplicates(["id", "key"])
+    every = _rows(docs, doc_id, text)
+    rows = every.join(wanted.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
+    if not wanted.where("first is null").isEmpty():
+        rows = rows.unionByName(every.where("doc_id is null"))
+    sets = rows.mapInArrow(run, "n bigint, key bigint, check bigint, values binary").dropDuplicates(["n", "key", "check"])
+    return sets.join(wanted, ["n", "key", "check"]).select("id", "first", "n", "values")
 
 
 def linked(pairs: DataFrame, values: DataFrame, join: Join) -> DataFrame:
-    """The pairs (u, v) of ids whose sets link; both sets are compared value by value. ``un`` and ``vn`` are their sizes.
+    """The pairs (u, v) of nodes whose sets link, with the first document of each (``ufirst``, ``vfirst``).
 
-    The pairs are written first, so that a small table of them goes to the sets instead of all sets to the pairs.
+    Both sets are compared value by value. ``un`` and ``vn`` are their sizes. The pairs are written first, so that a small table of them goes
+    to the sets instead of all sets to the pairs.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            us, vs = [], []
-            for u, v, a, b in zip(*(c.to_pylist() for c in batch.columns[:2]), *batch.columns[2:]):
+            found = []
+            for i, (a, b) in enumerate(zip(*batch.columns[4:])):
                 x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
                 place = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 common = int((y[place] == x).sum())
                 if join.needs(common, len(x) + len(y) - common):
-                    us.append(u)
-                    vs.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+                    found.append(i)
+            yield batch.select([0, 1, 2, 3]).take(pa.array(found, pa.int64()))
 
-    a, b = (values.select(F.col("id").alias(i), F.col("values").alias(v)) for i, v in (("u", "a"), ("v", "b")))
+    a, b = (values.select(F.col("id").alias(i), F.col("first").alias(f"{i}first"), F.col("values").alias(v)) for i, v in (("u", "a"), ("v", "b")))
     likely = pairs.where(100 * F.least("un", "vn") >= join.percent * F.greatest("un", "vn")).select("u", "v").distinct()
     near = write_once(likely)
     b = b.join(near.select("v").distinct(), "v", "left_semi")
-    return near.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint").distinct()
+    return near.join(a, "u").join(b, "v").select("u", "v", "ufirst", "vfirst", "a", "b").mapInArrow(
+        run, "u bigint, v bigint, ufirst bigint, vfirst bigint").distinct()
 
 
 def _led(members: DataFrame, weight: DataFrame) -> DataFrame:
@@ -324,36 +328,25 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     return a.join(b, (a["sig"] == b["sig"]) & likely).select("u", "v", "un", "vn")
 
 
-def components(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest id reachable by links) and set_key.
-
-    Equal sets share a key and are one node, whose name is their smallest id. Sets that share a signature are candidates.
-    Every set is first compared with the most central set that it meets in any bucket, and links join components. Buckets
-    whose members are still apart go on: the bucket's most central set is compared with those of other components, then
-    sets with too many values of their own drop out, and at last all likely pairs of a bucket that lie in different
-    components are compared. So no link between components is missed, while a group of near copies costs about one comparison a member.
+def _linked_sets(docs: DataFrame, join: Join, sets: DataFrame, usable: DataFrame, doc_id: str,
+                 text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes (n, key, check, first, id), links and components (id, component) of the different sets in ``usable``.
 
-    A null or blank text has no shingle, size 0, and is alone. Rows with a null id take no part and have no component. Rows
-    that repeat an id are one node with all their texts. An empty table gives an empty result. Other columns are not read.
+    Every different set is one node with a number of its own; ``first`` is the smallest id of its documents, null if none has one.
     """
-    sets = write_once(document_sets(docs, join, doc_id, text))
-    usable = sets.where("n > 0 and doc_id is not null")
-    nodes = write_once(usable.groupBy("n", "key", "check").agg(F.min("doc_id").alias("id")))
+    nodes = write_once(usable.groupBy("n", "key", "check").agg(F.min("doc_id").alias("first")).withColumn(
+        "id", F.monotonically_increasing_id()))
     shared = shared_signatures(docs, join, sets, doc_id, text)
     members = write_once(shared.join(nodes.select("key", "id", "n"), "key").select("sig", "id", "n"))
     weight = write_once(members.groupBy("id").agg(F.count(F.lit(1)).alias("shared")))
-    wanted = nodes.join(weight, "id", "left_semi").select("id", "key")
-    values = write_once(with_values(docs, wanted, join, doc_id, text))
-    # rows that repeat an id with different texts link their sets through the id
-    same = usable.select("doc_id", "n", "key", "check").distinct().join(nodes, ["n", "key", "check"]).select(
-        F.col("doc_id").alias("u"), F.col("id").alias("v")).where("u <> v")
+    values = write_once(with_values(docs, nodes.join(weight, "id", "left_semi"), join, doc_id, text))
     links = write_once(linked(_nearest(members, weight), values, join))
     left = members
     for turn in range(ROUNDS + 1):
         joined = write_once(connected_components(links)).withColumnRenamed("node", "id")
         left = write_once(_open(left.select("sig", "id", "n"), joined))
         if left.isEmpty():
-            break
+            return nodes, links, joined
         if turn < ROUNDS:
             led = write_once(_led(left, weight))
             pairs, left = _with_leader(led.where("component <> leader.component")), led
@@ -362,8 +355,30 @@ def components(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", tex
                 left = write_once(_open(_peeled(left, values, join), joined))
             pairs = _across(left, join.percent)
         links = links.unionByName(write_once(linked(pairs, values, join)))
-    joined = connected_components(links.unionByName(same)).withColumnRenamed("node", "id")
-    final = nodes.join(joined, "id", "left").select("n", "key", "check", F.coalesce("component", "id").alias("component"))
+    return nodes, links, connected_components(links).withColumnRenamed("node", "id")
+
+
+def components(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest id reachable by links) and set_key.
+
+    Equal sets share a key and are one node. Sets that share a signature are candidates.
+    Every set is first compared with the most central set that it meets in any bucket, and links join components. Buckets
+    whose members are still apart go on: the bucket's most central set is compared with those of other components, then
+    sets with too many values of their own drop out, and at last all likely pairs of a bucket that lie in different
+    components are compared. So no link between components is missed, while a group of near copies costs about one comparison a member.
+
+    A null or blank text has no shingle, size 0, and is alone. Rows with a null id take no part and have no component. Rows
+    that repeat an id link all their texts. An empty table gives an empty result. Other columns are not read.
+    """
+    sets = write_once(document_sets(docs, join, doc_id, text))
+    usable = sets.where("n > 0 and doc_id is not null")
+    nodes, links, _ = _linked_sets(docs, join, sets, usable, doc_id, text)
+    # every set is named by its first document here, and rows that repeat an id with different texts link their sets through it
+    same = usable.select("doc_id", "n", "key", "check").distinct().join(nodes, ["n", "key", "check"]).select(
+        F.col("doc_id").alias("u"), F.col("first").alias("v")).where("u <> v")
+    named = links.select(F.col("ufirst").alias("u"), F.col("vfirst").alias("v"))
+    joined = connected_components(named.unionByName(same)).withColumnRenamed("node", "first")
+    final = nodes.join(joined, "first", "left").select("n", "key", "check", F.coalesce("component", "first").alias("component"))
     out = sets.join(final, ["n", "key", "check"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").alias("set_key"))

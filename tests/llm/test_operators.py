@@ -311,6 +311,16 @@ def test_jaccard_join(documents, words, percent):
     assert partenum.components(docs.where("false")).count() == 0
 
 
+def test_jaccard_join_with_several_texts_of_one_id(documents):
+    """All texts of an id are compared, also when a longer one stands in every bucket of the one that links."""
+    u = " ".join(f"u{i}" for i in range(13))
+    rows = [(1, u), (1, u + " t1955 s r"), (2, u + " x5"), (3, prose(1, 30)), (3, prose(2, 30)), (4, prose(2, 30) + " end"), (5, prose(1, 30))]
+    out = partenum.components(documents(rows), partenum.Join(4, 85)).collect()
+    want = components_by_definition(rows, 4, 85)
+    assert {(r.doc_id, r.component_id) for r in out} == {(i, c) for i, (_, c) in want.items()}
+    assert want[2][1] == 1 and want[4][1] == want[5][1] == 3
+
+
 def test_signatures_never_miss():
     """Any two sets that are similar enough share a signature."""
     rng = np.random.default_rng(6)
