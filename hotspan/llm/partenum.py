@@ -385,11 +385,53 @@ def components(docs: DataFrame, join: Join = Join(), doc_id: str = "doc_id", tex
 
 
 def one_of_each(docs: DataFrame, join: Join = Join(words=5, percent=80), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without near duplicates: of each component the row of its smallest id stays, with all columns.
+    """The documents without near duplicates: one row of each component of linked sets stays, with all columns.
 
-    Documents without shingles and rows without id all stay; of rows that repeat an id and its text one stays.
+    Rows are told apart by id and set, and ids link nothing: the row with the smallest id of the component stays, one without
+    id only if none has one. So one of rows that repeat an id and its text stays, one of copies without id, and of an id with
+    different texts each that resembles nothing with a smaller id. Rows without shingles all stay.
     """
-    groups = components(docs, join, doc_id, text)
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone.withColumnRenamed("doc_id", "_gone"), F.col(doc_id) == F.col("_gone"), "left_anti")
-    return kept
+    sets = write_once(document_sets(docs, join, doc_id, text))
+    nodes, _, joined = _linked_sets(docs, join, sets, sets.where("n > 0"), doc_id, text)
+    best = F.min(F.struct(F.col("first").isNull(), "first", "n", "key", "check")).alias("best")
+    named = nodes.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    stay = write_once(named.groupBy("component").agg(best).select(*(f"best.{c}" for c in ("first", "n", "key", "check"))))
+    # an id of a single row stays or goes as a whole; only rows that repeat an id or have none are looked at one by one
+    marked = sets.where("doc_id is not null").join(
+        stay.withColumnRenamed("first", "doc_id").withColumn("stays", F.lit(True)), ["doc_id", "n", "key", "check"], "left")
+    per_id = marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.bool_and(F.coalesce("stays", F.col("n") == 0)).alias("stays"))
+    away = write_once(per_id.where("rows > 1 or not stays").select(F.col("doc_id").alias("_id"), "rows"))
+    number = F.col(f"`{doc_id}`").cast("bigint")
+    once = docs.where(number.isNotNull()).join(away.select("_id"), number == F.col("_id"), "left_anti")
+    repeated = away.where("rows > 1").select("_id")
+    several = []
+    if not repeated.isEmpty():
+        several.append(docs.join(repeated, number == F.col("_id"), "left_semi"))
+    if not sets.where("doc_id is null").isEmpty():
+        several.append(docs.where(number.isNull()))
+    for rows in several:
+        once = once.unionByName(_one_row_of_each(rows, stay, join, doc_id, text))
+    return once
+
+
+def _one_row_of_each(docs: DataFrame, stay: DataFrame, join: Join, doc_id: str, text: str) -> DataFrame:
+    """One of the rows for each id and set in ``stay`` (first, n, key, check), and all rows without shingles."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in ta.text_pieces(batch.column(2)):
+                sets = shingles(texts, join.words)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, texts.n), batch.column(1).slice(at, texts.n), pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array([set_key(s, 5) for s in sets], pa.int64()), pa.array([set_key(s, 6) for s in sets], pa.int64())],
+                    names=["doc", "doc_id", "n", "key", "check"])
+
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"),
+                        F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    schema = f"doc {whole.schema['doc'].dataType.simpleString()}, doc_id bigint, n bigint, key bigint, check bigint"
+    rows = whole.mapInArrow(run, schema)
+    same = rows["doc_id"].eqNullSafe(stay["first"]) & (rows["n"] == stay["n"]) & (rows["key"] == stay["key"]) & (rows["check"] == stay["check"])
+    found = rows.join(stay, same, "left_semi")
+    fixed = [F.col("doc").getField(c) for c, kind in docs.dtypes if "map<" not in kind]  # columns that can be hashed
+    first = F.min_by("doc", F.struct(F.col("doc").getField(text), F.xxhash64(*fixed))).alias("doc")
+    kept = found.groupBy("doc_id", "n", "key", "check").agg(first).select("doc.*")
+    return rows.where("n = 0").select("doc.*").unionByName(kept)

@@ -321,6 +321,23 @@ def test_jaccard_join_with_several_texts_of_one_id(documents):
     assert want[2][1] == 1 and want[4][1] == want[5][1] == 3
 
 
+def test_one_of_each_decides_by_row(documents):
+    a, b, c, d, e = (prose(i, 40) for i in range(5))
+    rows = [(1, a), (1, a), (2, a + " end"),                # repeated rows and a near copy
+            (None, b), (None, b), (None, b + " end"),       # copies without id
+            (None, c), (5, c + " end"), (None, c),          # copies without id of a document with one
+            (7, d), (8, d + " end"), (8, e), (8, e),        # one text of an id is a near copy, the other is not
+            (9, None), (10, ""), (None, " "), (9, None)]    # no shingles
+    docs = documents(rows)
+    out = partenum.one_of_each(docs)
+    assert out.schema.simpleString() == docs.schema.simpleString()
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    near = [k for k in got if k[1] in (b, b + " end")]
+    assert len(near) == 1 and near[0][0] is None and got.pop(near[0]) == 1
+    assert got == Counter([(1, a), (5, c + " end"), (7, d), (8, e), (9, None), (10, ""), (None, " "), (9, None)])
+    assert partenum.one_of_each(docs.where("false")).count() == 0
+
+
 def test_signatures_never_miss():
     """Any two sets that are similar enough share a signature."""
     rng = np.random.default_rng(6)
