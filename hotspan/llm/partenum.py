@@ -106,16 +106,16 @@ def band(size: int) -> int:
 def signatures(values: np.ndarray, percent: int) -> np.ndarray:
     """All signatures of one set (ascending hashes), as 64-bit hashes.
 
-    A set signs for its own band, and for the one below if a set there could be similar enough. A subset without any
+    A set signs for its own band, and for all below in which a set could be similar enough. A subset without any
     value is left out if the set has at most ``spare`` parts in which that happens, for it then has enough other
     parts; otherwise it is kept, so no similar pair can be missed.
     """
     size, out = len(values), []
     own = band(size)
-    for number in (own, own - 1):
-        if number < 0 or (number < own and 100 * level(number, percent).high < percent * size):
-            continue
+    for number in range(own, -1, -1):
         lv = level(number, percent)
+        if number < own and 100 * lv.high < percent * size:
+            break
         if lv.k == 0:
             continue  # only equal sets are similar, and those have one key
         cells = lv.parts * lv.cuts

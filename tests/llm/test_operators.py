@@ -349,3 +349,14 @@ def test_signatures_never_miss():
         common = len(np.intersect1d(a, b))
         if 100 * common >= 85 * (len(a) + len(b) - common) and len(a) != common:
             assert len(np.intersect1d(partenum.signatures(a, 85), partenum.signatures(b, 85)))
+
+
+@pytest.mark.parametrize("percent", [40, 50, 67, 80, 85])
+def test_signatures_reach_every_band(percent):
+    """A set shares a signature with the smallest part of it that is similar enough, however many bands lie between."""
+    rng = np.random.default_rng(7)
+    for n in range(2, 80):
+        a = np.unique(rng.integers(0, 2 ** 63, n).astype(np.uint64) * np.uint64(2))
+        b = a[:-(-percent * len(a) // 100)]
+        if len(b) < len(a):
+            assert len(np.intersect1d(partenum.signatures(a, percent), partenum.signatures(b, percent)))
