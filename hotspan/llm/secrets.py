@@ -77,12 +77,16 @@ def random_strings(spark, n: int = SAMPLE_STRINGS) -> DataFrame:
 
 def ordinary_identifiers(docs: DataFrame, text: str = "text", documents: int = SAMPLE_DOCUMENTS) -> DataFrame:
     """Labelled examples of ordinary identifiers: words of a bounded sample of documents, alone and joined in pairs
-    as snake case, camel case, with hyphens, as paths and with a number."""
-    clean = F.regexp_replace(F.col(text), "|".join((ASSIGN, ACCESS, HEX)), " ")
-    chance = 2.0 * documents / max(1, docs.count())  # thins out ahead of the sort, so that it sees a bounded number of rows
-    drawn = F.pmod(F.xxhash64(text), F.lit(1_000_003)) < F.lit(1_000_003 * chance)
-    sample = docs.where(F.col(text).isNotNull() & drawn).select(
-        F.substring(clean, 1, 4000).alias("t"), F.xxhash64(text).alias("k")).orderBy("k").limit(documents)
+    as snake case, camel case, with hyphens, as paths and with a number.
+
+    The sample is drawn from different texts, so that copies count once, and takes each text as a whole.
+    """
+    clean = F.regexp_replace("t", "|".join((ASSIGN, ACCESS, HEX)), " ")
+    hashed = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t"), F.xxhash64(text).alias("k"))
+    different = hashed.agg(F.approx_count_distinct("k")).first()[0]
+    chance = 2.0 * documents / max(1, different)  # thins out ahead of the sort, so that it sees a bounded number of texts
+    drawn = hashed.where(F.pmod("k", F.lit(1_000_003)) < F.lit(1_000_003 * chance))
+    sample = drawn.groupBy("k").agg(F.min("t").alias("t")).orderBy("k").limit(documents).select(clean.alias("t"), "k")
     words = sample.select("k", F.filter(F.regexp_extract_all("t", F.lit("[A-Za-z]{3,}"), F.lit(0)), lambda w: F.length(w) < 20).alias("w"))
     pairs = words.select("k", F.posexplode(F.zip_with("w", F.expr("slice(w, 2, greatest(size(w), 1))"), lambda a, b: F.struct(
         a.alias("a"), b.alias("b")))).alias("i", "p")).where("p.b is not null")

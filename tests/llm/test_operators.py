@@ -110,6 +110,17 @@ def test_secrets(spark, documents):
     assert secrets.secret_spans(documents([]), model).count() == 0
 
 
+def test_ordinary_identifiers_of_whole_and_different_texts(documents):
+    """Words at the end of a long text train the model, and many copies of a text count once."""
+    long = "plain words " * 1000 + "zebra quokka"
+    found = {r.s for r in secrets.ordinary_identifiers(documents([(1, long), (2, None)])).collect()}
+    assert any("zebra" in s for s in found)
+    texts = [f"{a}lpha {a}eta" for a in "bcdfghjk"]
+    docs = documents([(i, t) for i, t in enumerate(texts)] + [(100 + i, t) for i in range(300) for t in texts[:4]])
+    found = [r.s.lower() for r in secrets.ordinary_identifiers(docs, documents=8).collect()]
+    assert len(found) == 8 and {s[0] for s in found} == set("bcdfghjk")
+
+
 def test_licenses(documents):
     notice = licenses.PASSAGES[0][1].replace("to use,", "to freely use,")
     texts = ["Released under the MIT License. The Apache\nLicense, too; mit license", "general public", "GNU General Public License", None, "",
