@@ -6,6 +6,7 @@ import sys
 import time
 
 import duckdb
+import pandas as pd
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels"
           " conversations").split()
@@ -19,13 +20,14 @@ def oracle_connection(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def canonical(frame) -> tuple[list[str], list[tuple]]:
-    """Column names and sorted rows with NaN, NaT and None folded together."""
+    """Column names and sorted rows with NaN, NaT, NA and None folded together, whole numbers as integers of either type."""
     columns = sorted(frame.columns)
 
     def plain(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return None
-        return v.item() if hasattr(v, "item") else v
+        v = v.item() if hasattr(v, "item") else v
+        return int(v) if isinstance(v, float) and v.is_integer() else v
 
     rows = [tuple(plain(v) for v in row) for row in frame[columns].itertuples(index=False, name=None)]
     return columns, sorted(rows, key=lambda r: tuple((v is None, str(v)) for v in r))
