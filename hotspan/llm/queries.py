@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hotspan.llm import fingerprints, fit_packing, langid, licenses, mixing, partenum, quality, secrets, tier_packing, topk
+from hotspan.llm import (fingerprints, fit_packing, langid, language_model, licenses, merkle, mixing, partenum, prefix_trie, quality,
+                         secrets, tier_packing, topk)
+from hotspan.storage import write_once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -126,6 +128,120 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash tree over the documents of each source, and every document (some edited) checked against its root."""
+    docs = table(spark, sf_dir, "documents")
+    head = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    edit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    edited = F.when(edit, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    leaves = docs.select("doc_id", "source", merkle.leaf_hash([*head, F.col("text")]).alias("leaf"),
+                         merkle.leaf_hash([*head, edited]).alias("tampered"))
+    rows = merkle.manifest(leaves, "source", "doc_id", "leaf", ["doc_id", "tampered"]).rows
+    checked = rows.select("doc_id", F.col("node").alias("leaf"), "subroot", "root",
+                          F.sha2(merkle.proof_text(F.col("path")), 256).alias("proof_sha256"),
+                          merkle.folded(F.col("tampered"), F.col("path")).alias("folded_root"))
+    return checked.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE fields AS (
+  SELECT doc_id, source, text, replace(text, chr(10), '') AS cut,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-') AS head,
+         list_reduce([4294967295] || [ascii(x)::BIGINT FOR x IN string_split(doc_id::VARCHAR, '')],
+           lambda c, b: list_reduce([xor(c, b), 1, 2, 3, 4, 5, 6, 7, 8], lambda s, i: xor(s >> 1, 3988292384 * (s & 1)))) AS crc
+  FROM documents),
+leaves AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN crc % 2 = 1 THEN sha256(head || coalesce(strlen(cut) || ':' || cut, '-'))
+              ELSE sha256(head || coalesce(strlen(text) || ':' || text, '-')) END AS tampered FROM fields),
+placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p FROM leaves),
+tree AS (
+  SELECT g, 0 AS lvl, p, leaf AS node, count(*) OVER (PARTITION BY g) AS n FROM placed
+  UNION ALL
+  SELECT g, lvl + 1, p // 3, sha256(string_agg(node, '' ORDER BY p)), (any_value(n) + 2) // 3 FROM tree WHERE n > 1 GROUP BY g, lvl, p // 3),
+subroots AS (SELECT g, node FROM tree WHERE n = 1),
+top AS (
+  SELECT 0 AS lvl, g AS p, node, (SELECT count(*) FROM subroots) AS n FROM subroots
+  UNION ALL
+  SELECT lvl + 1, p // 3, sha256(string_agg(node, '' ORDER BY p)), (any_value(n) + 2) // 3 FROM top WHERE n > 1 GROUP BY lvl, p // 3),
+runs AS (
+  SELECT g, lvl, p // 3 AS up, list(node ORDER BY p) AS run FROM tree WHERE n > 1 GROUP BY ALL
+  UNION ALL
+  SELECT -1, lvl, p // 3, list(node ORDER BY p) FROM top WHERE n > 1 GROUP BY ALL),
+fold AS (
+  SELECT doc_id, leaf, g, p AS first, 0 AS lvl, p, tampered AS own, '' AS siblings FROM placed
+  UNION ALL
+  SELECT doc_id, leaf, f.g, first, f.lvl + 1, p // 3,
+         sha256(array_to_string(run[:p % 3], '') || own || array_to_string(run[p % 3 + 2:], '')),
+         siblings || array_to_string(run[:p % 3], '') || array_to_string(run[p % 3 + 2:], '')
+  FROM fold f JOIN runs r ON r.g = f.g AND r.lvl = f.lvl AND r.up = f.p // 3),
+ended AS (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY g, first ORDER BY lvl DESC) = 1),
+fold2 AS (
+  SELECT doc_id, leaf, g, first, 0 AS lvl, g AS p, own, siblings FROM ended
+  UNION ALL
+  SELECT doc_id, leaf, f.g, first, f.lvl + 1, p // 3,
+         sha256(array_to_string(run[:p % 3], '') || own || array_to_string(run[p % 3 + 2:], '')),
+         siblings || array_to_string(run[:p % 3], '') || array_to_string(run[p % 3 + 2:], '')
+  FROM fold2 f JOIN runs r ON r.g = -1 AND r.lvl = f.lvl AND r.up = f.p // 3),
+done AS (SELECT * FROM fold2 QUALIFY row_number() OVER (PARTITION BY g, first ORDER BY lvl DESC) = 1)
+SELECT doc_id, leaf, s.node AS subroot, t.node AS root, sha256(siblings) AS proof_sha256, own AS folded_root, own = t.node AS verified
+FROM done JOIN subroots s USING (g), (SELECT node FROM top WHERE n = 1) t
+"""
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of conversations that start with turns of the conversation at the last multiple of 20."""
+    turns = write_once(prefix_trie.numbered_turns(table(spark, sf_dir, "conversations")))
+    own = F.col("conv_id")
+    borrowed = (F.crc32(own.cast("string").cast("binary")) % 4).cast("int")
+    return prefix_trie.prefix_trie(*prefix_trie.rebuilt(turns, own - own % 20, borrowed, 3))
+
+
+OP12_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, xor(4294967295, list_reduce([4294967295] || [ascii(x)::BIGINT FOR x IN string_split(conv_id::VARCHAR, '')],
+           lambda c, b: list_reduce([xor(c, b), 1, 2, 3, 4, 5, 6, 7, 8], lambda s, i: xor(s >> 1, 3988292384 * (s & 1))))) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)),
+built AS (
+  SELECT c.conv_id, 0 AS part, t.place, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 20 AND t.place < c.h
+  UNION ALL
+  SELECT c.conv_id, 1, t.place, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.place >= c.h),
+paths AS (
+  SELECT conv_id, depth, words, string_agg(own, '') OVER (PARTITION BY conv_id ORDER BY depth) AS key FROM (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, place) AS depth,
+           len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words, sha256(strlen(role) || ':' || role || text) AS own FROM built)
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+nodes AS (SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM paths GROUP BY key, depth),
+lengths AS (SELECT conv_id, max(depth) AS depth FROM paths GROUP BY conv_id),
+ends AS (
+  SELECT p.key, sha256(string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id)) AS ends_sha256 FROM paths p JOIN lengths USING (conv_id, depth) GROUP BY p.key),
+kids AS (SELECT left(key, length(key) - 64) AS key, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+links AS (SELECT DISTINCT a.key AS up, b.key AS down FROM paths a JOIN paths b ON a.conv_id = b.conv_id AND a.depth <= b.depth),
+sums AS (
+  SELECT l.up AS key, count(*) FILTER (k.key IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.words) AS saved
+  FROM links l JOIN nodes n ON n.key = l.down LEFT JOIN kids k ON k.key = l.down GROUP BY l.up)
+SELECT n.conv_id::BIGINT AS conv_id, n.depth::BIGINT AS depth, p.conv_id::BIGINT AS parent_conv_id, n.n_convs::BIGINT AS n_convs,
+       coalesce(k.n_children, 0)::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens,
+       coalesce(e.ends_sha256, sha256('')) AS ends_sha256
+FROM nodes n JOIN sums s USING (key) LEFT JOIN kids k USING (key) LEFT JOIN ends e USING (key)
+LEFT JOIN nodes p ON n.depth > 0 AND p.key = left(n.key, length(n.key) - 64)
+"""
+
+
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document, learnt from nine tenths of them."""
+    held_out = fold("doc_id", 10, 0)
+    docs = table(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), "text")
+    return language_model.score_texts(docs, ~F.col("held_out"), ["doc_id", "held_out"])
+
+
 #: name -> (query, SQL or None)
 QUERIES = {
     "op1_quality": (op1_quality, None),
@@ -138,4 +254,7 @@ QUERIES = {
     "op8_exact_top_k": (op8_exact_top_k, OP8_SQL),
     "op9_fingerprints": (op9_fingerprints, None),
     "op10_license_scan": (op10_license_scan, None),
+    "op11_merkle_manifest": (op11_merkle_manifest, OP11_SQL),
+    "op12_prefix_trie": (op12_prefix_trie, OP12_SQL),
+    "op13_lm_scores": (op13_lm_scores, None),
 }
