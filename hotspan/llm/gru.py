@@ -13,7 +13,7 @@ END, OTHER = 0, 1
 CLASSES, CLASS_SIZE, HIDDEN = 32, 32, 24
 WORDS = CLASSES * CLASS_SIZE - 1
 #: Documents that are read side by side, and steps between two updates or flushes.
-LANES, WINDOW = 256, 16
+LANES, WINDOW = 256, 32
 RATE = 0.05
 _UNUSED = -30.0
 
@@ -80,7 +80,12 @@ def windows(tokens: np.ndarray, starts: np.ndarray, sizes: np.ndarray, steps: in
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
+    """Logistic function, written over its argument."""
+    x *= np.float32(0.5)
+    np.tanh(x, out=x)
+    x *= np.float32(0.5)
+    x += np.float32(0.5)
+    return x
 
 
 def run_window(net: Network, ids: np.ndarray, state: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -93,17 +98,33 @@ def run_window(net: Network, ids: np.ndarray, state: np.ndarray, keep: list | No
         x, u = inputs[row], state @ recurrent
         gates = _sigmoid(x[:, :2 * hidden] + u[:, :2 * hidden])
         z, r, un = gates[:, :hidden], gates[:, hidden:], u[:, 2 * hidden:]
-        n = np.tanh(x[:, 2 * hidden:] + r * un)
-        goes_on = (row != END)[:, None]
+        n = r * un
+        n += x[:, 2 * hidden:]
+        np.tanh(n, out=n)
+        ended = np.flatnonzero(row == END)
         if keep is not None:
-            keep.append((z, r, n, un, goes_on))
-        state = (n + z * (state - n)) * goes_on
+            keep.append((z, r, n, un, ended))
+        state = state - n
+        state *= z
+        state += n
+        state[ended] = 0
     return before, state
 
 
-def _log_softmax(logits: np.ndarray) -> np.ndarray:
-    top = logits.max(1, keepdims=True)
-    return logits - top - np.log(np.exp(logits - top).sum(1, keepdims=True))
+def _log_softmax_at(logits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Log-softmax of each row at one place; the logits are written over."""
+    logits -= logits.max(1, keepdims=True)
+    own = logits[np.arange(len(places)), places]
+    return own - np.log(np.exp(logits, out=logits).sum(1))
+
+
+def _softmax_error(logits: np.ndarray, places: np.ndarray, scale: np.float32) -> np.ndarray:
+    """Gradient of the scaled log loss for the logits, written over them."""
+    logits -= logits.max(1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits *= scale / logits.sum(1, keepdims=True)
+    logits[np.arange(len(places)), places] -= scale
+    return logits
 
 
 def _places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,10 +144,9 @@ def _by_class(classes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 def log_probabilities(net: Network, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Natural log-probability of each id given the state before it: of its class, and within the class."""
     classes, places = _places(ids)
-    out = _log_softmax(states @ net.parts["class_w"] + net.parts["class_b"])[np.arange(len(ids)), classes]
+    out = _log_softmax_at(states @ net.parts["class_w"] + net.parts["class_b"], classes)
     for c, rows in _by_class(classes):
-        inner = _log_softmax(states[rows] @ net.parts["word_w"][c] + net.parts["word_b"][c])
-        out[rows] += inner[np.arange(len(rows)), places[rows]]
+        out[rows] += _log_softmax_at(states[rows] @ net.parts["word_w"][c] + net.parts["word_b"][c], places[rows])
     return out
 
 
@@ -175,22 +195,32 @@ class Trainer:
     def _update(self, ids: np.ndarray, inside: np.ndarray, state: np.ndarray) -> np.ndarray:
         net, keep = self.net.parts, []
         before, after = run_window(self.net, ids, state, keep)
-        up = np.zeros_like(before)
-        up[inside] = self._output(before[inside], ids[inside])
+        if inside.all():
+            up = self._output(before.reshape(-1, HIDDEN), ids.ravel()).reshape(before.shape)
+        else:
+            up = np.zeros_like(before)
+            up[inside] = self._output(before[inside], ids[inside])
         hidden, recurrent = HIDDEN, net["recurrent"]
         d_inputs = np.empty((*ids.shape, 3 * hidden), np.float32)
         d_recurrent = np.empty_like(d_inputs)
         down = np.zeros_like(state)
         for t in range(len(ids) - 1, -1, -1):
-            z, r, n, un, goes_on = keep[t]
-            down = down * goes_on
-            dn = down * (1 - z) * (1 - n * n)
-            dz = down * (before[t] - n) * z * (1 - z)
-            dr = dn * un * r * (1 - r)
-            d_inputs[t, :, :hidden], d_inputs[t, :, hidden:2 * hidden], d_inputs[t, :, 2 * hidden:] = dz, dr, dn
-            d_recurrent[t] = d_inputs[t]
-            d_recurrent[t, :, 2 * hidden:] *= r
-            down = down * z + d_recurrent[t] @ recurrent.T + up[t]
+            z, r, n, un, ended = keep[t]
+            down[ended] = 0
+            by_x, by_u = d_inputs[t], d_recurrent[t]
+            passed = down * z
+            dn = down - passed
+            dn *= 1 - n * n
+            dz = passed * (before[t] - n)
+            dz *= 1 - z
+            dr = dn * un
+            dr *= r - r * r
+            by_x[:, :hidden], by_x[:, hidden:2 * hidden], by_x[:, 2 * hidden:] = dz, dr, dn
+            by_u[:, :2 * hidden] = by_x[:, :2 * hidden]
+            np.multiply(dn, r, out=by_u[:, 2 * hidden:])
+            down = by_u @ recurrent.T
+            down += passed
+            down += up[t]
         self._step("recurrent", ..., before.reshape(-1, hidden).T @ d_recurrent.reshape(-1, 3 * hidden))
         flat = ids.ravel()
         by_id = np.argsort(flat, kind="stable")
@@ -202,17 +232,13 @@ class Trainer:
         """Update the output layers; gradient for the states."""
         net, scale = self.net.parts, np.float32(1 / len(ids))
         classes, places = _places(ids)
-        wrong = np.exp(_log_softmax(states @ net["class_w"] + net["class_b"]))
-        wrong[np.arange(len(ids)), classes] -= 1
-        wrong *= scale
+        wrong = _softmax_error(states @ net["class_w"] + net["class_b"], classes, scale)
         up = wrong @ net["class_w"].T
         self._step("class_w", ..., states.T @ wrong)
         self._step("class_b", ..., wrong.sum(0))
         for c, rows in _by_class(classes):
             own = states[rows]
-            wrong = np.exp(_log_softmax(own @ net["word_w"][c] + net["word_b"][c]))
-            wrong[np.arange(len(rows)), places[rows]] -= 1
-            wrong *= scale
+            wrong = _softmax_error(own @ net["word_w"][c] + net["word_b"][c], places[rows], scale)
             up[rows] += wrong @ net["word_w"][c].T
             self._step("word_w", c, own.T @ wrong)
             self._step("word_b", c, wrong.sum(0))

@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -118,7 +119,7 @@ def encode(docs: DataFrame, training: Column, counts: Counts, keep: list[str], t
                 out = {n: [] for n in ("row", "round", "n_tokens", "ids", "n_known", "log_known", "log_other", "n_other", "missing")}
                 for t in part.column(part.num_columns - 1):
                     own = words_of(t.as_py())
-                    found = np.fromiter((place.get(w, absent) for w in own), np.int64, len(own))
+                    found = np.fromiter(map(place.get, own, repeat(absent)), np.int64, len(own))
                     lost = Counter(own[i] for i in np.flatnonzero(found == absent).tolist())
                     tokens, known = ids[found], logs[found]
                     out["row"].append(row)
