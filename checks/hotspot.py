@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from checks.distribution import as_text, profile_sql
 from checks.registry import query
-from checks.tables import EVENTS, ORDERS, inc_events, inc_orders
+from checks.tables import CROWDED, EVENTS, ORDERS, inc_crowded, inc_events, inc_orders
 from hotspan.operators import clusters as C
 from hotspan.operators import hotspots as H
 
@@ -108,6 +108,12 @@ def density_clusters_orders(spark, sf_dir):
     return C.density_clusters(inc_orders(spark, sf_dir)).fillna(-1, ["cluster_id"])
 
 
+@query(f"{cluster_sql(CROWDED, 0.25, 700)} SELECT incident_id, coalesce(cluster_id, -1) AS cluster_id, is_core FROM clu")
+def density_clusters_crowded(spark, sf_dir):
+    """Hundreds of neighbours are asked for, so no cube is core by its own size."""
+    return C.density_clusters(inc_crowded(spark, sf_dir), 0.25, 700).fillna(-1, ["cluster_id"])
+
+
 @query(f"""{cluster_sql(EVENTS, 0.1, 10)} SELECT count(*) AS points, count(DISTINCT cluster_id) AS clusters, count(cluster_id) AS clustered,
   count(*) FILTER (is_core) AS core, count(*) FILTER (NOT is_core AND cluster_id IS NOT NULL) AS border, count(*) FILTER (cluster_id IS NULL) AS noise FROM clu""")
 def cluster_summary(spark, sf_dir):

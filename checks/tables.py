@@ -53,6 +53,19 @@ ORDERS = (f"inc AS (SELECT *, {_PARTS} FROM (SELECT o_orderkey AS incident_id, {
           f" {_degrees(_ORDER_LON)} AS longitude, o_orderpriority AS incident_type, o_orderdate AS occurred_at,"
           " CAST(NULL AS INT) AS hour FROM orders))")
 
+# Four hubs 11 km apart, each a mesh of 13 x 11 places about 50 m apart that many events share.
+_CROWDED_LAT = "337000 + (event_id%4)*1000 + ((event_id*7919)%13)*5"
+_CROWDED_LON = "-844500 + ((event_id*104729)%11)*5"
+CROWDED = (f"inc AS (SELECT event_id AS incident_id, {_degrees(_CROWDED_LAT)} AS latitude,"
+           f" {_degrees(_CROWDED_LON)} AS longitude FROM events)")
+
+
+def inc_crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and places of the events, crowded into four hubs."""
+    return table(spark, sf_dir, "events").selectExpr(
+        "event_id AS incident_id", f"{_degrees(_CROWDED_LAT)} AS latitude", f"{_degrees(_CROWDED_LON)} AS longitude")
+
+
 # --- text as it comes from files: bad numbers, several date layouts, missing values -----------------------------
 
 _DIRTY = """

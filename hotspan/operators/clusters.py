@@ -9,12 +9,15 @@ How it is spread over a cluster of machines:
 
 * Rows with equal coordinates collapse to one location first, so copies never travel.
 * Locations fall into cubes on the unit sphere whose diagonal is shorter than the radius. All points of one cube
-  are neighbours, so a cube with ``min_samples`` points is *dense*: all core, one graph node, and its internal
-  pairs are never produced. A sparse cube has fewer than ``min_samples`` points by definition.
-* Two neighbouring cubes are compared by their tight boxes: wholly within the radius, wholly out of it, or open.
-  Open pairs are split into octants and compared again; only small leftovers are compared point by point.
-  No step pairs up the contents of a heavily populated cube.
-* Lookups by cube split the cubes that hold a large share of all rows.
+  are neighbours, so a cube with ``min_samples`` points is all core, and its internal pairs are never produced.
+* Whether the locations of any other cube are core is settled for whole boxes first: the points in boxes that lie within
+  the radius of all of a box bound its neighbours from below, those in boxes that come within the radius bound them
+  from above. Only boxes that these bounds leave open are split into octants, down to small leftovers that are
+  compared point by point.
+* The core points of a cube form one node of the graph. Nodes of neighbouring cubes are compared by their tight boxes:
+  wholly within the radius, wholly out of it, or open; open pairs are split into octants and compared again. Points
+  that are not core are compared with such nodes only, never with each other.
+* A coordinate or cube with a large share of all rows is left to adaptive execution, which splits such partitions.
 """
 
 from __future__ import annotations
@@ -27,7 +30,6 @@ from pyspark.sql import functions as F
 
 from hotspan.functions.geo import EARTH_RADIUS_KM, haversine_km, unit_sphere
 from hotspan.operators.components import connected_components
-from hotspan.skew import HOT_MIN_ROWS, hot_keys, salted_lookup
 from hotspan.storage import spread_out, write_measured, write_once
 
 EPS_KM, MIN_SAMPLES = 0.5, 3
@@ -40,46 +42,36 @@ REACH = math.sqrt(3) / (1 - SLACK)
 LEAF_PAIRS = 4096
 
 AXES = ("x", "y", "z")
-# The half of the 5 x 5 x 5 block of cube offsets that follows its centre.
-HALF_BLOCK = "inline(array(%s)) as (dx, dy, dz)" % ", ".join(
-    f"struct({i // 25 - 2}L, {i // 5 % 5 - 2}L, {i % 5 - 2}L)" for i in range(63, 125))
+# The cubes around a cube, and the half of them that follows it.
+BLOCK, HALF_BLOCK = ("inline(array(%s)) as (dx, dy, dz)" % ", ".join(
+    f"struct({i // 25 - 2}L, {i // 5 % 5 - 2}L, {i % 5 - 2}L)" for i in range(first, 125) if i != 62) for first in (0, 63))
 BOX = [f"{side}_{a}" for side in ("lo", "hi") for a in AXES]
-ITEM = ["gid", "dense", "cube", "n", "m", "latitude", "longitude", *BOX]
+SIDE = ["gid", "cube", "n", "m", "latitude", "longitude", *BOX]
+
+# What is known of a box: all core, all not core, to be compared point by point, or to be split.
+CORE, OTHER, LEAF, SPLIT = "core", "other", "leaf", "split"
 
 
 @dataclass(frozen=True)
 class Clustering:
-    """A fitted clustering: what is needed to label any table with the same coordinates."""
+    """A fitted clustering. ``places`` holds every distinct coordinate pair with its cluster_id (NULL for noise) and is_core."""
 
-    eps_km: float
-    locations: DataFrame  # one row per distinct coordinate pair, with its row count
-    labels: DataFrame     # one row per occupied cube
-    hot: DataFrame        # cubes to split in lookups
-    rows: int             # incidents the clustering was fitted on
-    min_rows: int         # rows from which a cube may be split
+    places: DataFrame
 
-    def label(self, df: DataFrame, spread_by: list[str]) -> DataFrame:
+    def label(self, df: DataFrame) -> DataFrame:
         """Add cluster_id and is_core to a table with latitude and longitude; noise gets a NULL cluster."""
-        cubed = df.withColumn("_cube", _cube(_position(F.col("latitude"), F.col("longitude"), self.eps_km)))
-        labels = self.labels.withColumnRenamed("cube", "_cube")
-        found = salted_lookup(cubed, labels, ["_cube"], spread_by, self.hot, self.min_rows, self.rows)
-        own = F.filter("_members", lambda p: (p["latitude"] == F.col("latitude")) & (p["longitude"] == F.col("longitude")))
-        member = F.try_element_at(own, F.lit(1))
-        return found.select(
-            *df.columns, F.coalesce(F.col("_cluster"), member["cluster_id"]).alias("cluster_id"),
-            F.coalesce(F.col("_cluster").isNotNull() | member["is_core"], F.lit(False)).alias("is_core"))
+        found = df.join(self.places, ["latitude", "longitude"], "left")
+        return found.select(*df.columns, "cluster_id", F.coalesce("is_core", F.lit(False)).alias("is_core"))
 
     def is_empty(self) -> bool:
-        """Whether everything is noise. Runs one short job over the label table."""
-        inside = F.col("_cluster").isNotNull() | F.exists("_members", lambda p: p["cluster_id"].isNotNull())
-        return self.labels.where(inside).isEmpty()
+        """Whether everything is noise. Runs one short job over the places."""
+        return self.places.where(F.col("cluster_id").isNotNull()).isEmpty()
 
 
 def density_clusters(incidents: DataFrame, eps_km: float = EPS_KM, min_samples: int = MIN_SAMPLES) -> DataFrame:
     """(incident_id, cluster_id, is_core) for every incident."""
     fitted = fit_clusters(incidents, eps_km, min_samples)
-    return fitted.label(incidents.select("incident_id", "latitude", "longitude"), ["incident_id"]).select(
-        "incident_id", "cluster_id", "is_core")
+    return fitted.label(incidents.select("incident_id", "latitude", "longitude")).select("incident_id", "cluster_id", "is_core")
 
 
 def cluster_summary(clusters: DataFrame) -> DataFrame:
@@ -115,58 +107,116 @@ def _box_of(position: list[Column]) -> dict[str, Column]:
     return {f"lo_{a}": F.min(c) for a, c in zip(AXES, position)} | {f"hi_{a}": F.max(c) for a, c in zip(AXES, position)}
 
 
-def _boxes(locations: DataFrame, level: int) -> DataFrame:
-    """Occupied cubes of a level: rows, locations, smallest id and tight box. One aggregation with map-side combine."""
-    position = [F.col(a) for a in AXES]
-    return locations.groupBy(_cube(position, level).alias("cube")).agg(
+def _bounds(locations: DataFrame, *keys: Column) -> DataFrame:
+    """Rows, locations, smallest id and tight box of each group of locations. One aggregation with map-side combine."""
+    return locations.groupBy(*keys).agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("m"), F.min("loc_id").alias("gid"),
         # Only read where m = 1, and then they are the location's own coordinates.
         F.min("latitude").alias("latitude"), F.min("longitude").alias("longitude"),
-        *[c.alias(name) for name, c in _box_of(position).items()])
+        *[c.alias(name) for name, c in _box_of([F.col(a) for a in AXES]).items()])
+
+
+def _boxes(locations: DataFrame, level: int) -> DataFrame:
+    """Occupied cubes of a level with their bounds."""
+    return _bounds(locations, _cube([F.col(a) for a in AXES], level).alias("cube"))
+
+
+def _single(locations: DataFrame, *more: Column | str) -> DataFrame:
+    """Every location as a box of its own."""
+    return locations.select(
+        *more, F.col("loc_id").alias("gid"), "n", F.lit(1).cast("long").alias("m"), "latitude", "longitude",
+        *[F.col(a).alias(f"{side}_{a}") for side in ("lo", "hi") for a in AXES])
 
 
 def fit_clusters(incidents: DataFrame, eps_km: float = EPS_KM, min_samples: int = MIN_SAMPLES,
-                 leaf_pairs: int = LEAF_PAIRS, min_rows: int = HOT_MIN_ROWS) -> Clustering:
+                 leaf_pairs: int = LEAF_PAIRS) -> Clustering:
     """Cluster the incidents. ``incident_id`` must be unique; the coordinates must not be NULL."""
     positions = _position(F.col("latitude"), F.col("longitude"), eps_km)
     locations = write_once(
         incidents.groupBy("latitude", "longitude").agg(
             F.count(F.lit(1)).alias("n"), F.min("incident_id").alias("loc_id"))
         .withColumns(dict(zip(AXES, positions))))
-    cubes, rows = write_measured(_boxes(locations, 0), F.sum("n"))
-    hot = hot_keys(cubes, ["cube"], "n", min_rows)
+    flagged = _flagged(locations, eps_km, min_samples, leaf_pairs)
+    core, rest = flagged.where("is_core"), flagged.where(~F.col("is_core"))
+    cubes = write_once(_boxes(core, 0))
+    others = _single(rest, "cube")
+    touching = _links(others, core, cubes, eps_km, leaf_pairs)
+    return Clustering(_labelled(core, rest, cubes, touching))
 
-    sparse = _sparse_locations(locations, cubes, min_samples, min_rows if rows > min_rows else None)
-    dense = cubes.where(F.col("n") >= min_samples)
-    items = dense.select("*", F.lit(True).alias("dense")).select(*ITEM, F.col("n").alias("cube_n")).unionByName(
-        sparse.select(F.col("loc_id").alias("gid"), F.lit(False).alias("dense"), "cube", "n",
-                      F.lit(1).cast("long").alias("m"), "latitude", "longitude",
-                      *[F.col(a).alias(f"{side}_{a}") for side in ("lo", "hi") for a in AXES], "cube_n"))
-    items = write_once(items)
 
-    links = write_once(_links(items, locations, cubes, eps_km, leaf_pairs, min_rows if rows > min_rows else None))
-    singles = _core_flags(items, links, min_samples)
-    labels = _labels(items, singles, links, min_rows)
-    return Clustering(eps_km, locations, labels, hot.withColumnRenamed("cube", "_cube"), rows, min_rows)
+# --- which locations are core -----------------------------------------------------------------------------------
 
+def _flagged(locations: DataFrame, eps_km: float, min_samples: int, leaf_pairs: int) -> DataFrame:
+    """The locations with their ``cube`` and ``is_core``."""
+    position = [F.col(a) for a in AXES]
+    columns = [*locations.columns, "cube"]
+    cubes = write_once(_boxes(locations, 0))
+    few = F.col("n") < min_samples
+    pairs = write_once(_neighbour_pairs(cubes.where(few), cubes, eps_km, BLOCK))
+    verdicts = _verdicts(cubes.where(few).withColumn("sure", F.col("n")), pairs, min_samples, leaf_pairs)
+    verdicts = verdicts.select("cube", "gid", "verdict", "sure").unionByName(
+        cubes.where(~few).select("cube", "gid", F.lit(CORE).alias("verdict"), F.col("n").alias("sure")))
+    cubed = locations.withColumn("cube", _cube(position))
+    placed, left = write_measured(cubed.join(verdicts.withColumnRenamed("gid", "box"), "cube"), _undecided())
+    found, level, deepest = [], 0, _deepest_level(eps_km)
+    while True:
+        is_core = F.when(F.col("verdict").isin(CORE, OTHER), F.col("verdict") == CORE)
+        found.append(placed.where(is_core.isNotNull()).select(*columns, is_core.alias("is_core")))
+        if left == 0:
+            break
+        open_ = pairs.where(F.col("near").isNull()).drop("near")
+        found.append(_by_points(placed.where(F.col("verdict") == LEAF), open_, locations, level, eps_km, min_samples).select(*columns, "is_core"))
+        large = placed.where(F.col("verdict") == SPLIT)
+        if large.isEmpty():
+            break
+        # Both sides one level down: octants of the boxes in question against octants of what comes near them.
+        child = _cube(position, level + 1).alias("child")
+        parts = write_once(_bounds(large, "box", "sure", child))
+        finer = _boxes(locations, level + 1).withColumnRenamed("cube", "part")
+        finer = finer.withColumn("cube", F.struct(*[F.shiftright(F.col(f"part.{a}"), 1).alias(a) for a in AXES]))
+        halfway = _judged(_replaced(open_, parts), eps_km).drop("near")
+        pairs = write_once(_judged(_opened(halfway, "b", finer), eps_km))
+        level += 1
+        verdicts = _verdicts(parts.drop("box"), pairs, min_samples, leaf_pairs if level < deepest else None)
+        placed, left = write_measured(
+            large.select(*columns, child).join(verdicts.select("child", F.col("gid").alias("box"), "verdict", "sure"), "child"), _undecided())
+    flagged = found[0]
+    for more in found[1:]:
+        flagged = flagged.unionByName(more)
+    return write_once(flagged)
 
-def _without_crowded(locations: DataFrame, boxes: DataFrame, few: Column, min_rows: int | None) -> DataFrame:
-    """Locations (with their ``cube``) minus the cubes that hold a large share of them and are not ``few``.
 
-    The list is bounded by ``hot_keys``, so it is broadcast; with ``min_rows`` None the table is too small to have any.
-    """
-    if min_rows is None:
-        return locations
-    crowded = hot_keys(boxes, ["cube"], "m", min_rows).join(boxes.where(few).select("cube"), "cube", "left_anti")
-    return locations.join(F.broadcast(crowded.select("cube")), "cube", "left_anti")
+def _undecided() -> Column:
+    return F.count_if(F.col("verdict").isin(LEAF, SPLIT))
 
 
-def _sparse_locations(locations: DataFrame, cubes: DataFrame, min_samples: int, min_rows: int | None) -> DataFrame:
-    """Locations of the cubes with fewer than ``min_samples`` rows, with the row count of their cube."""
-    few = F.col("n") < min_samples
-    cubed = locations.withColumn("cube", _cube([F.col(a) for a in AXES]))
-    return _without_crowded(cubed, cubes, few, min_rows).join(
-        cubes.where(few).select("cube", F.col("n").alias("cube_n")), "cube")
+def _verdicts(boxes: DataFrame, pairs: DataFrame, min_samples: int, leaf_pairs: int | None) -> DataFrame:
+    """Add the verdict to boxes with ``sure``, the neighbours that all their points are known to have, and bring it up to date."""
+    near = F.col("near").isNotNull()
+    votes = pairs.groupBy(F.col("a_gid").alias("gid")).agg(
+        F.sum(F.when(near, F.col("b_n"))).alias("near_n"), F.sum(F.when(~near, F.col("b_n"))).alias("open_n"),
+        F.sum(F.when(~near, F.col("b_m"))).alias("open_m"))
+    sure = F.col("sure") + F.coalesce("near_n", F.lit(0))
+    small = F.lit(True) if leaf_pairs is None else F.col("m") * F.coalesce("open_m", F.lit(0)) <= leaf_pairs
+    verdict = F.when(sure >= min_samples, CORE).when(sure + F.coalesce("open_n", F.lit(0)) < min_samples, OTHER).when(
+        small, LEAF).otherwise(SPLIT)
+    return boxes.join(votes, "gid", "left").withColumn("verdict", verdict).withColumn("sure", sure)
+
+
+def _by_points(small: DataFrame, open_: DataFrame, locations: DataFrame, level: int, eps_km: float, min_samples: int) -> DataFrame:
+    """``is_core`` of the locations in small boxes, each compared with the locations of the boxes still open to it."""
+    members = _single(locations, _cube([F.col(a) for a in AXES], level).alias("cube")).withColumn("part", F.col("cube"))
+    pairs = _opened(_replaced(open_, _single(small, "box")), "b", members)
+    near = _judged(pairs, eps_km).groupBy(F.col("a_gid").alias("loc_id")).agg(F.sum("b_n").alias("k"))
+    return small.join(near, "loc_id", "left").withColumn("is_core", F.col("sure") + F.coalesce("k", F.lit(0)) >= min_samples)
+
+
+def _replaced(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Replace the first box of each pair by its parts, which name it as ``box`` and have ids of their own."""
+    inner = [c for c in SIDE if c != "cube"]
+    keyed = parts.select(F.col("box").alias("a_gid"), *[F.col(c).alias(f"_{c}") for c in inner])
+    finer = {f"a_{c}": F.col(f"_{c}").alias(f"a_{c}") for c in inner}
+    return pairs.join(keyed, "a_gid").select(*[finer.get(c, F.col(c)) for c in pairs.columns])
 
 
 # --- which neighbouring items lie within the radius -------------------------------------------------------------
@@ -197,19 +247,19 @@ def _side(df: DataFrame, side: str, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{side}_{c}") for c in columns])
 
 
-def _neighbour_pairs(items: DataFrame, eps_km: float) -> DataFrame:
-    """Pairs of items in different cubes at most two cubes apart, each pair once, not provably apart."""
-    a = _side(spread_out(items), "a", ITEM).select("*", F.expr(HALF_BLOCK))
+def _neighbour_pairs(first: DataFrame, second: DataFrame, eps_km: float, offsets: str) -> DataFrame:
+    """Pairs of boxes of two tables in different cubes at most two cubes apart, not provably apart."""
+    a = _side(spread_out(first), "a", SIDE).select("*", F.expr(offsets))
     a = a.withColumns({f"b_lo_{x}": F.col(f"a_cube.{x}") + F.col(f"d{x}") for x in AXES})
     a = a.withColumns({f"b_hi_{x}": F.col(f"b_lo_{x}") + 1 for x in AXES})
-    # Only cubes that reach the surface of the sphere and come within the radius of this item can matter.
+    # Only cubes that reach the surface of the sphere and come within the radius of this box can matter.
     chord = 2 * math.sin(min(eps_km / (2 * EARTH_RADIUS_KM), math.pi / 2))
     centre2 = sum((F.pow(F.col(f"b_lo_{x}") + 0.5, 2) for x in AXES), F.lit(0.0))
     shell = centre2.between(max(0.0, REACH / chord - 1) ** 2, (REACH / chord + 1) ** 2)
     a = a.where(shell & (_gap2("a_", "b_") <= REACH ** 2 * (1 + SLACK)))
-    a = a.select(*[f"a_{c}" for c in ITEM], F.struct(*[F.col(f"b_lo_{x}").alias(x) for x in AXES]).alias("b_cube"))
+    a = a.select(*[f"a_{c}" for c in SIDE], F.struct(*[F.col(f"b_lo_{x}").alias(x) for x in AXES]).alias("b_cube"))
     # Partitioning by the join key here also keeps the two expression-heavy halves in separate stages.
-    return _judged(a.repartition("b_cube").join(_side(items, "b", ITEM), "b_cube"), eps_km)
+    return _judged(a.repartition("b_cube").join(_side(second, "b", SIDE), "b_cube"), eps_km)
 
 
 def _opened(pairs: DataFrame, side: str, parts: DataFrame) -> DataFrame:
@@ -225,99 +275,50 @@ def _opened(pairs: DataFrame, side: str, parts: DataFrame) -> DataFrame:
     return joined.select(*[finer.get(c, F.col(c)) for c in pairs.columns])
 
 
-def _links(items: DataFrame, locations: DataFrame, cubes: DataFrame, eps_km: float, leaf_pairs: int,
-           min_rows: int | None) -> DataFrame:
-    """Which items touch: (a_gid, a_dense, b_gid, b_dense, a_n, b_n).
-
-    For a sparse location the opposite count is its exact number of neighbours in that cube or location.
-    Between two dense cubes only the fact that they touch is kept.
-    """
-    def summed(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("a_gid", "a_dense", "b_gid", "b_dense").agg(
-            F.sum("a_n").alias("a_n"), F.sum("b_n").alias("b_n"))
-
+def _links(others: DataFrame, core: DataFrame, cubes: DataFrame, eps_km: float, leaf_pairs: int) -> DataFrame:
+    """Which boxes touch, (a_gid, b_gid, both_core): cubes of core points with each other, and single other points with them."""
     position = [F.col(a) for a in AXES]
-    level, deepest, boxes = 0, _deepest_level(eps_km), cubes
-    undecided = F.count_if(F.col("near").isNull())
-    pairs, left = write_measured(_neighbour_pairs(items, eps_km), undecided)
-    found = []
-    while True:
-        near, open_ = pairs.where("near"), pairs.where(F.col("near").isNull())
-        found.append(summed(near))
-        if left == 0:
-            break
-        joined = near.where(F.col("a_dense") & F.col("b_dense")).select("a_gid", "b_gid").distinct()
-        # A pair of dense cubes that already touches needs no further look.
-        open_ = open_.join(joined, ["a_gid", "b_gid"], "left_anti").drop("near")
-        size = F.col("a_m") * F.col("b_m")
-        small = F.lit(True) if level >= deepest else size <= leaf_pairs
-        members = locations.select(
-            _cube(position, level).alias("cube"), F.struct(*[F.lit(0).cast("long").alias(a) for a in AXES]).alias("part"),
-            "n", F.lit(1).cast("long").alias("m"), "latitude", "longitude",
-            *[F.col(a).alias(f"{s}_{a}") for s in ("lo", "hi") for a in AXES])
-        # Boxes too large for a leaf are in no leaf pair.
-        members = _without_crowded(members, boxes, F.col("m") <= leaf_pairs, None if level >= deepest else min_rows)
+    pairs = _neighbour_pairs(cubes, cubes, eps_km, HALF_BLOCK).withColumn("both_core", F.lit(True)).unionByName(
+        _neighbour_pairs(others, cubes, eps_km, BLOCK).withColumn("both_core", F.lit(False)))
+    level, deepest, undecided = 0, _deepest_level(eps_km), F.count_if(F.col("near").isNull())
+    pairs, left = write_measured(pairs, undecided)
+    link = ["a_gid", "b_gid", "both_core"]
+    found = [pairs.where("near").select(*link)]
+    while left > 0:
+        # A pair that already touches needs no further look.
+        open_ = pairs.where(F.col("near").isNull()).join(pairs.where("near").select("a_gid", "b_gid").distinct(), ["a_gid", "b_gid"], "left_anti")
+        open_ = open_.drop("near")
+        small = F.lit(True) if level >= deepest else F.col("a_m") * F.col("b_m") <= leaf_pairs
+        members = _single(core, _cube(position, level).alias("cube")).withColumn("part", F.col("cube"))
         leaves = _judged(_opened(_opened(open_.where(small), "a", members), "b", members), eps_km)
-        found.append(summed(leaves))
-        if level >= deepest:
-            break
-        if pairs.where(F.col("near").isNull() & ~small).isEmpty():
+        found.append(write_once(leaves.select(*link).distinct()))
+        if level >= deepest or pairs.where(F.col("near").isNull() & ~small).isEmpty():
             break
         large = write_once(open_.where(~small))
         level += 1
-        boxes = write_once(_boxes(locations, level))
-        parts = boxes.withColumnRenamed("cube", "part").withColumn("cube", F.struct(
-            *[F.shiftright(F.col(f"part.{a}"), 1).alias(a) for a in AXES]))
+        parts = _boxes(core, level).withColumnRenamed("cube", "part")
+        parts = write_once(parts.withColumn("cube", F.struct(*[F.shiftright(F.col(f"part.{a}"), 1).alias(a) for a in AXES])))
         halfway = _judged(_opened(large, "a", parts), eps_km).drop("near")
         pairs, left = write_measured(_judged(_opened(halfway, "b", parts), eps_km), undecided)
+        found.append(pairs.where("near").select(*link))
     links = found[0]
     for more in found[1:]:
         links = links.unionByName(more)
-    return summed(links)
+    return write_once(links.distinct())
 
 
 # --- from links to cluster labels -------------------------------------------------------------------------------
 
-def _core_flags(items: DataFrame, links: DataFrame, min_samples: int) -> DataFrame:
-    """Sparse locations with their core flag."""
-    seen = links.where(~F.col("a_dense")).select(F.col("a_gid").alias("gid"), F.col("b_n").alias("k")).unionByName(
-        links.where(~F.col("b_dense")).select(F.col("b_gid").alias("gid"), F.col("a_n").alias("k")))
-    near = seen.groupBy("gid").agg(F.sum("k").alias("k"))
-    core = (F.col("cube_n") + F.coalesce("k", F.lit(0)) >= min_samples).alias("is_core")
-    return write_once(items.where(~F.col("dense")).join(near, "gid", "left").select(
-        "gid", "cube", "latitude", "longitude", core))
-
-
-def _labels(items: DataFrame, singles: DataFrame, links: DataFrame, min_rows: int) -> DataFrame:
-    """One row per cube: its cluster when dense, else the labels of its few locations."""
-    core = singles.where("is_core").select("gid", F.lit(True).alias("core"))
-    flagged = links.select("a_gid", "a_dense", "b_gid", "b_dense")
-    for side in ("a", "b"):
-        known = core.select(F.col("gid").alias(f"{side}_gid"), F.col("core").alias(f"{side}_core"))
-        flagged = flagged.join(known, f"{side}_gid", "left").withColumn(
-            f"{side}_core", F.col(f"{side}_dense") | F.coalesce(f"{side}_core", F.lit(False)))
-    flagged = write_once(flagged.where(F.col("a_core") | F.col("b_core")))
-
-    # Core locations of one sparse cube are all neighbours: tie each to the first. Such a cube has < min_samples rows.
-    first = singles.where("is_core").groupBy("cube").agg(F.min("gid").alias("first"))
-    mates = singles.join(first, "cube")
-    edges = flagged.where(F.col("a_core") & F.col("b_core")).select(
-        F.col("a_gid").alias("u"), F.col("b_gid").alias("v")).unionByName(
-        mates.where("is_core").select(F.col("first").alias("u"), F.col("gid").alias("v")))
-    parts = connected_components(edges)
-    nodes = items.where("dense").select("gid").unionByName(core.select("gid"))
-    named = write_once(nodes.join(parts.withColumnRenamed("node", "gid"), "gid", "left").select(
-        "gid", F.coalesce("component", "gid").alias("cluster_id")))
-
-    touching = flagged.where(F.col("a_core") & ~F.col("b_core")).select(
-        F.col("b_gid").alias("border"), F.col("a_gid").alias("gid")).unionByName(
-        flagged.where(~F.col("a_core") & F.col("b_core")).select(F.col("a_gid").alias("border"), F.col("b_gid").alias("gid"))
-    ).unionByName(mates.where(~F.col("is_core")).select(F.col("gid").alias("border"), F.col("first").alias("gid")))
-    border = touching.join(named, "gid").groupBy("border").agg(F.min("cluster_id").alias("cluster_id"))
-    owned = named.unionByName(border.select(F.col("border").alias("gid"), "cluster_id"))
-
-    members = singles.join(owned, "gid", "left").groupBy("cube").agg(
-        F.collect_list(F.struct("latitude", "longitude", "cluster_id", "is_core")).alias("_members"))
-    whole = items.where("dense").join(named, "gid").select("cube", F.col("cluster_id").alias("_cluster"))
-    return write_once(whole.withColumn("_members", F.lit(None).cast(members.schema["_members"].dataType)).unionByName(
-        members.withColumn("_cluster", F.lit(None).cast("long"))))
+def _labelled(core: DataFrame, rest: DataFrame, cubes: DataFrame, links: DataFrame) -> DataFrame:
+    """Every location with its cluster and whether it is core."""
+    parts = connected_components(links.where("both_core").select(F.col("a_gid").alias("u"), F.col("b_gid").alias("v")))
+    named = write_once(cubes.select("gid", "cube").join(parts.withColumnRenamed("node", "gid"), "gid", "left").select(
+        "gid", "cube", F.coalesce("component", "gid").alias("cluster_id")))
+    # Other points touch the core points of their own cube by its size, those of further cubes by a link.
+    inside = rest.join(named, "cube").select("loc_id", "cluster_id")
+    across = links.where(~F.col("both_core")).select(F.col("a_gid").alias("loc_id"), F.col("b_gid").alias("gid")).join(
+        named.select("gid", "cluster_id"), "gid").select("loc_id", "cluster_id")
+    border = inside.unionByName(across).groupBy("loc_id").agg(F.min("cluster_id").alias("cluster_id"))
+    columns = ["latitude", "longitude", "cluster_id", "is_core"]
+    return write_once(core.join(named.select("cube", "cluster_id"), "cube").select(*columns).unionByName(
+        rest.join(border, "loc_id", "left").select(*columns)))

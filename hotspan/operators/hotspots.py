@@ -12,7 +12,6 @@ from hotspan.operators.clusters import EPS_KM, MIN_SAMPLES, Clustering, fit_clus
 from hotspan.operators.distributions import rank_within
 from hotspan.operators.patterns import timing_profile
 from hotspan.operators.recency import recency_band, recency_weight
-from hotspan.skew import salted_lookup
 from hotspan.storage import write_once
 
 TOP_HOTSPOTS = 10
@@ -75,7 +74,7 @@ def cluster_facts(incidents: DataFrame, fitted: Clustering, use_recency: bool =
     newest = incidents.select(F.max("occurred_at")).scalar()
     columns = ["incident_id", "latitude", "longitude", "incident_type", "occurred_at", "hour", "day_of_week",
                "recency_weight"]
-    labelled = fitted.label(_weighted(incidents, use_recency).select(*columns), ["incident_id"])
+    labelled = fitted.label(_weighted(incidents, use_recency).select(*columns))
     band = recency_band(days_ago(F.col("occurred_at"), newest)) if use_recency else F.lit(None).cast("string")
     members = labelled.where(F.col("cluster_id").isNotNull()).withColumn("band", band)
     return members.groupBy("cluster_id", "incident_type", "hour", "day_of_week").agg(
@@ -105,7 +104,7 @@ def hotspot_profiles(incidents: DataFrame, fitted: Clustering, n: int | None = N
     types = rank_within(by_type, ["cluster_id"], "incident_type", 3).groupBy("cluster_id").agg(
         F.transform(best, lambda s: F.struct(s["type"].alias("type"), s["count"].alias("count"))).alias("type_breakdown"))
     profile = timing_profile(facts, ["cluster_id"], totals).join(types, "cluster_id", "left").join(
-        _radius(fitted, totals, n is not None), "cluster_id", "left")
+        _radius(fitted, totals), "cluster_id", "left")
     trend = hotspot_trend(F.col("recent"), F.col("older"), F.col("very_old"))
     dated = F.col("recent") + F.col("older") + F.col("very_old") > 0
     return profile.select(
@@ -120,19 +119,9 @@ def hotspot_profiles(incidents: DataFrame, fitted: Clustering, n: int | None = N
         F.lit("dbscan").alias("cluster_method"))
 
 
-def _radius(fitted: Clustering, totals: DataFrame, few: bool) -> DataFrame:
-    """Largest distance of a member location from the centroid of its cluster.
-
-    The centroids of a top-n list are broadcast (n rows); those of all clusters take a salted join, because one
-    cluster may hold most locations.
-    """
-    places = fitted.label(fitted.locations.select("loc_id", "latitude", "longitude"), ["loc_id"]).where(
-        F.col("cluster_id").isNotNull())
-    centres = totals.select("cluster_id", "lat", "lon")
-    if few:
-        joined = places.join(F.broadcast(centres), "cluster_id")
-    else:
-        joined = salted_lookup(places, centres, ["cluster_id"], ["loc_id"], min_rows=fitted.min_rows, rows=fitted.rows)
+def _radius(fitted: Clustering, totals: DataFrame) -> DataFrame:
+    """Largest distance of a member location from the centroid of its cluster. The locations carry their cluster."""
+    joined = fitted.places.where(F.col("cluster_id").isNotNull()).join(totals.select("cluster_id", "lat", "lon"), "cluster_id")
     distance = haversine_km(F.col("lat"), F.col("lon"), F.col("latitude"), F.col("longitude"))
     return joined.groupBy("cluster_id").agg(bround(F.max(distance), 3).alias("cluster_radius_km"))
 

@@ -29,7 +29,7 @@ def brute_force(points, eps_km, min_samples):
 def labelled(spark, points, eps_km, min_samples, **options):
     df = spark.createDataFrame(points, "incident_id long, latitude double, longitude double")
     fitted = fit_clusters(df, eps_km, min_samples, **options)
-    return {r.incident_id: (r.cluster_id, r.is_core) for r in fitted.label(df, ["incident_id"]).collect()}
+    return {r.incident_id: (r.cluster_id, r.is_core) for r in fitted.label(df).collect()}
 
 
 def numbered(coords, seed=1):
@@ -58,6 +58,7 @@ CASES = {
     "places": (numbered(PLACES), 0.5, 4),
     "dense": (numbered(blobs(2, 400, (33.7, -84.4), 0.001)), 0.3, 3),
     "many_samples": (numbered(blobs(3, 400, (-37.8, 145.0), 0.002)), 0.4, 15),
+    "crowded": (numbered(blobs(11, 500, (33.7, -84.4), 0.0012, clumps=3)), 0.4, 120),
     "one_sample": (numbered(blobs(9, 100, (0.0, 0.0), 0.01)), 0.5, 1),
     "continental": (numbered(blobs(10, 150, (45.0, 10.0), 1.5)), 120.0, 4),
     "lonely": (numbered(np.column_stack([np.arange(20.0), np.arange(20.0)])), 0.5, 3),
@@ -70,11 +71,32 @@ def test_matches_brute_force(spark, name):
     assert labelled(spark, points, eps_km, min_samples) == brute_force(points, eps_km, min_samples)
 
 
-def test_refinement_and_salting_change_nothing(spark):
-    """Small leaves force the octant loop, and a row minimum of 3 makes most cubes hot."""
-    points, eps_km, min_samples = CASES["dense"]
-    want = brute_force(points, eps_km, min_samples)
-    assert labelled(spark, points, eps_km, min_samples, leaf_pairs=100, min_rows=3) == want
+@pytest.mark.parametrize("name, leaf_pairs", [("dense", 100), ("many_samples", 1), ("crowded", 20)])
+def test_refinement_changes_nothing(spark, name, leaf_pairs):
+    """Small leaves force the octant loops."""
+    points, eps_km, min_samples = CASES[name]
+    assert labelled(spark, points, eps_km, min_samples, leaf_pairs=leaf_pairs) == brute_force(points, eps_km, min_samples)
+
+
+@pytest.mark.parametrize("share", [0.3, 2.0])
+def test_compared_pairs_grow_with_the_locations(spark, monkeypatch, share):
+    """Crowded points below ``min_samples`` are settled by bounds; comparing them with each other would be quadratic."""
+    from hotspan.operators import clusters
+
+    judged, compared = clusters._judged, []
+
+    def counted(pairs, eps_km):
+        compared.append(pairs.count())
+        return judged(pairs, eps_km)
+
+    monkeypatch.setattr(clusters, "_judged", counted)
+    totals = {}
+    for n in (500, 2000):
+        compared.clear()
+        rng = np.random.default_rng(n)
+        labelled(spark, numbered(rng.uniform((33.7, -84.4), (33.705, -84.395), (n, 2))), 0.5, int(n * share), leaf_pairs=256)
+        totals[n] = sum(compared)
+    assert totals[500] < 30_000 and totals[2000] < 8 * totals[500] + 2000
 
 
 def test_summary_counts(spark):
