@@ -32,7 +32,15 @@ def dataset_profile_raw(spark, sf_dir):
     count(occurred_at) FILTER (latitude IS NOT NULL AND longitude IS NOT NULL) AS valid_dates,
     count(hour) FILTER (latitude IS NOT NULL AND longitude IS NOT NULL) AS valid_hours FROM typed""")
 def ingest_quality(spark, sf_dir):
-    return ingest_report(raw_rows(spark, sf_dir))
+    return ingest_report(raw_rows(spark, sf_dir)).drop("failed_dates", "failed_hours")
+
+
+@query(f"""WITH {RAW_ROWS}, {_CLEAN}
+  SELECT count(*) FILTER (r.occurred IS NOT NULL AND t.occurred_at IS NULL) AS failed_dates,
+    count(*) FILTER (r.hour_text IS NOT NULL AND t.hour IS NULL) AS failed_hours
+  FROM raw r JOIN typed t USING (event_id) WHERE latitude IS NOT NULL AND longitude IS NOT NULL""")
+def ingest_failures(spark, sf_dir):
+    return ingest_report(raw_rows(spark, sf_dir)).select("failed_dates", "failed_hours")
 
 
 @query(f"""WITH {RAW_ROWS}, {_CLEAN}
@@ -50,6 +58,47 @@ def normalized_incidents(spark, sf_dir):
         -1, ["day_of_week", "month", "quarter", "day_of_month", "year", "hour"])
 
 
+# One layout per 24th of the rows; what each can hold of the time is what comes back.
+_LAYOUTS = (  # Spark, DuckDB, unit that is left
+    ("date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\") || '+00:00'", "strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00'", "second"),
+    ("date_format(ts + interval 2 hours, \"yyyy-MM-dd'T'HH:mm:ss\") || '+02'", "strftime(ts + interval 2 hours, '%Y-%m-%dT%H:%M:%S') || '+02'", "second"),
+    ("date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSSSSS')", "strftime(ts, '%Y-%m-%d %H:%M:%S.%f')", "microsecond"),
+    ("date_format(ts, 'MMMM d, yyyy')", "strftime(ts, '%B %-d, %Y')", "day"),
+    ("date_format(ts, 'MMM d, yyyy')", "strftime(ts, '%b %-d, %Y')", "day"),
+    ("date_format(ts, 'd MMM yyyy')", "strftime(ts, '%-d %b %Y')", "day"),
+    ("upper(date_format(ts, 'dd-MMM-yy'))", "upper(strftime(ts, '%d-%b-%y'))", "day"),
+    ("date_format(ts, 'yyyy-M-d')", "strftime(ts, '%Y-%-m-%-d')", "day"),
+    ("date_format(ts, 'MM.dd.yyyy')", "strftime(ts, '%m.%d.%Y')", "day"),
+    ("date_format(ts, 'M/d/yy HH:mm')", "strftime(ts, '%-m/%-d/%y %H:%M')", "minute"),
+    ("date_format(ts, 'MM-dd-yyyy')", "strftime(ts, '%m-%d-%Y')", "day"),
+    ("date_format(ts, 'yyyy-MM-dd HH:mm:ss') || ' UTC'", "strftime(ts, '%Y-%m-%d %H:%M:%S') || ' UTC'", "second"),
+    ("date_format(ts, 'yyyy/M/d')", "strftime(ts, '%Y/%-m/%-d')", "day"),
+    ("date_format(ts - interval 330 minutes, 'yyyy-MM-dd HH:mm') || '-0530'", "strftime(ts - interval 330 minutes, '%Y-%m-%d %H:%M') || '-0530'", "minute"),
+    ("date_format(ts, 'M/d/yyyy h:mm:ss a')", "strftime(ts, '%-m/%-d/%Y %-I:%M:%S %p')", "second"),
+    ("date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\")", "strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'", "millisecond"),
+    ("date_format(ts, 'yyyyMMdd')", "strftime(ts, '%Y%m%d')", "day"),
+    ("date_format(ts, 'MMM d, yyyy h:mm a')", "strftime(ts, '%b %-d, %Y %-I:%M %p')", "minute"),
+    ("date_format(ts, 'd MMMM yyyy HH:mm')", "strftime(ts, '%-d %B %Y %H:%M')", "minute"),
+    ("date_format(ts, 'yyyy.MM.dd')", "strftime(ts, '%Y.%m.%d')", "day"),
+    ("date_format(ts, '13/dd/yyyy')", "strftime(ts, '13/%d/%Y')", None),
+    ("date_format(ts, 'yyyy-02-30')", "strftime(ts, '%Y-02-30')", None),
+    ("date_format(ts, 'yyyy-MM-dd') || ' 13:05 PM'", "strftime(ts, '%Y-%m-%d') || ' 13:05 PM'", None),
+    ("'Maybe 5, 2024'", "'Maybe 5, 2024'", None),
+)
+_KEPT = " ".join(f"WHEN {i} THEN " + (f"date_trunc('{u}', ts)" if u else "NULL") for i, (_, _, u) in enumerate(_LAYOUTS))
+
+
+@query(f"""SELECT event_id AS incident_id, event_id % {len(_LAYOUTS)} AS layout,
+    coalesce(strftime(CASE event_id % {len(_LAYOUTS)} {_KEPT} END, '%Y-%m-%d %H:%M:%S.%f'), '-') AS occurred_at FROM events""")
+def date_layouts(spark, sf_dir):
+    texts = " ".join(f"WHEN {i} THEN {text}" for i, (text, _, _) in enumerate(_LAYOUTS))
+    raw = table(spark, sf_dir, "events").selectExpr(
+        "event_id", "'1.0' AS lat", "'2.0' AS lon", "event_type AS offense", f"CASE event_id % {len(_LAYOUTS)} {texts} END AS occurred")
+    return normalize_incidents(raw, id_col="event_id").select(
+        "incident_id", (F.col("incident_id") % len(_LAYOUTS)).alias("layout"),
+        F.coalesce(F.date_format("occurred_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("-")).alias("occurred_at"))
+
+
 _GOOD = "latitude IS NOT NULL AND longitude IS NOT NULL"
 
 

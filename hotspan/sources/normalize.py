@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hotspan.functions.parsing import MISSING_TOKENS, hour_candidates, parse_hour, to_double, to_timestamp_any
+from hotspan.functions.parsing import (MISSING_TOKENS, blank_to_null, chosen_hour, date_parts, hour_candidates, hour_counts, hour_parts,
+                                       once, timestamp_of, to_double)
 from hotspan.functions.temporal import calendar_columns
 from hotspan.schema import INCIDENTS
 
@@ -20,6 +21,9 @@ ROLE_HINTS = {
 }
 REQUIRED_ROLES = ("latitude", "longitude", "incident_type")
 
+# Parsed rows that have a place.
+GOOD = "_lat IS NOT NULL AND _lon IS NOT NULL"
+
 
 def resolve_roles(columns: list[str]) -> dict[str, str]:
     """Guess which column plays which role from names alone; the first match wins and a column may fill several roles."""
@@ -44,22 +48,44 @@ def _field(df: DataFrame, roles: dict[str, str], role: str) -> tuple[Column | No
     return (F.col(f"`{name}`"), df.schema[name].dataType) if name else (None, None)
 
 
-def _timestamp(df: DataFrame, roles: dict[str, str]) -> Column:
-    column, kind = _field(df, roles, "date")
-    if column is None:
+def _parsed(df: DataFrame, roles: dict[str, str], *wanted: str) -> DataFrame:
+    """The table with what its text columns hold, every text parsed once: _lat, _lon, _date (parts or timestamp) and
+    _time (parts or hour)."""
+    lat, lon = (to_double(_field(df, roles, role)[0]) for role in ("latitude", "longitude"))
+    (date, date_kind), (time, time_kind) = _field(df, roles, "date"), _field(df, roles, "time")
+    columns = {"_lat": lat, "_lon": lon}
+    if date is not None and "date" in wanted:
+        columns["_date"] = date_parts(date) if isinstance(date_kind, T.StringType) else date.try_cast("timestamp")
+    if time is not None and "time" in wanted:
+        if isinstance(time_kind, T.IntegralType):
+            columns["_time"] = _whole_hour(time)
+        elif isinstance(time_kind, (T.TimestampType, T.TimestampNTZType)):
+            columns["_time"] = F.hour(time)
+        else:
+            columns["_time"] = hour_parts(time.cast("string"))
+    return once(df, *[c.alias(name) for name, c in columns.items()])
+
+
+def _timestamp(parsed: DataFrame) -> Column:
+    if "_date" not in parsed.columns:
         return F.lit(None).cast("timestamp")
-    return to_timestamp_any(column) if isinstance(kind, T.StringType) else column.try_cast("timestamp")
+    return timestamp_of(F.col("_date")) if isinstance(parsed.schema["_date"].dataType, T.ArrayType) else F.col("_date")
+
 
+def _hour_families(parsed: DataFrame) -> list[Column]:
+    """Hour under each family of layouts; a typed column has one."""
+    if "_time" not in parsed.columns:
+        return [F.lit(None).cast("int")]
+    return hour_candidates(F.col("_time")) if isinstance(parsed.schema["_time"].dataType, T.ArrayType) else [F.col("_time")]
 
-def _hour(df: DataFrame, roles: dict[str, str], policy: str) -> Column:
-    column, kind = _field(df, roles, "time")
-    if column is None:
-        return F.lit(None).cast("int")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.hour(column)
-    if isinstance(kind, T.IntegralType):
-        return _whole_hour(column)
-    return parse_hour(df.where(_has_coordinates(df, roles)), column, policy)
+
+def _hour(df: DataFrame, parsed: DataFrame, roles: dict[str, str], policy: str) -> Column:
+    families = _hour_families(parsed)
+    if policy not in ("row", "column"):
+        raise ValueError(f"unknown policy {policy!r}: use 'column' or 'row'")
+    if policy == "row" or len(families) == 1:
+        return F.coalesce(*families)
+    return chosen_hour(families, hour_counts(_parsed(df, roles, "time").where(GOOD), F.col("_time")))
 
 
 def _whole_hour(column: Column) -> Column:
@@ -67,15 +93,6 @@ def _whole_hour(column: Column) -> Column:
     return F.when(column.between(0, 23), column.cast("int"))
 
 
-def _coordinates(df: DataFrame, roles: dict[str, str]) -> tuple[Column, Column]:
-    return to_double(_field(df, roles, "latitude")[0]), to_double(_field(df, roles, "longitude")[0])
-
-
-def _has_coordinates(df: DataFrame, roles: dict[str, str]) -> Column:
-    lat, lon = _coordinates(df, roles)
-    return lat.isNotNull() & lon.isNotNull()
-
-
 def incident_key(df: DataFrame, id_col: str | None = None) -> Column:
     """A 64-bit id that is the same in every run and under every partitioning.
 
@@ -99,37 +116,35 @@ def normalize_incidents(df: DataFrame, roles: dict[str, str] | None = None, id_c
     ``id_col`` is a unique key of any type; without one the row itself is the key, see ``incident_key``.
     """
     roles = _checked_roles(df, roles)
-    lat, lon = _coordinates(df, roles)
     kind = _field(df, roles, "incident_type")[0].cast("string")
-    typed = df.select(
-        incident_key(df, id_col).alias("incident_id"), lat.alias("latitude"), lon.alias("longitude"),
+    parsed = _parsed(df, roles, "date", "time")
+    kept = once(parsed.where(GOOD), _timestamp(parsed).alias("_at")).select(
+        incident_key(df, id_col).alias("incident_id"), F.col("_lat").alias("latitude"), F.col("_lon").alias("longitude"),
         F.when(~F.trim(kind).isin(*MISSING_TOKENS), kind).alias("incident_type"),
-        _timestamp(df, roles).alias("occurred_at"), _hour(df, roles, time_policy).cast("int").alias("hour"))
-    kept = typed.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+        F.col("_at").alias("occurred_at"), _hour(df, parsed, roles, time_policy).cast("int").alias("hour"))
     return calendar_columns(kept).select(*INCIDENTS.fieldNames())
 
 
 def ingest_report(df: DataFrame, roles: dict[str, str] | None = None) -> DataFrame:
-    """One row: rows read, dropped for bad coordinates, kept, and kept rows with a valid date or hour."""
+    """One row: rows read, dropped for bad coordinates, kept; and of those with a valid date or hour, and with a text in
+    the date or time column that is none."""
     roles = _checked_roles(df, roles)
-    good = _has_coordinates(df, roles)
-    time, kind = _field(df, roles, "time")
-    if time is None:
-        families = [F.lit(None).cast("int")]
-    elif isinstance(kind, T.StringType):
-        families = hour_candidates(time)
-    elif isinstance(kind, T.IntegralType):
-        families = [_whole_hour(time)]
-    else:
-        families = [F.hour(time)]
+    parsed, good = _parsed(df, roles, "date", "time"), F.expr(GOOD)
+    families = _hour_families(parsed)
     hours = [F.count_if(good & h.isNotNull()).alias(f"_h{i}") for i, h in enumerate(families)]
-    counted = df.agg(
-        F.count(F.lit(1)).alias("rows_read"), F.count_if(~good).alias("rows_dropped"),
-        F.count_if(good).alias("rows_kept"),
-        F.count_if(good & _timestamp(df, roles).isNotNull()).alias("valid_dates"), *hours)
-    chosen = F.coalesce(*[F.when(F.col(f"_h{i}") > 0, F.col(f"_h{i}")) for i in range(len(families))], F.lit(0))
-    return counted.select("rows_read", "rows_dropped", "rows_kept", "valid_dates",
-                          chosen.cast("long").alias("valid_hours"))
+
+    def filled(role: str) -> Column:
+        column, _ = _field(df, roles, role)
+        return F.count_if(good & blank_to_null(column).isNotNull()) if column is not None else F.lit(0)
+
+    counted = parsed.agg(
+        F.count(F.lit(1)).alias("rows_read"), F.count_if(~good).alias("rows_dropped"), F.count_if(good).alias("rows_kept"),
+        F.count_if(good & _timestamp(parsed).isNotNull()).alias("valid_dates"), *hours,
+        filled("date").alias("_dates"), filled("time").alias("_times"))
+    chosen = F.coalesce(*[F.when(F.col(f"_h{i}") > 0, F.col(f"_h{i}")) for i in range(len(families))], F.lit(0)).cast("long")
+    return counted.select("rows_read", "rows_dropped", "rows_kept", "valid_dates", chosen.alias("valid_hours"),
+                          (F.col("_dates") - F.col("valid_dates")).cast("long").alias("failed_dates"),
+                          (F.col("_times") - chosen).cast("long").alias("failed_hours"))
 
 
 def require_rows(incidents: DataFrame) -> DataFrame:

@@ -81,6 +81,7 @@ def test_hour_layout_is_chosen_per_column_or_row(spark, texts, column, row):
 def test_ingest_report_and_profile(dirty):
     r = ingest_report(dirty).first()
     assert (r.rows_read, r.rows_dropped, r.rows_kept, r.valid_dates, r.valid_hours) == (10, 5, 5, 3, 2)
+    assert (r.failed_dates, r.failed_hours) == (1, 2)
     assert tuple(dataset_profile(dirty).first()) == (10, 5)
     with pytest.raises(ValueError):
         require_rows(normalize_incidents(dirty.where("lat = 'north'")))
@@ -136,7 +137,11 @@ def test_layers(spark, incidents_of, tmp_path):
     ("01/05/2024 11:30:00 PM", "2024-01-05 23:30:00"), ("2024-01-05T23:30:00.000", "2024-01-05 23:30:00"),
     ("2024-01-05T23:30:00Z", "2024-01-05 23:30:00"), ("2024-01-05T23:30", "2024-01-05 23:30:00"), ("2024/01/05", "2024-01-05 00:00:00"),
     ("05-Jan-2024", "2024-01-05 00:00:00"), ("20240105", "2024-01-05 00:00:00"), ("1/5/24", "2024-01-05 00:00:00"),
-    ("1/5/2024 1:05 am", "2024-01-05 01:05:00"), ("2024/01/05 07:08", "2024-01-05 07:08:00"), ("2024-13-05", None), ("soon", None)])
+    ("1/5/2024 1:05 am", "2024-01-05 01:05:00"), ("2024/01/05 07:08", "2024-01-05 07:08:00"), ("2024-13-05", None), ("soon", None),
+    ("January 5, 2024", "2024-01-05 00:00:00"), ("Sept. 5 2024 1:02 pm", "2024-09-05 13:02:00"), ("5 Jan 2024 23:30", "2024-01-05 23:30:00"),
+    ("05-JAN-99", "1999-01-05 00:00:00"), ("2024-01-05T23:30:00.123456-05:30", "2024-01-06 05:00:00.123456"),
+    ("2024-01-05 23:30 UTC", "2024-01-05 23:30:00"), ("2024-01-05 24:00", None), ("2024-01-05 10:60", None), ("1/5/2024 13:00 pm", None),
+    ("2024-01-05 10:00:61", None), ("30 Feb 2024", None), ("5 Foo 2024", None), ("2024-01-05 trailing", None), ("", None), ("\x01", None)])
 def test_common_date_layouts(spark, text, want):
     from hotspan.functions.parsing import to_timestamp_any
     df = spark.createDataFrame([(text,)], "t string")

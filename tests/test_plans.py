@@ -4,9 +4,11 @@ import pytest
 
 from checks import QUERIES
 from checks.tables import inc_events, table
+from hotspan.functions.parsing import DATE_FAMILIES
 from hotspan.operators import distributions as D
 from hotspan.operators import forecast as FC
 from hotspan.operators import recency
+from hotspan.sources.normalize import normalize_incidents
 
 SF_DIR = "/root/testdata/sf0.001"
 LAZY = sorted(n for n in QUERIES if not any(w in n for w in ("cluster", "hotspot", "layers")))
@@ -38,6 +40,14 @@ def test_recency_needs_one_aggregate_only(spark):
     assert "Join" not in text and "Exchange hashpartitioning" not in text
 
 
+def test_each_text_is_parsed_once(spark):
+    """The pattern of a family of date layouts stands once in the plan, though filter and six columns build on the date."""
+    rows = table(spark, SF_DIR, "events").selectExpr("'1' lat", "'2' lon", "event_type type", "props occurred")
+    text = normalize_incidents(rows)._jdf.queryExecution().optimizedPlan().toString()
+    for _, pattern, _ in DATE_FAMILIES:
+        assert text.count(pattern) == 1
+
+
 def test_forecast_shuffles_twice(spark):
     """Once to count (series, day) and once by series; all factors share the second."""
     text = plan(FC.forecast(inc_events(spark, SF_DIR), ["incident_type"]))
