@@ -63,6 +63,16 @@ def hotspot_predictions(spark, sf_dir):
     return P.hotspot_predictions(H.hotspots(inc_events(spark, sf_dir))).drop("response_id")
 
 
+@query(f"""{cluster_sql(EVENTS, 0.5, 3)} {profile_ctes()}, {_HISTORY}, {_EXTRACT}
+  SELECT response_id, ordinal, latitude, longitude, incident_type, prediction, likelihood FROM ext
+  UNION ALL SELECT response_id, ordinal, latitude, longitude, incident_type, prediction, likelihood FROM responses, hist
+    WHERE response_id NOT IN (SELECT response_id FROM ext)""")
+def predictions_with_history(spark, sf_dir):
+    """Responses without a prediction, one in six, repeat the strongest hotspots."""
+    spots = H.hotspots(inc_events(spark, sf_dir))
+    return P.extract_predictions(raw_responses(spark, sf_dir), spots)
+
+
 _REPORT = """tt AS (SELECT incident_type, count(*) AS n, round_even(count(*) / (SELECT count(*) FROM inc) * 100, 1) AS pct FROM inc GROUP BY 1 ORDER BY n DESC, 1 LIMIT 5),
   num AS (SELECT *, row_number() OVER (PARTITION BY response_id ORDER BY ordinal) AS number FROM val),
   rep AS (SELECT 'summary' AS section, 0 AS ordinal, 'total_records' AS label, CAST(count(*) AS VARCHAR) AS value FROM inc
@@ -79,6 +89,12 @@ def report(spark, sf_dir):
     return analysis_report(inc_events(spark, sf_dir), validated(spark, sf_dir))
 
 
+@query(f"""WITH {EVENTS}, {_VALID}, {_REPORT} SELECT section, CAST(ordinal AS BIGINT) AS ordinal, label, value FROM rep
+  UNION ALL SELECT 'raw_output', 0, concat('Response #', response_id), raw FROM responses""")
+def report_with_raw_output(spark, sf_dir):
+    return analysis_report(inc_events(spark, sf_dir), validated(spark, sf_dir), responses=raw_responses(spark, sf_dir))
+
+
 @query(f"""{cluster_sql(EVENTS, 0.5, 3)} {profile_ctes()}, {_HISTORY}, {_VALID},
   smp AS (SELECT * FROM inc ORDER BY md5(concat(CAST(incident_id AS VARCHAR), ':0')), incident_id LIMIT 500),
   cell AS (SELECT round_even(latitude * 100, 0) / 100.0::DOUBLE AS latitude, round_even(longitude * 100, 0) / 100.0::DOUBLE AS longitude, count(*) AS n FROM inc GROUP BY 1, 2)

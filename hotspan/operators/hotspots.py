@@ -127,9 +127,12 @@ def _radius(fitted: Clustering, totals: DataFrame) -> DataFrame:
 
 
 def hotspots(incidents: DataFrame, n: int = TOP_HOTSPOTS, use_recency: bool = True, eps_km: float = EPS_KM,
-             min_samples: int = MIN_SAMPLES) -> DataFrame:
-    """The n hotspots with the highest total recency weight; grid cells when nothing clusters."""
-    fitted = fit_clusters(incidents, eps_km, min_samples)
+             min_samples: int = MIN_SAMPLES, fitted: Clustering | None = None) -> DataFrame:
+    """The n hotspots with the highest total recency weight; grid cells when nothing clusters.
+
+    ``fitted`` is a clustering of these incidents made before, which then decides instead of ``eps_km`` and ``min_samples``.
+    """
+    fitted = fit_clusters(incidents, eps_km, min_samples) if fitted is None else fitted
     if fitted.is_empty():
         return grid_hotspots(incidents, n, use_recency)
     best = hotspot_profiles(incidents, fitted, n, use_recency)

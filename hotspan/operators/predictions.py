@@ -51,14 +51,22 @@ def _from_lines(raw: Column) -> Column:
         F.when(x.rlike(LINE_LIKELIHOOD), F.regexp_extract(x, LINE_LIKELIHOOD, 1)).otherwise(F.lit(DEFAULT_LIKELIHOOD)))))
 
 
-def extract_predictions(responses: DataFrame) -> DataFrame:
+def extract_predictions(responses: DataFrame, hotspots: DataFrame | None = None) -> DataFrame:
     """Predictions found in a table (response_id, raw): the objects of the first JSON array, else ``key: value`` lines.
 
     Both layouts are read from the row itself, so the texts are neither joined nor shuffled. Objects without two
-    numeric coordinates are left out; a response whose array yields nothing falls back to its lines.
+    numeric coordinates are left out; a response whose array yields nothing falls back to its lines. Given ``hotspots``,
+    a response that yields nothing at all, a null one included, expects more of the same at the best of them; these few
+    rows reach every response as one scalar array.
     """
     found = responses.select("response_id", _from_json(F.col("raw")).alias("j"), F.col("raw")).select(
         "response_id", F.when(F.size("j") > 0, F.col("j")).otherwise(_from_lines(F.col("raw"))).alias("p"))
+    if hotspots is not None:
+        history = hotspot_predictions(hotspots).withColumn("likelihood_text", F.col("likelihood").cast("string"))
+        fields = ["latitude", "longitude", "incident_type", "prediction", "likelihood_text"]
+        ordered = history.agg(F.array_sort(F.collect_list(F.struct("ordinal", *fields))).alias("h")).select(
+            F.transform("h", lambda x: F.struct(*[x[f].alias(f) for f in fields])))
+        found = found.withColumn("p", F.when(F.size("p") > 0, F.col("p")).otherwise(ordered.scalar()))
     rows = found.select("response_id", F.posexplode("p").alias("ordinal", "s"))
     return rows.select("response_id", "ordinal", "s.latitude", "s.longitude", "s.incident_type", "s.prediction",
                        "s.likelihood_text").select(

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hotspan.functions.calendars import days_to_holiday
 from hotspan.functions.temporal import PAYDAYS, elapsed_days, is_payday
 from hotspan.functions.tiers import bround, ratio_verdict
-from hotspan.operators.distributions import dominant_season, peak_quarter, peaks
 
 MIN_SEASONAL_ROWS = 10
 
@@ -56,31 +55,62 @@ def yearly_counts(incidents: DataFrame) -> DataFrame:
     return incidents.where(F.col("year").isNotNull()).groupBy("year").agg(F.count(F.lit(1)).alias("count"))
 
 
+def _change_text(years: Column, first: Column, last: Column) -> Column:
+    """Change from the first year's count to the last one's in words, NULL for fewer than two years."""
+    pct = (last - first) / first * 100
+    whole = F.bround(pct, 0).cast("long").cast("string")
+    return (
+        F.when(years < 2, None)
+        .when(pct > 10, F.concat(F.lit("increasing (+"), whole, F.lit("%)")))
+        .when(pct < -10, F.concat(F.lit("decreasing ("), whole, F.lit("%)")))
+        .when(years >= 2, "stable"))
+
+
 def year_over_year(incidents: DataFrame) -> DataFrame:
     """Last year present against the first one; the text is NULL when only one year is present."""
     ends = yearly_counts(incidents).agg(
         F.count(F.lit(1)).alias("years"), F.min("year").alias("first_year"), F.max("year").alias("last_year"),
         F.min_by("count", "year").alias("first_count"), F.max_by("count", "year").alias("last_count"))
-    pct = (F.col("last_count") - F.col("first_count")) / F.col("first_count") * 100
-    whole = F.bround(pct, 0).cast("long").cast("string")
-    text = (
-        F.when(F.col("years") < 2, None)
-        .when(pct > 10, F.concat(F.lit("increasing (+"), whole, F.lit("%)")))
-        .when(pct < -10, F.concat(F.lit("decreasing ("), whole, F.lit("%)")))
-        .otherwise("stable"))
     return ends.select("years", "first_year", "last_year", "first_count", "last_count",
-                       F.when(F.col("years") > 0, text).alias("year_over_year"))
-
-
-def seasonal_verdicts(incidents: DataFrame, calendar: str | tuple = "fixed") -> DataFrame:
-    """One row with every seasonal conclusion. The parts are one-row scalar subqueries, so nothing is joined."""
-    rows = incidents.where(F.col("occurred_at").isNotNull())
-    return incidents.agg((F.count("occurred_at") >= MIN_SEASONAL_ROWS).alias("has_seasonal_data")).select(
-        "has_seasonal_data",
-        *[F.when(F.col("has_seasonal_data"), part.scalar()).alias(name) for name, part in (
-            ("peak_months", peaks(rows, "month").agg(F.array_sort(F.collect_list(F.struct("rank", "month"))).alias("m"))
-             .select(F.transform("m", lambda s: s["month"]))),
-            ("peak_quarter", peak_quarter(rows)), ("dominant_season", dominant_season(rows)),
-            ("holiday_spike", holiday_effect(rows, calendar).select("holiday_spike")),
-            ("payday_spike", payday_effect(rows).select("payday_spike")),
-            ("year_over_year", year_over_year(rows).select("year_over_year")))])
+                       _change_text(F.col("years"), F.col("first_count"), F.col("last_count")).alias("year_over_year"))
+
+
+def seasonal_verdicts(incidents: DataFrame, calendar: str | tuple = "fixed", holiday_days: int = HOLIDAY_DAYS, days: int = 3) -> DataFrame:
+    """One row with every seasonal conclusion, from one scan: counts per year first, conclusions from their sums."""
+    gap, payday = days_to_holiday(F.col("occurred_at"), calendar), is_payday(F.dayofmonth("occurred_at"))
+    months = [f"m{m}" for m in range(1, 13)]
+    counts = ["n", "near", "paydays", *months]
+    yearly = incidents.where(F.col("occurred_at").isNotNull()).select("year", "month", "occurred_at", gap.alias("gap"), payday.alias("payday"))
+    yearly = yearly.groupBy("year").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("gap") <= days).alias("near"), F.count_if("payday").alias("paydays"),
+        *[F.count_if(F.col("month") == i + 1).alias(m) for i, m in enumerate(months)],
+        F.min("occurred_at").alias("oldest"), F.max("occurred_at").alias("newest"))
+    one = yearly.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts], F.count("year").alias("years"),
+        F.min_by("n", "year").alias("first_count"), F.max_by("n", "year").alias("last_count"),
+        (elapsed_days(F.max("newest"), F.min("oldest")) + 1).alias("span"))
+
+    def summed(*numbers: int) -> Column:
+        return sum((F.col(f"m{m}") for m in numbers[1:]), F.col(f"m{numbers[0]}"))
+
+    def first_of_most(labels: dict[str, Column]) -> Column:
+        """Label with the highest count; ties go to the earlier one."""
+        ranked = F.array(*[F.struct((-c).alias("c"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, (name, c) in enumerate(labels.items())])
+        return F.array_min(ranked)["name"]
+
+    by_month = F.array(*[F.struct((-F.col(m)).alias("c"), F.lit(i + 1).alias("month")) for i, m in enumerate(months)])
+    top = F.slice(F.array_sort(F.filter(by_month, lambda s: s["c"] < 0)), 1, 3)
+    near_days = F.least(F.lit(holiday_days), F.col("span"))
+    near_rate = F.col("near") / near_days
+    far_rate = (F.col("n") - F.col("near")) / F.greatest(F.lit(1), F.col("span") - near_days)
+    pay_rate = F.col("paydays") / F.lit(float(len(PAYDAYS)))
+    other_rate = (F.col("n") - F.col("paydays")) / F.lit(float(ORDINARY_DAYS_PER_MONTH))
+    verdicts = {
+        "peak_months": F.transform(top, lambda s: s["month"]),
+        "peak_quarter": first_of_most({f"Q{q}": summed(3 * q - 2, 3 * q - 1, 3 * q) for q in (1, 2, 3, 4)}),
+        "dominant_season": first_of_most({"winter": summed(12, 1, 2), "spring": summed(3, 4, 5), "summer": summed(6, 7, 8), "fall": summed(9, 10, 11)}),
+        "holiday_spike": ratio_verdict(near_rate / F.nullif(far_rate, F.lit(0.0))),
+        "payday_spike": ratio_verdict(pay_rate / F.nullif(other_rate, F.lit(0.0))),
+        "year_over_year": _change_text(F.col("years"), F.col("first_count"), F.col("last_count"))}
+    enough = F.col("n") >= MIN_SEASONAL_ROWS
+    return one.select(enough.alias("has_seasonal_data"), *[F.when(enough, v).alias(name) for name, v in verdicts.items()])

@@ -17,8 +17,8 @@ def _rows(df: DataFrame, section: str, *pairs: tuple[Column, Column]) -> DataFra
         "section", (F.col("_o") * len(pairs) + F.col("pos")).cast("long").alias("ordinal"), "col.label", "col.value")
 
 
-def analysis_report(incidents: DataFrame, predictions: DataFrame, k: int = 5) -> DataFrame:
-    """(section, ordinal, label, value): totals, the k top types, and every prediction with its number.
+def analysis_report(incidents: DataFrame, predictions: DataFrame, k: int = 5, responses: DataFrame | None = None) -> DataFrame:
+    """(section, ordinal, label, value): totals, the k top types, every prediction with its number, and every raw response.
 
     Predictions of a table of responses are numbered within their response, which the label then names.
     """
@@ -39,4 +39,22 @@ def analysis_report(incidents: DataFrame, predictions: DataFrame, k: int = 5) ->
     expected = _rows(numbered, "predictions", (part("location"), place), (part("type"), F.col("incident_type")),
                      (part("likelihood"), F.concat(F.col("likelihood").cast("string"), F.lit("%"))),
                      (part("analysis"), F.col("prediction")))
-    return totals.unionByName(types).unionByName(expected)
+    report = totals.unionByName(types).unionByName(expected)
+    if responses is None:
+        return report
+    raw = responses.select(F.lit("raw_output").alias("section"), F.lit(0).cast("long").alias("ordinal"),
+                           F.concat(F.lit("Response #"), F.coalesce(F.col("response_id").cast("string"), F.lit("-"))).alias("label"),
+                           F.col("raw").alias("value"))
+    return report.unionByName(raw)
+
+
+# The sections of the report in their order.
+SECTIONS = ("summary", "top_types", "predictions", "raw_output")
+
+
+def write_report(report: DataFrame, path: str, mode: str = "error") -> None:
+    """Write a report as text, one line per entry, ordered by section, response and ordinal across the files."""
+    section = F.array_position(F.array(*[F.lit(s) for s in SECTIONS]), F.col("section"))
+    line = F.concat_ws("\t", "section", "label", F.regexp_replace(F.coalesce("value", F.lit("")), r"\R", " "))
+    rows = report.select(section.alias("s"), "ordinal", "label", line.alias("line"))
+    rows.orderBy("s", F.regexp_extract("label", r"#([^ ]*)", 1), "ordinal", "label").select("line").write.mode(mode).text(path)

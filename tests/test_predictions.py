@@ -3,6 +3,8 @@
 import pytest
 
 from hotspan import analyze
+from hotspan.operators.seasonal import seasonal_verdicts
+from hotspan.plans.report import SECTIONS, write_report
 from hotspan.operators import predictions as P
 
 OBJECT = '{"latitude": 33.7, "longitude": -84.4, "crime_type": "Theft", "prediction": "a {brace", "likelihood": 80}'
@@ -52,12 +54,30 @@ def test_full_analysis(spark, raw):
         assert df.count() > 0, name
 
 
-def test_full_analysis_with_responses(spark, raw):
+def test_full_analysis_with_responses(spark, raw, tmp_path):
     texts = spark.createDataFrame([(1, f"[{OBJECT}]"), (2, "nothing")], "response_id long, raw string")
     out = analyze(raw, responses=texts)
-    assert [r.incident_type for r in out["predictions"].collect()] == ["Theft"]
+    # The response without a prediction repeats the one hotspot, the other one stands for itself.
+    assert {(r.response_id, r.incident_type, r.prediction.split()[0]) for r in out["predictions"].collect()} == {
+        (1, "Theft", out["predictions"].where("response_id = 1").first().prediction.split()[0]), (2, "Theft", "Historical")}
     values = {r.label: r.value for r in out["report"].collect()}
     assert values["Prediction #1.1 location"] == "(33.7, -84.4)" and values["total_records"] == "300"
+    assert values["Response #2"] == "nothing"
+    write_report(out["report"], str(tmp_path / "report"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "report")).collect()]
+    assert len(lines) == out["report"].count() and set(x.split("\t")[0] for x in lines) == set(SECTIONS)
+
+
+def test_nothing_extracted_without_hotspots_is_empty(spark):
+    from hotspan.operators.predictions import extract_predictions
+    texts = spark.createDataFrame([(1, None), (None, "nothing"), (3, "")], "response_id long, raw string")
+    assert extract_predictions(texts).isEmpty()
+
+
+def test_verdicts_take_one_scan(incidents_of):
+    df = incidents_of([(i, 1.0, 1.0, "a", f"2024-0{1 + i % 6}-05 10:00:00", 10) for i in range(20)])
+    text = seasonal_verdicts(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("LogicalRDD") + text.count("LocalRelation") == 1 and "Subquery" not in text
 
 
 def test_single_quoted_text_is_not_json(spark):
