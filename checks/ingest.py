@@ -1,5 +1,9 @@
 """Ingest, scalar expressions and row-level columns."""
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.registry import query
@@ -9,6 +13,8 @@ from hotspan.functions.parsing import parse_pct
 from hotspan.operators import distributions, recency
 from hotspan.sources.layers import sample_incidents
 from hotspan.sources.normalize import dataset_profile, dated, ingest_report, normalize_incidents
+from hotspan.sources.reader import read_incidents
+from hotspan.storage import shared_folder
 
 _NULLS = "('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null')"
 _CLEAN = f"""
@@ -32,7 +38,7 @@ def dataset_profile_raw(spark, sf_dir):
     count(occurred_at) FILTER (latitude IS NOT NULL AND longitude IS NOT NULL) AS valid_dates,
     count(hour) FILTER (latitude IS NOT NULL AND longitude IS NOT NULL) AS valid_hours FROM typed""")
 def ingest_quality(spark, sf_dir):
-    return ingest_report(raw_rows(spark, sf_dir)).drop("failed_dates", "failed_hours")
+    return ingest_report(raw_rows(spark, sf_dir)).drop("failed_dates", "failed_hours", "damaged")
 
 
 @query(f"""WITH {RAW_ROWS}, {_CLEAN}
@@ -58,6 +64,23 @@ def normalized_incidents(spark, sf_dir):
         -1, ["day_of_week", "month", "quarter", "day_of_month", "year", "hour"])
 
 
+@query(f"""WITH {RAW_ROWS}, {_CLEAN}, fmt AS (SELECT unnest(['csv', 'json', 'orc', 'parquet']) AS format),
+  j AS (SELECT format, format = 'json' AND event_id % 9 = 0 AS broken, t.* FROM typed t, fmt)
+  SELECT format, count(*) AS rows_read, count(*) FILTER (NOT broken AND latitude IS NOT NULL AND longitude IS NOT NULL) AS rows_kept,
+    count(occurred_at) FILTER (NOT broken AND latitude IS NOT NULL AND longitude IS NOT NULL) AS valid_dates,
+    count(*) FILTER (broken) AS damaged FROM j GROUP BY format""")
+def read_back_formats(spark, sf_dir):
+    """The raw rows written in every format and read again; every ninth JSON record is cut short."""
+    raw, folder = raw_rows(spark, sf_dir), f"{shared_folder(spark)}/formats-{uuid.uuid4().hex}"
+    for fmt in ("csv", "orc", "parquet"):
+        raw.write.format(fmt).options(header=True, escape='"').save(f"{folder}/rows.{fmt}")
+    line = F.to_json(F.struct(*raw.columns))
+    raw.select(F.when(F.col("event_id") % 9 == 0, F.substring(line, 1, 25)).otherwise(line)).write.text(f"{folder}/rows.json")
+    reports = [ingest_report(read_incidents(spark, f"{folder}/rows.{fmt}", damaged="_damaged"), damaged="_damaged").select(
+        F.lit(fmt).alias("format"), "rows_read", "rows_kept", "valid_dates", "damaged") for fmt in ("csv", "json", "orc", "parquet")]
+    return reduce(DataFrame.unionByName, reports)
+
+
 # One layout per 24th of the rows; what each can hold of the time is what comes back.
 _LAYOUTS = (  # Spark, DuckDB, unit that is left
     ("date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\") || '+00:00'", "strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00'", "second"),

@@ -125,10 +125,10 @@ def normalize_incidents(df: DataFrame, roles: dict[str, str] | None = None, id_c
     return calendar_columns(kept).select(*INCIDENTS.fieldNames())
 
 
-def ingest_report(df: DataFrame, roles: dict[str, str] | None = None) -> DataFrame:
-    """One row: rows read, dropped for bad coordinates, kept; and of those with a valid date or hour, and with a text in
-    the date or time column that is none."""
-    roles = _checked_roles(df, roles)
+def ingest_report(df: DataFrame, roles: dict[str, str] | None = None, damaged: str | None = None) -> DataFrame:
+    """One row: rows read, dropped for bad coordinates, kept; of those with a valid date or hour, and with a text in the
+    date or time column that is none; and records with a text in the column ``damaged`` that the reader made."""
+    roles = _checked_roles(df if damaged is None else df.drop(damaged), roles)
     parsed, good = _parsed(df, roles, "date", "time"), F.expr(GOOD)
     families = _hour_families(parsed)
     hours = [F.count_if(good & h.isNotNull()).alias(f"_h{i}") for i, h in enumerate(families)]
@@ -140,11 +140,12 @@ def ingest_report(df: DataFrame, roles: dict[str, str] | None = None) -> DataFra
     counted = parsed.agg(
         F.count(F.lit(1)).alias("rows_read"), F.count_if(~good).alias("rows_dropped"), F.count_if(good).alias("rows_kept"),
         F.count_if(good & _timestamp(parsed).isNotNull()).alias("valid_dates"), *hours,
-        filled("date").alias("_dates"), filled("time").alias("_times"))
+        filled("date").alias("_dates"), filled("time").alias("_times"),
+        F.count(F.lit(None) if damaged is None else F.col(f"`{damaged}`")).alias("damaged"))
     chosen = F.coalesce(*[F.when(F.col(f"_h{i}") > 0, F.col(f"_h{i}")) for i in range(len(families))], F.lit(0)).cast("long")
     return counted.select("rows_read", "rows_dropped", "rows_kept", "valid_dates", chosen.alias("valid_hours"),
                           (F.col("_dates") - F.col("valid_dates")).cast("long").alias("failed_dates"),
-                          (F.col("_times") - chosen).cast("long").alias("failed_hours"))
+                          (F.col("_times") - chosen).cast("long").alias("failed_hours"), "damaged")
 
 
 def require_rows(incidents: DataFrame) -> DataFrame:

@@ -107,6 +107,18 @@ def test_csv_is_latin1_with_doubled_quotes(spark, tmp_path):
     assert read_incidents(spark, str(path)).first()["type"] == 'caf\xe9 "bar"'
 
 
+def test_damaged_csv_lines_are_kept_apart(spark, tmp_path):
+    path = tmp_path / "rows.csv"
+    path.write_text("lat,lon,type,date\n1.5,2.5,a,2024-01-02\n3.5\n4.5,5.5,b,soon,more,fields\n6.5,7.5,c,2024-01-03\n")
+    df = read_incidents(spark, str(path), damaged="broken")
+    assert sorted(r.broken for r in df.collect() if r.broken) == ["3.5", "4.5,5.5,b,soon,more,fields"]
+    r = ingest_report(df, damaged="broken").first()
+    assert (r.rows_read, r.rows_kept, r.valid_dates, r.failed_dates, r.damaged) == (4, 3, 2, 1, 2)
+    assert ingest_report(read_incidents(spark, str(path))).first().damaged == 0
+    typed = read_incidents(spark, str(path), schema="lat double, lon double, type string, date string", damaged="broken")
+    assert len([r for r in typed.select("lat", "broken").collect() if r.broken]) == 2
+
+
 def test_reader_errors(spark, tmp_path):
     with pytest.raises(ValueError, match="unsupported"):
         read_incidents(spark, str(tmp_path / "a.xlsx"))
