@@ -219,6 +219,13 @@ def incident_cube(spark, sf_dir):
                                             for c in df.columns if c not in ("marginal", "count")])
 
 
+@query(_cube(EVENTS))
+def incident_cube_from_facts(spark, sf_dir):
+    df = D.incident_cube(D.fact_table(inc_events(spark, sf_dir)))
+    return df.select("marginal", "count", *[F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c)
+                                            for c in df.columns if c not in ("marginal", "count")])
+
+
 # --- calendar effects -------------------------------------------------------------------------------------------
 
 _FIXED = ((1, 1), (1, 15), (2, 19), (5, 27), (7, 4), (9, 2), (10, 14), (11, 11), (11, 28), (12, 25), (12, 31))

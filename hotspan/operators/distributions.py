@@ -10,9 +10,30 @@ from hotspan.functions.temporal import (SEASONS, TIME_PERIODS, month_name, quart
 from hotspan.functions.tiers import bround
 
 
+#: Column of a fact table: the incidents a row stands for.
+STANDS_FOR = "_stands_for"
+
+
+def fact_table(incidents: DataFrame) -> DataFrame:
+    """Incidents counted by type, hour and day. Every operator that only counts takes it in place of the incidents.
+
+    It has one row per type, hour and day, whatever the number of incidents, so many results are made from one scan.
+    """
+    return incidents.groupBy("incident_type", "hour", "day_of_week", "month", "quarter", "day_of_month", "year").agg(
+        F.count(F.lit(1)).alias(STANDS_FOR))
+
+
+def number_of(incidents: DataFrame, which: Column | None = None) -> Column:
+    """Aggregate: rows of an incident table, or the incidents that the rows of a fact table stand for."""
+    if STANDS_FOR not in incidents.columns:
+        return F.count(F.lit(1)) if which is None else F.count_if(which)
+    each = F.col(STANDS_FOR) if which is None else F.when(which, F.col(STANDS_FOR))
+    return F.coalesce(F.sum(each), F.lit(0))
+
+
 def summary(incidents: DataFrame) -> DataFrame:
     """Record count and number of distinct types."""
-    return incidents.agg(F.count(F.lit(1)).alias("total_records"),
+    return incidents.agg(number_of(incidents).alias("total_records"),
                          F.countDistinct("incident_type").alias("distinct_types"))
 
 
@@ -37,13 +58,12 @@ def with_share(counts: DataFrame, count: str = "count", out: str = "share", digi
 
 def type_counts(incidents: DataFrame) -> DataFrame:
     """Rows per known type."""
-    return incidents.where(F.col("incident_type").isNotNull()).groupBy("incident_type").agg(
-        F.count(F.lit(1)).alias("count"))
+    return _counts(incidents, "incident_type")
 
 
 def type_distribution(incidents: DataFrame) -> DataFrame:
     """Count and percentage per type; rows without a type stay in the denominator."""
-    total = incidents.select(F.count(F.lit(1))).scalar()
+    total = incidents.select(number_of(incidents)).scalar()
     return type_counts(incidents).withColumn("percentage", percent_of(F.col("count"), total))
 
 
@@ -59,7 +79,7 @@ def of_top_types(incidents: DataFrame, k: int = 5) -> DataFrame:
 
 
 def _counts(incidents: DataFrame, column: str) -> DataFrame:
-    return incidents.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("count"))
+    return incidents.where(F.col(column).isNotNull()).groupBy(column).agg(number_of(incidents).alias("count"))
 
 
 def hourly_distribution(incidents: DataFrame) -> DataFrame:
@@ -84,13 +104,13 @@ def _labelled(counts: DataFrame, label: str, labels: tuple[str, ...]) -> DataFra
 
 def time_periods(incidents: DataFrame) -> DataFrame:
     """Count and share for each part of the day, empty ones included."""
-    counts = _counts(incidents.select(time_period(F.col("hour")).alias("time_period")), "time_period")
+    counts = _counts(incidents.withColumn("time_period", time_period(F.col("hour"))), "time_period")
     return with_share(_labelled(counts, "time_period", TIME_PERIODS))
 
 
 def season_comparison(incidents: DataFrame) -> DataFrame:
     """Count and share for each season, empty ones included."""
-    counts = _counts(incidents.select(season(F.col("month")).alias("season")), "season")
+    counts = _counts(incidents.withColumn("season", season(F.col("month"))), "season")
     return with_share(_labelled(counts, "season", SEASONS))
 
 
@@ -112,7 +132,7 @@ def seasonal_distribution(incidents: DataFrame) -> DataFrame:
     """Monthly and quarterly counts from one scan: (section, key, ordinal, count)."""
     grouped = incidents.where(F.col("month").isNotNull()).groupingSets(
         [[F.col("month")], [F.col("quarter")]], F.col("month"), F.col("quarter")
-    ).agg(F.grouping("month").alias("_by_quarter"), F.count(F.lit(1)).alias("count"))
+    ).agg(F.grouping("month").alias("_by_quarter"), number_of(incidents).alias("count"))
     by_quarter = F.col("_by_quarter") == 1
     return grouped.select(
         F.when(by_quarter, "quarter").otherwise("month").alias("section"),
@@ -140,7 +160,7 @@ def top_k_per_group(incidents: DataFrame, keys: list[str], column: str, k: int)
     Rows are counted first, so a group reaches the window as one row per distinct value, and the rank filter
     is applied before that shuffle as well.
     """
-    counts = incidents.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("count"))
+    counts = incidents.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(number_of(incidents).alias("count"))
     return rank_within(counts, keys, column, k)
 
 
@@ -174,7 +194,7 @@ def incident_cube(incidents: DataFrame, sets: dict[str, list[str]] | None = None
     columns = sorted({c for group in sets.values() for c in group})
     derived = incidents.withColumns({
         "season": season(F.col("month")), "time_period": time_period(F.col("hour"))})
-    base = derived.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    base = derived.groupBy(*columns).agg(number_of(incidents).alias("_n"))
     cube = base.groupingSets([[F.col(c) for c in group] for group in sets.values()], *[F.col(c) for c in columns]).agg(
         *[F.grouping(c).alias(f"_g_{c}") for c in columns], F.sum("_n").alias("count"))
     name, complete = F.lit(None).cast("string"), F.lit(False)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hotspan.functions.temporal import TIME_PERIODS, is_weekend, time_period
 from hotspan.functions.tiers import bround, change_verdict, weekend_verdict as weekend_rule
-from hotspan.operators.distributions import rank_within, ranked_list
+from hotspan.operators.distributions import number_of, rank_within, ranked_list
 from hotspan.operators.recency import date_span
 
 MIN_TREND_ROWS = 10
@@ -45,7 +45,7 @@ def time_half_trend(incidents: DataFrame, min_rows: int = MIN_TREND_ROWS) -> Dat
 def weekend_verdict(incidents: DataFrame) -> DataFrame:
     """Weekday and weekend counts of the whole table and which is busier per day."""
     weekend = is_weekend(F.col("day_of_week"))
-    counted = incidents.agg(F.count_if(~weekend).alias("weekday_count"), F.count_if(weekend).alias("weekend_count"))
+    counted = incidents.agg(number_of(incidents, ~weekend).alias("weekday_count"), number_of(incidents, weekend).alias("weekend_count"))
     return counted.withColumn("weekend_vs_weekday", weekend_rule(F.col("weekday_count"), F.col("weekend_count")))
 
 
@@ -56,7 +56,7 @@ def type_patterns(incidents: DataFrame, k: int = 5) -> DataFrame:
     is derived from it.
     """
     facts = incidents.where(F.col("incident_type").isNotNull()).groupBy(
-        "incident_type", "hour", "day_of_week").agg(F.count(F.lit(1)).alias("count"))
+        "incident_type", "hour", "day_of_week").agg(number_of(incidents).alias("count"))
     best = facts.groupBy("incident_type").agg(F.sum("count").alias("count")).orderBy(
         F.desc("count"), "incident_type").limit(k)
     kept = facts.join(F.broadcast(best.select("incident_type")), "incident_type", "left_semi")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hotspan.functions.calendars import days_to_holiday
 from hotspan.functions.temporal import PAYDAYS, elapsed_days, is_payday
 from hotspan.functions.tiers import bround, ratio_verdict
+from hotspan.operators.distributions import number_of
 
 MIN_SEASONAL_ROWS = 10
 
@@ -52,7 +53,7 @@ def payday_effect(incidents: DataFrame, min_rows: int = MIN_SEASONAL_ROWS) -> Da
 
 
 def yearly_counts(incidents: DataFrame) -> DataFrame:
-    return incidents.where(F.col("year").isNotNull()).groupBy("year").agg(F.count(F.lit(1)).alias("count"))
+    return incidents.where(F.col("year").isNotNull()).groupBy("year").agg(number_of(incidents).alias("count"))
 
 
 def _change_text(years: Column, first: Column, last: Column) -> Column:

@@ -3,6 +3,8 @@
 import pytest
 
 from hotspan import analyze
+from hotspan.operators import distributions as D
+from hotspan.operators import patterns, seasonal
 from hotspan.operators.seasonal import seasonal_verdicts
 from hotspan.plans.report import SECTIONS, write_report
 from hotspan.operators import predictions as P
@@ -74,6 +76,34 @@ def test_nothing_extracted_without_hotspots_is_empty(spark):
     assert extract_predictions(texts).isEmpty()
 
 
+def test_results_that_count_read_the_fact_table(spark, raw):
+    """Of all results only those that need single incidents join or aggregate them; the others read the small table of counts.
+
+    Predictions and report take the bounds of the incidents as a scalar, which is no input file of theirs.
+    """
+    out = analyze(raw)
+    folder = out["incidents"].inputFiles()[0].rsplit("/", 1)[0]
+    reading = {name for name, df in out.items() if any(f.startswith(folder) for f in df.inputFiles())}
+    assert reading == {"incidents", "geo_bounds", "recency_stats", "recent_trend", "time_half_trend", "holiday_effect", "payday_effect",
+                       "seasonal_verdicts", "forecast_by_type", "cluster_summary", "density_grid", "layers"}
+
+
+def test_facts_stand_for_incidents(incidents_of):
+    rows = [(i, 1.0, 1.0, [None, "a", "b"][i % 3], None if i % 7 == 0 else f"202{i % 3}-0{1 + i % 9}-{1 + i % 28:02d} 10:00:00", [None, *range(24)][i % 25])
+            for i in range(200)]
+    df = incidents_of(rows)
+    facts = D.fact_table(df)
+    for operator in (D.summary, D.type_distribution, D.top_types, D.hourly_distribution, D.daily_distribution, D.monthly_distribution,
+                     D.time_periods, D.season_comparison, D.dominant_time_period, D.dominant_season, D.seasonal_distribution,
+                     D.peak_quarter, D.incident_cube, patterns.weekend_verdict, patterns.type_patterns, seasonal.year_over_year,
+                     lambda x: D.peaks(x, "hour"), lambda x: D.top_k_per_group(x, ["incident_type"], "month", 2)):
+        got, want = operator(facts), operator(df)
+        assert got.columns == want.columns
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+        empty = operator(D.fact_table(df.limit(0)))
+        assert sorted(map(repr, empty.collect())) == sorted(map(repr, operator(df.limit(0)).collect()))
+
+
 def test_verdicts_take_one_scan(incidents_of):
     df = incidents_of([(i, 1.0, 1.0, "a", f"2024-0{1 + i % 6}-05 10:00:00", 10) for i in range(20)])
     text = seasonal_verdicts(df)._jdf.queryExecution().optimizedPlan().toString()
