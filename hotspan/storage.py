@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Whether shuffle files go as soon as their query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir`` or set on the context. Only a local session may fall back to a temporary one."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -22,10 +26,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def write_once(df: DataFrame) -> DataFrame:
-    """Run the plan now, keep the rows as Parquet in the shared folder and read them from there."""
+    """Run the plan now, keep the rows as Parquet in the shared folder and read them from there.
+
+    The shuffle files of the run are of no further use once the table is there, so Spark is told to drop them at its end.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/hotspan-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
