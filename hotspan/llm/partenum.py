@@ -17,6 +17,8 @@ from hotspan.storage import write_once
 
 #: Upper size of a band over that of the band below.
 BAND = 1.5
+#: Bytes of a signature that are sent beside its part; what they confuse is compared in vain, nothing more.
+KEPT_BYTES = 6
 #: Signatures that meet in one task, on average.
 MEET = 1 << 20
 #: Rounds that compare open buckets with one of their members each, before what is left is compared pair by pair.
@@ -155,8 +157,11 @@ def document_sets(docs: DataFrame, join: Join, doc_id: str = "doc_id", text: str
 def shared_signatures(docs: DataFrame, join: Join, sets: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(sig, key): signatures that several different sets have.
 
-    A task signs each different set it meets once, deals its signatures out by their high bits and passes on packed arrays
-    of (signature, key), so the shuffle moves 16 bytes a signature; the number of parts follows the total of set sizes.
+    A task signs each different set it meets once, deals its signatures out by their high bits and passes on packed arrays:
+    six bytes of each signature and, once for all signatures of a set in one part, its key. The number of parts follows
+    the total of set sizes. ``sig`` names a signature by the hash of the keys that have it, so that
+    signatures with the same keys, of which near copies have hundreds, are one; one whose keys all lie in one
+    larger group of the same part is left out.
     """
     per = 0.5 * (1 + 100 / join.percent) * (100 - join.percent) / (100 + join.percent) * 3 * 1.6
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * per
@@ -167,14 +172,22 @@ def shared_signatures(docs: DataFrame, join: Join, sets: DataFrame, doc_id: str
 
         def pack(signed: list[np.ndarray], keys: list[int]) -> pa.RecordBatch:
             sigs = np.concatenate([np.zeros(0, np.uint64), *signed])
-            owner = np.repeat(np.array(keys, np.int64), [len(s) for s in signed])
+            owner = np.repeat(np.arange(len(keys)), [len(s) for s in signed])
             part = ((sigs >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            sigs, owner, bounds = sigs[order], owner[order], np.searchsorted(part[order], np.arange(parts + 1))
-            full = np.flatnonzero(np.diff(bounds))
+            order = np.argsort(part, kind="stable")  # within a part, the signatures of one set stay together
+            part, owner = part[order], owner[order]
+            low = np.ascontiguousarray(sigs[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES])
+            run = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (owner[1:] != owner[:-1]))[:len(part)])
+            counts = np.diff(np.append(run, len(part))).astype(np.int32)
+            named = np.array(keys, np.int64)[owner[run]]
+            full, first = np.unique(part[run], return_index=True)
+            first = np.append(first, len(run))
+            at = np.append(run, len(part))[first]
+            pieces = range(len(full))
             return pa.RecordBatch.from_arrays(
-                [pa.array(full, pa.int32()), pa.array([sigs[bounds[p]:bounds[p + 1]].tobytes() for p in full], pa.binary()),
-                 pa.array([owner[bounds[p]:bounds[p + 1]].tobytes() for p in full], pa.binary())], names=["part", "sigs", "keys"])
+                [pa.array(full, pa.int32()), pa.array([low[at[i]:at[i + 1]].tobytes() for i in pieces], pa.binary()),
+                 pa.array([named[first[i]:first[i + 1]].tobytes() for i in pieces], pa.binary()),
+                 pa.array([counts[first[i]:first[i + 1]].tobytes() for i in pieces], pa.binary())], names=["part", "sigs", "keys", "counts"])
 
         for batch in batches:
             signed, keys, waiting = [], [], 0
@@ -193,62 +206,112 @@ def shared_signatures(docs: DataFrame, join: Join, sets: DataFrame, doc_id: str
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_part: dict[int, list] = {}
         for batch in batches:
-            for p, s, k in zip(*(c.to_pylist() for c in batch.columns)):
-                by_part.setdefault(p, []).append((np.frombuffer(s, np.uint64), np.frombuffer(k, np.int64)))
+            for p, s, k, c in zip(*(c.to_pylist() for c in batch.columns)):
+                by_part.setdefault(p, []).append((s, np.repeat(np.frombuffer(k, np.int64), np.frombuffer(c, np.int32))))
         for found in by_part.values():
-            sigs, keys = (np.concatenate(x) for x in zip(*found))
-            order = np.argsort(sigs, kind="stable")
-            sigs, keys = sigs[order], keys[order]
-            new = np.concatenate([[True], sigs[1:] != sigs[:-1]])
-            group = np.cumsum(new) - 1
-            low, high = (f.reduceat(keys, np.flatnonzero(new)) for f in (np.minimum, np.maximum))
-            keep = (low != high)[group]
-            sigs, keys = sigs[keep], keys[keep]
-            for at in range(0, len(sigs), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(sigs[at:at + 100_000].astype(np.int64)), pa.array(keys[at:at + 100_000])],
-                                                 names=["sig", "key"])
-
-    packed = _rows(docs, doc_id, text).mapInArrow(sign, "part int, sigs binary, keys binary")
+            low = np.frombuffer(b"".join(s for s, _ in found), np.uint8).reshape(-1, KEPT_BYTES)
+            sigs, keys = np.zeros((len(low), 8), np.uint8), np.concatenate([k for _, k in found])
+            sigs[:, :KEPT_BYTES] = low
+            names, keys = groups_of(sigs.view("<u8").reshape(-1), keys)
+            for at in range(0, len(names), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(names[at:at + 100_000]), pa.array(keys[at:at + 100_000])], names=["sig", "key"])
+
+    packed = _rows(docs, doc_id, text).mapInArrow(sign, "part int, sigs binary, keys binary, counts binary")
     return packed.repartition(parts, "part").mapInArrow(meet, "sig bigint, key bigint").distinct()
 
 
-def with_values(docs: DataFrame, wanted: DataFrame, join: Join, doc_id: str, text: str) -> DataFrame:
-    """(id, first, n, values): the packed sets of the nodes in ``wanted`` (n, key, check, id, first), read from a row of ``first``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, texts in ta.text_pieces(batch.column(1)):
-                sets = shingles(texts, join.words)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s, 5) for s in sets], pa.int64()),
-                     pa.array([set_key(s, 6) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["n", "key", "check", "values"])
+def groups_of(sigs: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(name, key) of the groups of several keys that share a signature; every two keys of a group are in one that stays.
 
-    every = _rows(docs, doc_id, text)
-    rows = every.join(wanted.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
-    if not wanted.where("first is null").isEmpty():
-        rows = rows.unionByName(every.where("doc_id is null"))
-    sets = rows.mapInArrow(run, "n bigint, key bigint, check bigint, values binary").dropDuplicates(["n", "key", "check"])
-    return sets.join(wanted, ["n", "key", "check"]).select("id", "first", "n", "values")
+    A group's name is a hash of its keys, so equal groups are one. A group goes if the largest group of each of its keys is
+    the same other group, for that holds all of them.
+    """
+    order = np.argsort(sigs, kind="stable")
+    sigs, keys = sigs[order], keys[order]
+    new = np.flatnonzero(np.append(True, sigs[1:] != sigs[:-1])[:len(sigs)])
+    if len(new):
+        low, high = np.minimum.reduceat(keys, new), np.maximum.reduceat(keys, new)
+        keep = np.repeat(low != high, np.diff(np.append(new, len(sigs))))
+        sigs, keys = sigs[keep], keys[keep]
+    if not len(sigs):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.lexsort((keys, sigs))
+    sigs, keys = sigs[order], keys[order]
+    once = np.append(True, (sigs[1:] != sigs[:-1]) | (keys[1:] != keys[:-1]))
+    sigs, keys = sigs[once], keys[once]
+    new = np.flatnonzero(np.append(True, sigs[1:] != sigs[:-1]))
+    sizes = np.diff(np.append(new, len(sigs)))
+    with np.errstate(over="ignore"):
+        names = ta.mixed(np.add.reduceat(ta.mixed(keys.astype(np.uint64), 31), new) + sizes.astype(np.uint64)).astype(np.int64)
+    _, chosen = np.unique(names, return_index=True)
+    chosen = chosen[np.argsort(-sizes[chosen], kind="stable")]  # the largest groups first
+    starts, sizes, names = new[chosen], sizes[chosen], names[chosen]
+    keys = keys[ta.ragged(starts, sizes)]
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    _, first, number = np.unique(keys, return_index=True, return_inverse=True)
+    largest, begin = group[first][number], np.cumsum(sizes) - sizes
+    least, most = np.minimum.reduceat(largest, begin), np.maximum.reduceat(largest, begin)
+    keep = ((least != most) | (least == np.arange(len(sizes))))[group]
+    return names[group][keep], keys[keep]
+
+
+def sets_of(column: pa.Array, words: int) -> list[np.ndarray]:
+    """The shingles of every text in an Arrow column."""
+    return [s for _, texts in ta.text_pieces(column) for s in shingles(texts, words)]
 
 
-def linked(pairs: DataFrame, values: DataFrame, join: Join) -> DataFrame:
+def with_texts(docs: DataFrame, wanted: DataFrame, join: Join, doc_id: str, text: str) -> DataFrame:
+    """(id, first, n, text): a text for each of the nodes ``wanted`` (n, key, check, id, first, rows), from a row of ``first``.
+
+    A text takes less room than its set of hashes. A node whose ``first`` has one such row is found by that id alone and its text is not
+    shuffled by set; only nodes of repeated or missing ids are.
+    """
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = sets_of(batch.column(0), join.words)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s, 5) for s in sets], pa.int64()),
+                 pa.array([set_key(s, 6) for s in sets], pa.int64()), batch.column(0)], names=["n", "key", "check", "text"])
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = sets_of(batch.column(5), join.words)
+            wants = zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))
+            same = [i for i, (s, w) in enumerate(zip(sets, wants)) if (len(s), set_key(s, 5), set_key(s, 6)) == w]
+            yield batch.select([0, 1, 2, 5]).take(pa.array(same, pa.int64()))
+
+    every = _rows(docs, doc_id, text)
+    single = wanted.where("rows = 1").select("id", "first", "n", "key", "check")
+    found = every.join(single, every["doc_id"] == single["first"]).select("id", "first", "n", "key", "check", "text").mapInArrow(
+        own, "id bigint, first bigint, n bigint, text string")
+    others = wanted.where("rows <> 1")
+    if others.isEmpty():
+        return found
+    rows = every.join(others.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi").unionByName(every.where("doc_id is null"))
+    sets = rows.select("text").mapInArrow(keyed, "n bigint, key bigint, check bigint, text string").groupBy(
+        "n", "key", "check").agg(F.min("text").alias("text"))
+    return found.unionByName(sets.join(others, ["n", "key", "check"]).select("id", "first", "n", "text"))
+
+
+def linked(pairs: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
     """The pairs (u, v) of nodes whose sets link, with the first document of each (``ufirst``, ``vfirst``).
 
-    Both sets are compared value by value. ``un`` and ``vn`` are their sizes. The pairs are written first, so that a small table of them goes
-    to the sets instead of all sets to the pairs.
+    Both sets are made from their texts and compared value by value. ``un`` and ``vn`` are their sizes. The pairs are written first, so that a
+    small table of them goes to the texts instead of all texts to the pairs.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for i, (a, b) in enumerate(zip(*batch.columns[4:])):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+            other, found = batch.column(5).dictionary_encode(), []
+            theirs = sets_of(other.dictionary, join.words)  # many rows share their leader's text
+            for i, (x, j) in enumerate(zip(sets_of(batch.column(4), join.words), other.indices.to_pylist())):
+                y = theirs[j]
                 place = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 common = int((y[place] == x).sum())
                 if join.needs(common, len(x) + len(y) - common):
                     found.append(i)
             yield batch.select([0, 1, 2, 3]).take(pa.array(found, pa.int64()))
 
-    a, b = (values.select(F.col("id").alias(i), F.col("first").alias(f"{i}first"), F.col("values").alias(v)) for i, v in (("u", "a"), ("v", "b")))
+    a, b = (texts.select(F.col("id").alias(i), F.col("first").alias(f"{i}first"), F.col("text").alias(v)) for i, v in (("u", "a"), ("v", "b")))
     likely = pairs.where(100 * F.least("un", "vn") >= join.percent * F.greatest("un", "vn")).select("u", "v").distinct()
     near = write_once(likely)
     b = b.join(near.select("v").distinct(), "v", "left_semi")
@@ -289,19 +352,21 @@ def could_link(shared, size, other_size, percent: int):
     return 100 * shared >= percent * (size + other_size - shared)
 
 
-def _peeled(members: DataFrame, values: DataFrame, join: Join) -> DataFrame:
+def _peeled(members: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
     """Members that could still link, with ``shared``: how many of their values another set of an open bucket has too.
 
     Two linked sets have in common no more than either's shared values; what is too little for the smallest possible
     partner in the bucket drops out.
     """
-    own = values.join(members.select("id").distinct(), "id", "left_semi").select("id", "n", "values")
+    own = texts.join(members.select("id").distinct(), "id", "left_semi").select("id", "text")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, raw in zip(batch.column(0).to_pylist(), batch.column(2)):
-                s = np.frombuffer(raw.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), i))], names=["value", "id"])
+            ids = batch.column(0).to_numpy()
+            for at, texts in ta.text_pieces(batch.column(1)):
+                sets = shingles(texts, join.words)
+                owner = np.repeat(ids[at:at + texts.n], [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).astype(np.int64)), pa.array(owner)], names=["value", "id"])
 
     rows = own.mapInArrow(spread, "value bigint, id bigint")
     alone = rows.groupBy("value").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
@@ -334,13 +399,15 @@ def _linked_sets(docs: DataFrame, join: Join, sets: DataFrame, usable: DataFrame
 
     Every different set is one node with a number of its own; ``first`` is the smallest id of its documents, null if none has one.
     """
-    nodes = write_once(usable.groupBy("n", "key", "check").agg(F.min("doc_id").alias("first")).withColumn(
+    per_id = usable.groupBy("n", "key", "check", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    nodes = write_once(per_id.groupBy("n", "key", "check").agg(
+        F.min("doc_id").alias("first"), F.coalesce(F.min_by("rows", "doc_id"), F.lit(0)).alias("rows")).withColumn(
         "id", F.monotonically_increasing_id()))
     shared = shared_signatures(docs, join, sets, doc_id, text)
     members = write_once(shared.join(nodes.select("key", "id", "n"), "key").select("sig", "id", "n"))
     weight = write_once(members.groupBy("id").agg(F.count(F.lit(1)).alias("shared")))
-    values = write_once(with_values(docs, nodes.join(weight, "id", "left_semi"), join, doc_id, text))
-    links = write_once(linked(_nearest(members, weight), values, join))
+    texts = write_once(with_texts(docs, nodes.join(weight, "id", "left_semi"), join, doc_id, text))
+    links = write_once(linked(_nearest(members, weight), texts, join))
     left = members
     for turn in range(ROUNDS + 1):
         joined = write_once(connected_components(links)).withColumnRenamed("node", "id")
@@ -352,9 +419,9 @@ def _linked_sets(docs: DataFrame, join: Join, sets: DataFrame, usable: DataFrame
             pairs, left = _with_leader(led.where("component <> leader.component")), led
         else:
             for _ in range(PEELINGS):
-                left = write_once(_open(_peeled(left, values, join), joined))
+                left = write_once(_open(_peeled(left, texts, join), joined))
             pairs = _across(left, join.percent)
-        links = links.unionByName(write_once(linked(pairs, values, join)))
+        links = links.unionByName(write_once(linked(pairs, texts, join)))
     return nodes, links, connected_components(links).withColumnRenamed("node", "id")
 
 

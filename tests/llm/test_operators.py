@@ -371,3 +371,20 @@ def test_signatures_reach_every_band(percent):
         b = a[:-(-percent * len(a) // 100)]
         if len(b) < len(a):
             assert len(np.intersect1d(partenum.signatures(a, percent), partenum.signatures(b, percent)))
+
+
+def test_groups_keep_every_pair():
+    """Merging equal groups and dropping contained ones loses no two keys that share a signature, and makes near copies few."""
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        sigs, keys = rng.integers(0, 40, 300).astype(np.uint64), rng.integers(-12, 12, 300)
+        names, kept = partenum.groups_of(sigs, keys)
+
+        def pairs(by, what):
+            return {(a, b) for s in np.unique(by) for a in what[by == s] for b in what[by == s] if a < b}
+        assert pairs(sigs, keys) == pairs(names, kept)
+        assert len(names) == len(set(zip(names.tolist(), kept.tolist())))
+    many = np.repeat(np.arange(500, dtype=np.uint64), 3)
+    names, kept = partenum.groups_of(many, np.tile([7, 8, 9], 500))
+    assert sorted(kept.tolist()) == [7, 8, 9] and len(set(names.tolist())) == 1
+    assert len(partenum.groups_of(many[:0], np.zeros(0, np.int64))[0]) == 0
