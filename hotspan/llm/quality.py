@@ -51,8 +51,8 @@ def statistics(texts: ta.Texts) -> np.ndarray:
     owner = np.repeat(np.arange(texts.n), np.diff(texts.offsets))
     counts = np.bincount(owner * 8 + kinds, minlength=8 * texts.n).reshape(texts.n, 8).astype(float)
     starts, ends, first = texts.words()
-    prefix = ta.prefix_sums(ta.byte_values()[texts.data])
-    hashes = ta.span_hashes(prefix, starts, ends)
+    values = ta.byte_values()[texts.data]
+    hashes = ta.run_hashes(values, starts, ends)
     n, size = np.diff(first).astype(float), (ends - starts).astype(float)
     words, letters = np.maximum(n, 1), np.maximum(1, counts[:, _UPPER] + counts[:, _LOWER] + counts[:, _HIGH])
     length = np.maximum(1, counts.sum(axis=1))
@@ -73,7 +73,7 @@ def statistics(texts: ta.Texts) -> np.ndarray:
     edge[texts.offsets] = True
     edge[1:][kinds == _LINE] = True
     cuts = np.flatnonzero(edge)
-    lines = ta.span_hashes(prefix, cuts[:-1], cuts[1:]) if len(cuts) > 1 else np.zeros(0, np.uint64)
+    lines = ta.run_hashes(values, cuts[:-1], cuts[1:]) if len(cuts) > 1 else np.zeros(0, np.uint64)
     line_first = np.searchsorted(cuts, texts.offsets)
     n_lines = np.maximum(1, np.diff(line_first))
     share = np.stack([

@@ -12,9 +12,6 @@ import pyarrow.compute as pc
 #: Bytes of text handled at once; a longer text is handled alone.
 PIECE = 1 << 19
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(MULTIPLIER, -1, 1 << 64)
-#: Powers are products of one of so many low powers and a high one, so that only small tables stay in memory.
-LOW = 1 << 12
 
 
 def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -40,47 +37,25 @@ def is_space() -> np.ndarray:
     return table
 
 
-_POWERS: dict[int, np.ndarray] = {}
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each run ``values[start:end]``, independent of where it stands; runs ascend and don't overlap.
 
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """Powers 0 to n - 1 (or more) of a base modulo 2^64, kept for the next call."""
-    if len(_POWERS.get(base, ())) < n:
-        steps = np.full(n, base, np.uint64)
-        steps[0] = 1
-        with np.errstate(over="ignore"):
-            _POWERS[base] = np.multiply.accumulate(steps)
-    return _POWERS[base]
-
-
-def first_powers(n: int) -> np.ndarray:
-    """Powers 0 to n - 1 of the multiplier modulo 2^64."""
-    rows = n // LOW + 1
-    high, low = _powers(pow(MULTIPLIER, LOW, 1 << 64), rows)[:rows], _powers(MULTIPLIER, LOW)
-    with np.errstate(over="ignore"):
-        return (high[:, None] * low[None]).reshape(-1)[:n]
-
-
-def inverse_powers(places: np.ndarray) -> np.ndarray:
-    """The multiplier's inverse to the power of each place, modulo 2^64."""
-    high = _powers(pow(INVERSE, LOW, 1 << 64), int(places.max(initial=0)) // LOW + 1)
-    with np.errstate(over="ignore"):
-        return high[places // LOW] * _powers(INVERSE, LOW)[places % LOW]
-
-
-def prefix_sums(values: np.ndarray) -> np.ndarray:
-    """Prefix hashes modulo 2^64: sums of value times power, with a leading 0."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum(values * first_powers(len(values)), out=out[1:])
-    return out
-
-
-def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each span of the values behind ``prefix``, independent of where it stands, with its length mixed in."""
+    Each value is scrambled together with its place in its run before the sum, so that runs that a plain polynomial
+    modulo 2^64 confuses stay apart.
+    """
+    n = len(values)
+    place = np.arange(n, dtype=np.uint64)
+    place -= np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [n]]))).astype(np.uint64)
+    total = np.zeros(n + 1, np.uint64)
     with np.errstate(over="ignore"):
-        raw = (prefix[end] - prefix[start]) * inverse_powers(start)
-        return mixed(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        place *= np.uint64(MULTIPLIER)
+        place += values
+        shifted = place >> np.uint64(31)
+        place ^= shifted
+        place *= np.uint64(0x94D049BB133111EB)
+        place ^= np.right_shift(place, np.uint64(29), out=shifted)
+        np.cumsum(place, out=total[1:])
+        return mixed(total[ends] - total[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 class Texts:
@@ -102,7 +77,7 @@ class Texts:
     def word_hashes(self) -> tuple[np.ndarray, np.ndarray]:
         """Hash of every word in lower case (A-Z), and how many words come before each text."""
         starts, ends, first = self.words()
-        return span_hashes(prefix_sums(byte_values()[self.data]), starts, ends), first
+        return run_hashes(byte_values()[self.data], starts, ends), first
 
 
 def text_pieces(column: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, Texts]]:

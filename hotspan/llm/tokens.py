@@ -86,7 +86,7 @@ def splits(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of many texts at once. Pieces are known again by a 64-bit hash in an open-addressing table."""
+    """Ids of many texts at once. Pieces are found by a 64-bit hash in an open-addressing table and then compared."""
 
     def __init__(self, path: str | None = None):
         self.tokenizer = tokenizer(path or default_path())
@@ -97,6 +97,8 @@ class Encoder:
         self.keys, self.numbers = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32)
         self.starts, self.lengths = np.zeros(REMEMBERED + 1, np.int64), np.zeros(REMEMBERED + 1, np.int32)
         self.arena, self.used, self.known = np.zeros(2 * REMEMBERED, np.uint16), 0, 0
+        self.letters, self.spelt = np.zeros(8 * REMEMBERED, np.uint16), 0
+        self.letter_starts, self.letter_lengths = np.zeros(REMEMBERED + 1, np.int64), np.zeros(REMEMBERED + 1, np.int64)
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """Number of each key, -1 if unknown."""
@@ -111,8 +113,8 @@ class Encoder:
             open_, slot = open_[go_on], (slot[go_on] + 1) & (self.slots - 1)
         return out
 
-    def _add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
-        """Remember distinct, unknown keys."""
+    def _add(self, keys: np.ndarray, ids: list[list[int]], letters: np.ndarray, sizes: np.ndarray) -> None:
+        """Remember distinct, unknown keys with their pieces: all code points one after another, and how many each has."""
         lengths = np.fromiter(map(len, ids), np.int32, len(ids))
         flat = np.fromiter((i for x in ids for i in x), np.uint16, int(lengths.sum()))
         while self.used + len(flat) > len(self.arena):
@@ -120,7 +122,11 @@ class Encoder:
         numbers = np.arange(self.known, self.known + len(keys))
         self.arena[self.used:self.used + len(flat)] = flat
         self.starts[numbers], self.lengths[numbers] = self.used + np.cumsum(lengths) - lengths, lengths
-        self.used, self.known = self.used + len(flat), self.known + len(keys)
+        while self.spelt + len(letters) > len(self.letters):
+            self.letters = np.concatenate([self.letters, np.zeros(len(self.letters), np.uint16)])
+        self.letters[self.spelt:self.spelt + len(letters)] = letters
+        self.letter_starts[numbers], self.letter_lengths[numbers] = self.spelt + np.cumsum(sizes) - sizes, sizes
+        self.used, self.known, self.spelt = self.used + len(flat), self.known + len(keys), self.spelt + len(letters)
         slot = (keys >> np.uint64(20)).astype(np.int64) & (self.slots - 1)
         todo = np.arange(len(keys))
         while len(todo):
@@ -156,17 +162,21 @@ class Encoder:
             return np.zeros(0, np.uint16), np.zeros(len(offsets), np.int64)
         begins = splits(points, offsets)
         ends = np.append(begins[1:], len(points))
-        keys = ta.span_hashes(ta.prefix_sums(_values()[points]), begins, ends)
+        keys = self._keys(points, begins, ends)
         keys[keys == 0] = 1
-        found = [self._block(decoded, begins[a:a + REMEMBERED], ends[a:a + REMEMBERED], keys[a:a + REMEMBERED])
+        found = [self._block(decoded, points, begins[a:a + REMEMBERED], ends[a:a + REMEMBERED], keys[a:a + REMEMBERED])
                  for a in range(0, len(keys), REMEMBERED)]
         ids, lengths = (np.concatenate(x) for x in zip(*found))
         total = np.concatenate([[0], np.cumsum(lengths)])
         return ids, total[np.searchsorted(begins, offsets)]
 
-    def _block(self, decoded: str, begins: np.ndarray, ends: np.ndarray, keys: np.ndarray):
-        """Ids of at most REMEMBERED pieces, so that all of them can be known at once, and how many each has."""
-        numbers = self._find(keys)
+    @staticmethod
+    def _keys(points: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return ta.run_hashes(_values()[points], begins, ends)
+
+    def _block(self, decoded: str, points: np.ndarray, begins: np.ndarray, ends: np.ndarray, keys: np.ndarray):
+        """Ids of at most REMEMBERED pieces in a row, so that all of them can be known at once, and how many each has."""
+        numbers, sizes = self._find(keys), ends - begins
         missing = np.flatnonzero(numbers < 0)
         if len(missing):
             new, first = np.unique(keys[missing], return_index=True)
@@ -175,11 +185,34 @@ class Encoder:
                 missing = np.arange(len(keys))
                 new, first = np.unique(keys, return_index=True)
             where = missing[first]
-            pieces = [decoded[a:b] for a, b in zip(begins[where].tolist(), ends[where].tolist())]
-            self._add(new, [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
+            self._add(new, self._encoded(decoded, begins[where], ends[where]), points[ta.ragged(begins[where], sizes[where])], sizes[where])
             numbers[missing] = self._find(keys[missing])
-        lengths = self.lengths[numbers].astype(np.int64)
-        return self.arena[ta.ragged(self.starts[numbers], lengths)], lengths
+        starts, lengths = self.starts[numbers], self.lengths[numbers].astype(np.int64)
+        arena, other = self.arena, self._others(points, begins, sizes, numbers)
+        if len(other):  # pieces that share a key with another one
+            ids = self._encoded(decoded, begins[other], ends[other])
+            lengths[other] = [len(x) for x in ids]
+            starts[other] = self.used + np.cumsum(lengths[other]) - lengths[other]
+            arena = np.concatenate([arena[:self.used], np.array([i for x in ids for i in x], np.uint16)])
+        return arena[ta.ragged(starts, lengths)], lengths
+
+    def _encoded(self, decoded: str, begins: np.ndarray, ends: np.ndarray) -> list[list[int]]:
+        pieces = [decoded[a:b] for a, b in zip(begins.tolist(), ends.tolist())]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _others(self, points: np.ndarray, begins: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """Which pieces aren't the remembered ones of their numbers, code point by code point."""
+        same = self.letter_lengths[numbers] == sizes
+        which = np.flatnonzero(same)
+        sizes = sizes[which]
+        if len(which) == len(same):
+            here = points[begins[0]:begins[-1] + sizes[-1]]  # pieces in a row
+        else:
+            here = points[ta.ragged(begins[which], sizes)]
+        differ = here != self.letters[ta.ragged(self.letter_starts[numbers[which]], sizes)]
+        if differ.any():
+            same[np.repeat(which, sizes)[differ]] = False
+        return np.flatnonzero(~same)
 
 
 @cache
