@@ -1,4 +1,4 @@
-"""License scans by diagonal voting: word k-gram hashes joined to template positions, votes summed per diagonal."""
+"""License scans by diagonal voting: word k-gram hashes joined to template places, votes per diagonal, bands aligned in order."""
 
 from __future__ import annotations
 
@@ -40,9 +40,10 @@ PASSAGES = [
     ("cc-by-text", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
 ]
 
-# Diagonals of one template at most this far apart belong to one passage with words put in or left out.
-NEAR = 2
-# A passage counts when this share of its template's k-grams voted within so many template lengths.
+# Diagonals of one template at most this far apart, and at most STRETCH - 1 template lengths, belong to one band: a passage
+# with so many words put in or left out.
+DRIFT = 24
+# A passage counts when this share of its template's k-grams stands in order within so many template lengths.
 COVERAGE, STRETCH = 0.75, 1.5
 # Of a template with fewer k-grams than this, all must vote.
 SHORT = 8
@@ -71,10 +72,10 @@ def templates(spark: SparkSession, phrases: dict[str, str] = PHRASES, passages=P
 
 def license_votes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", patterns: DataFrame | None = None,
                   k: int = K) -> DataFrame:
-    """(row, doc_id, n_words, template, ..., diagonal, votes, first, last): one row per document and diagonal with a vote.
+    """(row, doc_id, n_words, template, ..., diagonal, votes, places): one row per document and diagonal with a vote.
 
     All rolling k-gram hashes of a document are joined to the template positions; equal hashes are confirmed by the
-    words themselves. Every document also carries one entry that matches a blank template, so that documents
+    words themselves. A diagonal holds every template place at most once, so ``places`` is no longer than the template. Every document also carries one entry that matches a blank template, so that documents
     without any vote stay in the result; its template is -1.
     """
     patterns = templates(docs.sparkSession, k=k) if patterns is None else patterns
@@ -93,28 +94,49 @@ def license_votes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     diagonal = (F.col("at") - 1 - F.col("place")).cast("bigint")
     return hits.withColumn("diagonal", diagonal).groupBy(
         "row", "doc_id", "n_words", "template", "label", "base", "grams", "diagonal").agg(
-        F.count(F.lit(1)).alias("votes"), F.min(F.col("at") - 1).cast("bigint").alias("first"), F.max(F.col("at") - 1).cast("bigint").alias("last"))
+        F.count(F.lit(1)).alias("votes"), F.collect_set("place").alias("places"))
 
 
-def license_spans(votes: DataFrame, k: int = K, near: int = NEAR) -> DataFrame:
-    """Merge neighbouring diagonals of a template in a document: (row, template, ..., start, stop, votes, coverage)."""
-    along = Window.partitionBy("row", "template").orderBy("diagonal")
-    new = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > near, F.lit(True)).cast("int")
-    marked = votes.where("template >= 0 and not base").withColumn("passage", F.lit(0) + new)
-    marked = marked.withColumn("passage", F.sum("passage").over(along))
-    merged = marked.groupBy("row", "doc_id", "n_words", "template", "label", "grams", "passage").agg(
-        F.sum("votes").alias("votes"), F.min("first").alias("start"), (F.max("last") + k).alias("stop"))
-    return merged.withColumn("coverage", F.least(F.lit(1.0), F.col("votes") / F.col("grams")))
+def in_order(hits: Column) -> Column:
+    """Length of the longest run of hits (at, down) whose words and template places both go up; ``down`` is minus the place.
+
+    The hits come by ``at`` and ``down``. The state lists, for each length reached, the least place that ends such a run.
+    """
+    def step(ends: Column, hit: Column) -> Column:
+        place = -hit["down"]
+        below = F.size(F.filter(ends, lambda e: e < place))
+        return F.concat(F.slice(ends, F.lit(1), below), F.array(place),
+                        F.slice(ends, below + 2, F.greatest(F.lit(0), F.size(ends) - below - 1)))
+    return F.size(F.aggregate(hits, F.array().cast("array<int>"), step))
+
+
+def license_spans(votes: DataFrame, k: int = K, stretch: float = STRETCH, drift: int = DRIFT) -> DataFrame:
+    """(row, template, ..., start, stop, held, coverage): one row per diagonal, merged with the neighbours after it to a band.
+
+    ``held`` counts the different template places that voted in the band, so words that repeat count once. Where they are
+    half of the template or more, the band is verified: ``coverage`` is then the share of places that stand in the
+    template's order. A band is at most ``stretch`` template lengths long and so is what it collects.
+    """
+    along = Window.partitionBy("row", "template").orderBy("diagonal").rangeBetween(0, drift)
+    bands = votes.where("template >= 0 and not base").withColumn("band", F.collect_list(F.struct("diagonal", "places")).over(along))
+    wide = F.floor((F.col("grams") + k - 1) * F.lit(stretch - 1))
+    def hits_of(part: Column) -> Column:
+        return F.transform(part["places"], lambda p: F.struct((part["diagonal"] + p).alias("at"), (-p).alias("down")))
+    near = F.filter("band", lambda part: part["diagonal"] - F.col("diagonal") <= wide)
+    bands = bands.withColumn("hits", F.array_sort(F.flatten(F.transform(near, hits_of))))
+    bands = bands.withColumn("held", F.size(F.array_distinct(F.transform("hits", lambda h: h["down"]))))
+    agreed = F.when(F.col("held") * 2 >= F.col("grams"), in_order(F.col("hits"))).otherwise(F.col("held"))
+    return bands.select("row", "doc_id", "n_words", "template", "label", "grams", F.get("hits", F.lit(0))["at"].alias("start"),
+                        (F.element_at("hits", -1)["at"] + k).alias("stop"), "held", (agreed / F.col("grams")).alias("coverage"))
 
 
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", coverage: float = COVERAGE,
                   stretch: float = STRETCH, k: int = K) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    A phrase stands where one diagonal collects all of its k-grams. A longer passage is found when merged diagonals
-    collect ``coverage`` of its k-grams (all of them, if it has fewer than ``SHORT``) within ``stretch`` times its
-    length. ``score`` is the largest share of a
-    template's k-grams that a document holds on merged diagonals; a phrase gives 1.
+    A phrase stands where one diagonal collects all of its k-grams. A longer passage is found where a band of neighbouring
+    diagonals, at most ``stretch`` template lengths long, holds ``coverage`` of its k-grams in order (all of them, if it has
+    fewer than ``SHORT``). ``score`` is the largest such share that a document reaches; a phrase gives 1.
 
     A null or empty text has no words: counts 0, labels empty, score 0. Repeated rows and null ids are rows of their
     own, for rows are told apart by their place in the scan. Only the two named columns are read.
@@ -123,11 +145,10 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", c
     exact = votes.where("base and votes = grams").select(
         "row", "doc_id", "n_words", F.col("label"), F.lit(True).alias("base"), F.col("diagonal").alias("start"), F.lit(1.0).alias("score"),
         F.lit(True).alias("holds"))
-    passages = license_spans(votes, k).select(
+    passages = license_spans(votes, k, stretch).select(
         "row", "doc_id", "n_words", F.col("label"), F.lit(False).alias("base"), F.lit(None).cast("bigint").alias("start"),
         F.col("coverage").alias("score"),
-        ((F.col("coverage") >= F.when(F.col("grams") < SHORT, 1.0).otherwise(coverage))
-         & (F.col("stop") - F.col("start") <= stretch * (F.col("grams") + k - 1))).alias("holds"))
+        (F.col("coverage") >= F.when(F.col("grams") < SHORT, 1.0).otherwise(coverage)).alias("holds"))
     all_rows = votes.where("template < 0").select(
         "row", "doc_id", "n_words", F.lit(None).cast("string").alias("label"), F.lit(False).alias("base"),
         F.lit(None).cast("bigint").alias("start"), F.lit(0.0).alias("score"), F.lit(False).alias("holds"))

@@ -222,6 +222,57 @@ def test_licenses(documents):
     assert licenses.scan_licenses(documents([])).count() == 0
 
 
+def increasing(hits):
+    """Longest run of (word, place) pairs that go up in both."""
+    best = {}
+    for at, place in sorted(hits):
+        best[at, place] = 1 + max((n for (a, p), n in best.items() if a < at and p < place), default=0)
+    return max(best.values(), default=0)
+
+
+def plain_licenses(words):
+    """(labels, score) of a document's words by the definition: bands of diagonals, places in order."""
+    phrases = [label for phrase, label in licenses.PHRASES.items()
+               if any(words[i:i + len(phrase.split())] == phrase.split() for i in range(len(words)))]
+    labels, score = set(phrases), 1.0 if phrases else 0.0
+    for label, content in licenses.PASSAGES:
+        line = re.findall(licenses.WORD, content.lower())
+        grams = [tuple(line[i:i + 2]) for i in range(len(line) - 1)]
+        hits = [(i, p) for i in range(len(words) - 1) for p, g in enumerate(grams) if tuple(words[i:i + 2]) == g]
+        reach = min(licenses.DRIFT, int(len(line) * (licenses.STRETCH - 1)))
+        for d in {i - p for i, p in hits}:
+            band = [(i, p) for i, p in hits if 0 <= i - p - d <= reach]
+            held = len({p for _, p in band})
+            share = (increasing(band) if held * 2 >= len(grams) else held) / len(grams)
+            score = max(score, share)
+            if share >= (1.0 if len(grams) < licenses.SHORT else licenses.COVERAGE):
+                labels.add(label)
+    return ",".join(sorted(labels)), score
+
+
+def test_license_bands_against_their_definition(documents):
+    mit, apache = licenses.PASSAGES[0][1], licenses.PASSAGES[1][1]
+    words = mit.split()
+    texts = ["you may " * 15, "the software " * 18, "use copy " * 40, mit, " ".join(words[:20] + ["really"] * 9 + words[20:]),
+             " ".join(words[:20] + ["really"] * 40 + words[20:]), " ".join(words[:30] + words[36:]), " ".join(reversed(words)),
+             " ".join(words[25:] + words[:25]), "the software " * 60 + mit + " you may" * 60, apache + " " + mit, prose(5, 300), "", None]
+    docs = documents([(i, t) for i, t in enumerate(texts)])
+    for r in licenses.scan_licenses(docs).collect():
+        found = re.findall(licenses.WORD, (texts[r.doc_id] or "").lower())
+        labels, score = plain_licenses(found)
+        assert r.labels == labels and r.score == pytest.approx(score), r.doc_id
+        if r.doc_id < 3:
+            assert r.labels == "" and r.score < 0.5
+        if r.doc_id in (3, 4, 6, 9, 10):
+            assert "mit-text" in r.labels.split(","), r.doc_id
+
+
+def test_long_repeats_of_license_words(documents):
+    """A text of 100,000 words of a template ends soon and is no license."""
+    r = licenses.scan_licenses(documents([(1, "the software " * 50000)])).first()
+    assert r.labels == "" and r.score < 0.5 and r.n_words == 100000
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 6) / 7]) for i in range(300)]
