@@ -112,7 +112,8 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     What is taken of a document depends only on its key and on its source's cut, a table with one row per source, so
     the texts are not shuffled. Rows that share the key at the cut are told apart by numbering them.
-    Documents without words are in every whole epoch of their source, and nowhere if there is none.
+    Documents without words are in every whole epoch of their source, and nowhere if there is none. Columns of any name are kept:
+    the documents travel as one struct beside the columns made here.
     """
     plan = write_once(mix(docs, doc_id, text, source, seed, **settings).withColumn(
         "_key", random_key([F.col("doc_id"), F.col("size")], seed)))
@@ -122,18 +123,19 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     left = plan.alias("p").join(cuts.alias("c"), at_cut).groupBy("p.source").agg(F.sum("p.rest").alias("_left"))
     cuts = write_once(cuts.alias("c").join(left.alias("l"), F.col("c.source").eqNullSafe(F.col("l.source")), "left").select(
         F.col("c.source").alias("_source"), "_epochs", "_cut", F.coalesce("_left", F.lit(0)).alias("_left")))
-    marked = docs.withColumn("_size", word_count(F.col(text)))
-    marked = marked.withColumn("_key", random_key([F.col(doc_id), F.col("_size")], seed))
-    marked = marked.join(cuts, F.col(source).eqNullSafe(F.col("_source")), "left")
-    away = marked.where(F.col("_cut").isNull() | (F.col("_key") != F.col("_cut")))
-    away = away.withColumn("_rest", F.when(F.col("_key") < F.col("_cut"), F.col("_size")).otherwise(0).cast("long"))
-    number = F.row_number().over(Window.partitionBy("_source").orderBy(text))
-    near = marked.where(F.col("_key") == F.col("_cut"))
-    near = near.withColumn("_rest", F.greatest(F.lit(0), F.least("_size", F.col("_left") - (number - 1) * F.col("_size"))))
+    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), word_count(F.col(text)).alias("size"),
+                         F.col(doc_id).alias("id"), F.col(source).alias("source"))
+    marked = marked.withColumn("key", random_key([F.col("id"), F.col("size")], seed))
+    marked = marked.join(cuts, F.col("source").eqNullSafe(F.col("_source")), "left")
+    content = F.col("doc").getField(text)
+    away = marked.where(F.col("_cut").isNull() | (F.col("key") != F.col("_cut")))
+    away = away.withColumn("rest", F.when(F.col("key") < F.col("_cut"), F.col("size")).otherwise(0).cast("long"))
+    number = F.row_number().over(Window.partitionBy("_source").orderBy(content))
+    near = marked.where(F.col("key") == F.col("_cut"))
+    near = near.withColumn("rest", F.greatest(F.lit(0), F.least("size", F.col("_left") - (number - 1) * F.col("size"))))
     rows = away.unionByName(near)
-    copies = F.concat(F.array_repeat(F.col("_size"), F.col("_epochs").cast("int")),
-                      F.when(F.col("_rest") > 0, F.array(F.col("_rest"))).otherwise(F.array().cast("array<bigint>")))
-    rows = rows.withColumn("_words", F.explode(copies))
-    whole = F.col("_words") == F.col("_size")
-    kept = F.when(whole, F.col(text)).otherwise(first_words(F.col(text), F.col("_words")))
-    return rows.withColumn(text, kept).select(*docs.columns)
+    copies = F.concat(F.array_repeat(F.col("size"), F.col("_epochs").cast("int")),
+                      F.when(F.col("rest") > 0, F.array(F.col("rest"))).otherwise(F.array().cast("array<bigint>")))
+    rows = rows.withColumn("words", F.explode(copies))
+    kept = F.when(F.col("words") == F.col("size"), content).otherwise(first_words(content, F.col("words")))
+    return rows.select(*(kept.alias(c) if c == text else F.col("doc").getField(c).alias(c) for c in docs.columns))

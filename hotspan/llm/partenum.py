@@ -456,7 +456,7 @@ def one_of_each(docs: DataFrame, join: Join = Join(words=5, percent=80), doc_id:
 
     Rows are told apart by id and set, and ids link nothing: the row with the smallest id of the component stays, one without
     id only if none has one. So one of rows that repeat an id and its text stays, one of copies without id, and of an id with
-    different texts each that resembles nothing with a smaller id. Rows without shingles all stay.
+    different texts each that resembles nothing with a smaller id. Rows without shingles all stay. Columns of any name are kept.
     """
     sets = write_once(document_sets(docs, join, doc_id, text))
     nodes, _, joined = _linked_sets(docs, join, sets, sets.where("n > 0"), doc_id, text)
@@ -469,11 +469,11 @@ def one_of_each(docs: DataFrame, join: Join = Join(words=5, percent=80), doc_id:
     per_id = marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.bool_and(F.coalesce("stays", F.col("n") == 0)).alias("stays"))
     away = write_once(per_id.where("rows > 1 or not stays").select(F.col("doc_id").alias("_id"), "rows"))
     number = F.col(f"`{doc_id}`").cast("bigint")
-    once = docs.where(number.isNotNull()).join(away.select("_id"), number == F.col("_id"), "left_anti")
+    once = docs.where(number.isNotNull()).join(away.select("_id"), number == away["_id"], "left_anti")
     repeated = away.where("rows > 1").select("_id")
     several = []
     if not repeated.isEmpty():
-        several.append(docs.join(repeated, number == F.col("_id"), "left_semi"))
+        several.append(docs.join(repeated, number == repeated["_id"], "left_semi"))
     if not sets.where("doc_id is null").isEmpty():
         several.append(docs.where(number.isNull()))
     for rows in several:

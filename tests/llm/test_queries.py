@@ -1,6 +1,9 @@
 """The registered queries on the smallest given tables, and the pipeline stage by stage."""
 
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from checks.compare import differences, oracle_connection
@@ -37,3 +40,23 @@ def test_pipeline(spark, documents):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR)
     assert last.select("row").distinct().count() == rows[3]
     assert corpus_pipeline.run(spark, SF_DIR).count() > 0
+
+
+CLASHES = ("_id", "_source", "_size", "_key", "_base", "_spans", "_epochs", "_words", "_cut", "_left", "_rest", "key", "size", "rest", "words", "id",
+           "doc", "row", "component", "score", "first", "rows", "n", "check", "hits", "dotted.name")
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Every stage gives the same rows with and without further columns, and keeps these columns' values."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        wide = docs.select("*", *(F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in CLASHES))
+        out = stage(spark, wide, SF_DIR)
+        assert out.columns == wide.columns, name
+        rows = out.collect()
+        assert all(r[c] == f"{c}:{r['doc_id']}" for r in rows for c in CLASHES), name
+        plain = stage(spark, docs, SF_DIR).collect()
+        shown = Counter(tuple(r[c] for c in docs.columns) for r in rows)
+        assert shown == Counter(tuple(r) for r in plain), name
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, wide, SF_DIR).count() == last(spark, docs, SF_DIR).count()
