@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from hotspan.llm import (fingerprints, fit_packing, langid, licenses, mixing, partenum, quality, secrets, textarrays, tier_packing,
                          tokens, topk)
+from hotspan.llm.queries import QUERIES
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
 ODD = ["", None, "  ", "don't I'll we've  'sfoo ''s 's\n\n's x's", "a\n\n b  \n", "漢字 text 漢", "é ñ½²x3 foo_bar  \t\tq ",
@@ -519,3 +520,74 @@ def test_groups_keep_every_pair():
     names, kept = partenum.groups_of(many, np.tile([7, 8, 9], 500))
     assert sorted(kept.tolist()) == [7, 8, 9] and len(set(names.tolist())) == 1
     assert len(partenum.groups_of(many[:0], np.zeros(0, np.int64))[0]) == 0
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    """The documents of the smallest given tables as {doc_id: text}, whose ids are unique."""
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
+    assert len({r.doc_id for r in rows}) == len(rows)
+    return {r.doc_id: r.text or "" for r in rows}
+
+
+def ascii_lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text)
+
+
+def test_query_of_the_jaccard_join(spark, small):
+    out = {r.doc_id: ([r.n_shingles], r.component_id) for r in QUERIES["op2_jaccard_join"][0](spark, SMALL).collect()}
+    assert out == components_by_definition([(i, ascii_lower(t)) for i, t in small.items()], 4, 85)
+
+
+def test_query_of_the_secret_scan(spark, small):
+    rows = QUERIES["op7_secret_scan"][0](spark, SMALL).collect()
+    assert {r.doc_id for r in rows} == set(small) and len(rows) == len(small)
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    for r in rows:
+        t = small[r.doc_id]
+        want = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 8]
+        want += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        want += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        kinds = Counter(k for _, k, _ in want)
+        assert (r.n_assign, r.n_access, r.n_hex) == (kinds[0], kinds[1], kinds[2])
+        spans = [f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(want)]
+        assert r.base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest()
+        assert set(spans) <= set(r.spans.split(","))
+
+
+def test_query_of_the_license_scan(spark, small):
+    rows = QUERIES["op10_license_scan"][0](spark, SMALL).collect()
+    assert {r.doc_id for r in rows} == set(small) and len(rows) == len(small)
+    for r in rows:
+        words = re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(small[r.doc_id]))
+        at = [(i, label) for phrase, label in licenses.PHRASES.items() for i in range(len(words))
+              if words[i:i + len(phrase.split())] == phrase.split()]
+        labels, score = plain_licenses(words)
+        assert (r.n_words, r.n_base) == (len(words), len(at))
+        assert (r.first_word, r.last_word) == (min((i for i, _ in at), default=None), max((i for i, _ in at), default=None))
+        assert r.base_labels == ",".join(sorted({x for _, x in at})) and r.labels == labels
+        assert r.score == pytest.approx(score)
+
+
+def test_query_of_the_fingerprints(spark, small):
+    rows = {r.doc_id: r for r in QUERIES["op9_fingerprints"][0](spark, SMALL).collect()}
+    order = sorted(small, reverse=True)
+    assert set(rows) == set(small)
+    for i, n in zip(order, order[1:] + order[:1]):
+        t, r = small[i], rows[i]
+        edited = t[:len(t) - len(t) // 2] + small[n][:len(t) // 2]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        # likenesses from the kept span hashes as plain sets
+        least = []
+        for other in (t, edited, small[n]):
+            points = np.frombuffer(other.encode("utf-32-le"), np.uint32)
+            least.append(fingerprints.fingerprint(fingerprints.PrefixHashes(points)))
+        assert (r.fingerprint, r.edited_fingerprint) == (least[0][0], least[1][0])
+        for value, (print_, kept) in ((r.near_edited, least[1]), (r.near_next, least[2])):
+            both = sorted(set(least[0][1].tolist()) | set(kept.tolist()))[:fingerprints.KEPT]
+            common = set(least[0][1].tolist()) & set(kept.tolist())
+            want = 1.0 if print_ == least[0][0] else sum(h in common for h in both) / len(both) if both else 0.0
+            assert value == pytest.approx(want)
