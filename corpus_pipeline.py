@@ -11,8 +11,12 @@ from hotspan.storage import write_once
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts, learnt from the labelled ones among them outside the held-out fold."""
-    rows = quality.with_statistics(docs)
+    """Documents that the quality classifier accepts, learnt from the labelled ones among them outside the held-out fold.
+
+    The statistics are written first: made and summed in one stage they would take two Python workers a task, which Spark
+    keeps through the later stages.
+    """
+    rows = write_once(quality.with_statistics(docs))
     model = quality.fit(rows, table(spark, sf_dir, "labels"), ~fold("doc_id", 3, 1))
     return quality.accepted(docs, model)
 

@@ -17,6 +17,8 @@ from hotspan.llm import tokens
 TIERS = (128, 256, 512, 1024)
 STEP_TOKENS = 8192
 GATHERED = 8192
+#: Pieces handed on at once.
+HANDED = 1024
 
 PIECES = ("doc_id bigint, row bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint,"
           " offset bigint, sequence_tokens bigint, step_group bigint, ids binary")
@@ -41,7 +43,7 @@ class TierPacker:
         for at in range(0, whole, self.longest):
             self._close([(document, at, ids[at:at + self.longest])])
         if whole < len(ids):
-            self._wait((document, whole, ids[whole:]))
+            self._wait((document, whole, ids[whole:].copy()))  # a view would keep the ids of all texts beside it
         if self.count >= GATHERED:
             self.pack()
 
@@ -103,8 +105,7 @@ class TierPacker:
         self.sequences += 1
         offset = 0
         for (doc_id, row, n), start, ids in window:
-            raw = ids.tobytes()
-            self.out.append((doc_id, row, start, len(ids), zlib.crc32(raw), n, number, offset, total, step, raw))
+            self.out.append((doc_id, row, start, len(ids), zlib.crc32(ids), n, number, offset, total, step, ids))
             offset += len(ids)
 
     def leave(self) -> list[tuple]:
@@ -150,7 +151,9 @@ def pack_tiers(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tier
 
 def _table(pieces: list[tuple], with_ids: bool) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in PIECES.split(", ")]
-    for at in range(0, len(pieces), 50_000):
-        columns = list(zip(*pieces[at:at + 50_000]))
-        arrays = [pa.array(c, pa.int64()) for c in columns[:-1]] + ([pa.array(columns[-1], pa.binary())] if with_ids else [])
+    for at in range(0, len(pieces), HANDED):
+        columns = list(zip(*pieces[at:at + HANDED]))
+        arrays = [pa.array(c, pa.int64()) for c in columns[:-1]]
+        if with_ids:
+            arrays.append(pa.array([ids.tobytes() for ids in columns[-1]], pa.binary()))
         yield pa.RecordBatch.from_arrays(arrays, names=names[:len(arrays)])

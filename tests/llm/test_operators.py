@@ -347,6 +347,21 @@ def test_tier_packing(documents):
     assert tier_packing.pack_tiers(docs.where("false")).count() == 0
 
 
+def test_tier_packing_holds_little():
+    """What waits doesn't keep the ids of the texts beside it, and pieces are handed on in small batches."""
+    packer = tier_packing.TierPacker(0)
+    for i in range(9000):
+        ids = np.arange(1, 6001, dtype="<u4")  # the ids of a whole batch of texts
+        packer.add((i, i, 300), ids[300:600])
+        if i == 8000:
+            waiting = [p[2] for pieces in packer.waiting.values() for p in pieces]
+            assert len(waiting) == 8001 and sum((w if w.base is None else w.base).nbytes for w in waiting) == 8001 * 1200
+    pieces = packer.leave()
+    batches = list(tier_packing._table(pieces, True))
+    assert sum(b.num_rows for b in batches) == len(pieces) > 8000 and max(b.nbytes for b in batches) < 6 << 20
+    assert [v for b in batches for v in b.column("ids").to_pylist()] == [p[-1].tobytes() for p in pieces]
+
+
 def test_fit_packing(documents):
     texts = [*ODD, *(prose(i, 3 + 37 * i % 900) for i in range(120)), prose(5, 3000)]
     ids = token_ids(texts)

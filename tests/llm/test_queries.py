@@ -42,6 +42,17 @@ def test_pipeline(spark, documents):
     assert corpus_pipeline.run(spark, SF_DIR).count() > 0
 
 
+def test_quality_stage_takes_one_python_worker_a_task(spark, monkeypatch):
+    """No stage of the training makes the statistics and sums them, also where the labels are broadcast."""
+    seen = []
+    fit = corpus_pipeline.quality.fit
+    monkeypatch.setattr(corpus_pipeline.quality, "fit", lambda rows, *a: seen.append(rows) or fit(rows, *a))
+    kept = corpus_pipeline.good_quality(spark, spark.read.parquet(f"{SF_DIR}/documents.parquet"), SF_DIR)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (*seen, kept)]
+    assert len(seen) == 1 and "MapInArrow" not in plans[0]
+    assert plans[1].count("ArrowEvalPython") + plans[1].count("MapInArrow") == 1
+
+
 CLASHES = ("_id", "_source", "_size", "_key", "_base", "_spans", "_epochs", "_words", "_cut", "_left", "_rest", "key", "size", "rest", "words", "id",
            "doc", "row", "component", "score", "first", "rows", "n", "check", "hits", "dotted.name")
 
