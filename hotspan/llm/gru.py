@@ -14,6 +14,8 @@ CLASSES, CLASS_SIZE, HIDDEN = 32, 32, 24
 WORDS = CLASSES * CLASS_SIZE - 1
 #: Documents that are read side by side, and steps between two updates or flushes.
 LANES, WINDOW = 256, 32
+#: The same where texts are only scored; a text's score doesn't depend on them.
+SCORE_LANES, SCORE_WINDOW = 512, 32
 RATE = 0.05
 _UNUSED = -30.0
 
@@ -81,25 +83,28 @@ def windows(tokens: np.ndarray, starts: np.ndarray, sizes: np.ndarray, steps: in
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     """Logistic function, written over its argument."""
-    x *= np.float32(0.5)
-    np.tanh(x, out=x)
-    x *= np.float32(0.5)
-    x += np.float32(0.5)
-    return x
+    np.negative(x, out=x)
+    with np.errstate(over="ignore"):  # an infinite exponential gives 0
+        np.exp(x, out=x)
+    x += np.float32(1)
+    return np.reciprocal(x, out=x)
 
 
 def run_window(net: Network, ids: np.ndarray, state: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """States before each id and the one after the last; a document's end resets its lane. ``keep`` gathers what the way
     back needs."""
-    hidden, inputs, recurrent = state.shape[1], net.parts["inputs"], net.parts["recurrent"]
-    before = np.empty((*ids.shape, hidden), np.float32)
+    hidden, inputs, ahead = state.shape[1], net.parts["inputs"], np.ascontiguousarray(net.parts["recurrent"].T)
+    state = np.ascontiguousarray(state.T)  # one column a lane, so that each gate is one block
+    before = np.empty((len(ids), *state.shape), np.float32)
     for t, row in enumerate(ids):
         before[t] = state
-        x, u = inputs[row], state @ recurrent
-        gates = _sigmoid(x[:, :2 * hidden] + u[:, :2 * hidden])
-        z, r, un = gates[:, :hidden], gates[:, hidden:], u[:, 2 * hidden:]
+        x, u = np.ascontiguousarray(inputs[row].T), ahead @ state
+        gates = x[:2 * hidden]
+        gates += u[:2 * hidden]
+        _sigmoid(gates)
+        z, r, un = gates[:hidden], gates[hidden:], u[2 * hidden:]
         n = r * un
-        n += x[:, 2 * hidden:]
+        n += x[2 * hidden:]
         np.tanh(n, out=n)
         ended = np.flatnonzero(row == END)
         if keep is not None:
@@ -107,57 +112,69 @@ def run_window(net: Network, ids: np.ndarray, state: np.ndarray, keep: list | No
         state = state - n
         state *= z
         state += n
-        state[ended] = 0
-    return before, state
+        state[:, ended] = 0
+    return before.transpose(0, 2, 1), state.T
 
 
 def _log_softmax_at(logits: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Log-softmax of each row at one place; the logits are written over."""
-    logits -= logits.max(1, keepdims=True)
-    own = logits[np.arange(len(places)), places]
-    return own - np.log(np.exp(logits, out=logits).sum(1))
+    """Log-softmax of each column at one place; the logits are written over. Columns let maxima and sums run along the rows."""
+    logits -= logits.max(0)
+    own = logits[places, np.arange(len(places))]
+    return own - np.log(np.exp(logits, out=logits).sum(0))
 
 
 def _softmax_error(logits: np.ndarray, places: np.ndarray, scale: np.float32) -> np.ndarray:
-    """Gradient of the scaled log loss for the logits, written over them."""
-    logits -= logits.max(1, keepdims=True)
+    """Gradient of the scaled log loss for the logits, one column each, written over them."""
+    logits -= logits.max(0)
     np.exp(logits, out=logits)
-    logits *= scale / logits.sum(1, keepdims=True)
-    logits[np.arange(len(places)), places] -= scale
+    logits *= scale / logits.sum(0)
+    logits[places, np.arange(len(places))] -= scale
     return logits
 
 
+def _logits(weights: np.ndarray, bias: np.ndarray, states: np.ndarray) -> np.ndarray:
+    out = weights.T @ states.T
+    out += bias[:, None]
+    return out
+
+
 def _places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Class and place in the class of each id; OTHER is the last class and has no place."""
     rank = np.where(ids == END, 0, ids - 1)
     return np.where(ids == OTHER, CLASSES, rank // CLASS_SIZE), rank % CLASS_SIZE
 
 
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order that sorts keys below 2^16, equal ones as they stood, and where each run of equal keys begins."""
+    order = np.argsort(keys.astype(np.uint16), kind="stable")  # 16 bits: a radix sort
+    ranked = keys[order]
+    return order, np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])[:len(keys)])
+
+
 def _by_class(classes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(classes, kind="stable")
-    ends = np.searchsorted(classes[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        if ends[c] < ends[c + 1]:
-            yield c, order[ends[c]:ends[c + 1]]
+    order, first = _runs(classes)
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(order)]):
+        if (c := int(classes[order[a]])) < CLASSES:
+            yield c, order[a:b]
 
 
 def log_probabilities(net: Network, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Natural log-probability of each id given the state before it: of its class, and within the class."""
     classes, places = _places(ids)
-    out = _log_softmax_at(states @ net.parts["class_w"] + net.parts["class_b"], classes)
+    out = _log_softmax_at(_logits(net.parts["class_w"], net.parts["class_b"], states), classes)
     for c, rows in _by_class(classes):
-        out[rows] += _log_softmax_at(states[rows] @ net.parts["word_w"][c] + net.parts["word_b"][c], places[rows])
+        out[rows] += _log_softmax_at(_logits(net.parts["word_w"][c], net.parts["word_b"][c], states[rows]), places[rows])
     return out
 
 
-def score(net: Network, tokens: np.ndarray, lengths: np.ndarray, steps: int = 64) -> np.ndarray:
+def score(net: Network, tokens: np.ndarray, lengths: np.ndarray, steps: int = SCORE_WINDOW) -> np.ndarray:
     """Natural log-probability of each whole text; text i holds the next ``lengths[i]`` tokens, its end included.
 
     The state goes from window to window, so a text of any length is scored as a whole.
     """
     if len(lengths) == 0:
         return np.zeros(0)
-    order, starts, sizes = in_lanes(lengths)
+    order, starts, sizes = in_lanes(lengths, SCORE_LANES)
     first = np.cumsum(lengths) - lengths
     dealt = tokens[spans(first[order], lengths[order])]
     found, state = np.zeros(len(dealt), np.float32), np.zeros((len(sizes), HIDDEN), np.float32)
@@ -198,50 +215,53 @@ class Trainer:
         if inside.all():
             up = self._output(before.reshape(-1, HIDDEN), ids.ravel()).reshape(before.shape)
         else:
-            up = np.zeros_like(before)
+            up = np.zeros(before.shape, np.float32)
             up[inside] = self._output(before[inside], ids[inside])
+        before, up = before.transpose(0, 2, 1), np.ascontiguousarray(up.transpose(0, 2, 1))
         hidden, recurrent = HIDDEN, net["recurrent"]
-        d_inputs = np.empty((*ids.shape, 3 * hidden), np.float32)
+        d_inputs = np.empty((len(ids), 3 * hidden, ids.shape[1]), np.float32)
         d_recurrent = np.empty_like(d_inputs)
-        down = np.zeros_like(state)
+        down = np.zeros(up.shape[1:], np.float32)
         for t in range(len(ids) - 1, -1, -1):
             z, r, n, un, ended = keep[t]
-            down[ended] = 0
+            down[:, ended] = 0
             by_x, by_u = d_inputs[t], d_recurrent[t]
+            dz, dr, dn = by_x[:hidden], by_x[hidden:2 * hidden], by_x[2 * hidden:]
             passed = down * z
-            dn = down - passed
+            np.subtract(down, passed, out=dn)
             dn *= 1 - n * n
-            dz = passed * (before[t] - n)
+            np.subtract(before[t], n, out=dz)
+            dz *= passed
             dz *= 1 - z
-            dr = dn * un
+            np.multiply(dn, un, out=dr)
             dr *= r - r * r
-            by_x[:, :hidden], by_x[:, hidden:2 * hidden], by_x[:, 2 * hidden:] = dz, dr, dn
-            by_u[:, :2 * hidden] = by_x[:, :2 * hidden]
-            np.multiply(dn, r, out=by_u[:, 2 * hidden:])
-            down = by_u @ recurrent.T
+            by_u[:2 * hidden] = by_x[:2 * hidden]
+            np.multiply(dn, r, out=by_u[2 * hidden:])
+            down = recurrent @ by_u
             down += passed
             down += up[t]
-        self._step("recurrent", ..., before.reshape(-1, hidden).T @ d_recurrent.reshape(-1, 3 * hidden))
+        self._step("recurrent", ..., np.matmul(before, d_recurrent.transpose(0, 2, 1)).sum(0))
         flat = ids.ravel()
-        by_id = np.argsort(flat, kind="stable")
-        rows, first = np.unique(flat[by_id], return_index=True)
-        self._step("inputs", rows, np.add.reduceat(d_inputs.reshape(-1, 3 * hidden)[by_id], first, axis=0))
+        by_id, first = _runs(flat)
+        self._step("inputs", flat[by_id[first]], np.add.reduceat(d_inputs.transpose(0, 2, 1).reshape(-1, 3 * hidden)[by_id], first, axis=0))
         return after
 
     def _output(self, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Update the output layers; gradient for the states."""
         net, scale = self.net.parts, np.float32(1 / len(ids))
         classes, places = _places(ids)
-        wrong = _softmax_error(states @ net["class_w"] + net["class_b"], classes, scale)
-        up = wrong @ net["class_w"].T
-        self._step("class_w", ..., states.T @ wrong)
-        self._step("class_b", ..., wrong.sum(0))
+        wrong = _softmax_error(_logits(net["class_w"], net["class_b"], states), classes, scale)
+        up = wrong.T @ net["class_w"].T
+        self._step("class_w", ..., states.T @ wrong.T)
+        self._step("class_b", ..., wrong.sum(1))
+        by_w, by_b = np.zeros_like(net["word_w"]), np.zeros_like(net["word_b"])  # a zero changes nothing
         for c, rows in _by_class(classes):
             own = states[rows]
-            wrong = _softmax_error(own @ net["word_w"][c] + net["word_b"][c], places[rows], scale)
-            up[rows] += wrong @ net["word_w"][c].T
-            self._step("word_w", c, own.T @ wrong)
-            self._step("word_b", c, wrong.sum(0))
+            wrong = _softmax_error(_logits(net["word_w"][c], net["word_b"][c], own), places[rows], scale)
+            up[rows] += wrong.T @ net["word_w"][c].T
+            by_w[c], by_b[c] = own.T @ wrong.T, wrong.sum(1)
+        self._step("word_w", ..., by_w)
+        self._step("word_b", ..., by_b)
         return up
 
     def _step(self, name: str, where, gradient: np.ndarray) -> None:

@@ -13,16 +13,18 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hotspan.llm import gru
+from hotspan.llm import textarrays as ta
 from hotspan.storage import write_once
 
 #: Words sent to every task, and the longest of them in bytes; others are joined.
@@ -114,24 +116,28 @@ def encode(docs: DataFrame, training: Column, counts: Counts, keep: list[str], t
         ids = ids.astype("<u2")
         missing_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                out = {n: [] for n in ("row", "round", "n_tokens", "ids", "n_known", "log_known", "log_other", "n_other", "missing")}
-                for t in part.column(part.num_columns - 1):
-                    own = words_of(t.as_py())
-                    found = np.fromiter(map(place.get, own, repeat(absent)), np.int64, len(own))
-                    lost = Counter(own[i] for i in np.flatnonzero(found == absent).tolist())
-                    tokens, known = ids[found], logs[found]
-                    out["row"].append(row)
-                    out["round"].append(int(_mixed(row) % rounds))
-                    out["n_tokens"].append(len(own) + 1)
-                    out["ids"].append(tokens.tobytes() + b"\0\0")
-                    out["n_known"].append(int((found < absent).sum()))
-                    out["log_known"].append(float(known.sum()))
-                    out["log_other"].append(float(known[tokens == gru.OTHER].sum()))
-                    out["n_other"].append(int((tokens == gru.OTHER).sum()))
-                    out["missing"].append([{"word": w, "n": n} for w, n in lost.items()])
-                    row += 1
+            for part in _parts(batch, batch.num_columns - 1):
+                texts = [words_of(t.as_py()) for t in part.column(part.num_columns - 1)]
+                sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+                flat = list(chain.from_iterable(texts))
+                found = np.fromiter(map(place.get, flat, repeat(absent)), np.int64, len(flat))
+                tokens, known, ends = ids[found], logs[found], np.cumsum(sizes)
+                other = tokens == gru.OTHER
+                lost, at_text = [Counter() for _ in texts], np.repeat(np.arange(len(texts)), sizes)
+                away = np.flatnonzero(found == absent)
+                for i, k in zip(away.tolist(), at_text[away].tolist()):
+                    lost[k][flat[i]] += 1
+
+                def per_text(values):
+                    return np.bincount(at_text, values, len(texts))
+
+                rows = range(row, row + len(texts))
+                row += len(texts)
+                out = {"row": rows, "round": [int(_mixed(r) % rounds) for r in rows], "n_tokens": sizes + 1,
+                       "ids": [tokens[b - n:b].tobytes() + b"\0\0" for b, n in zip(ends.tolist(), sizes.tolist())],
+                       "n_known": per_text(found < absent).astype(np.int64), "log_known": per_text(known),
+                       "log_other": per_text(np.where(other, known, 0)), "n_other": per_text(other).astype(np.int64),
+                       "missing": [[{"word": w, "n": n} for w, n in x.items()] for x in lost]}
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), missing_type)
                 made = [pa.array(v, t) for v, t in zip(out.values(), types)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], [*part.schema.names[:-1], *out])
@@ -139,6 +145,16 @@ def encode(docs: DataFrame, training: Column, counts: Counts, keep: list[str], t
     return write_once(columns.mapInArrow(encoded, schema))
 
 
+def _parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch whose texts are encoded together: at most 512, and of bounded size unless a single text is longer."""
+    filled, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while at < batch.num_rows:
+        before = filled[at - 1] if at else 0
+        stop = max(at + 1, min(at + 512, int(np.searchsorted(filled, before + ta.PIECE, "right"))))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def _mixed(row: int) -> int:
     return (row * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 40
 

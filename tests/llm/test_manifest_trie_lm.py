@@ -207,6 +207,29 @@ def test_the_network_is_a_distribution_and_its_gradients_are_right(monkeypatch):
         assert gradient[index] == pytest.approx((change[0] - change[1]) / 2e-2, rel=0.03, abs=2e-5), name
 
 
+def test_an_update_takes_one_step_an_array(monkeypatch):
+    """The words' layers are updated once a window, by the gradients of every class's own softmax."""
+    rng = np.random.default_rng(5)
+    net = gru.Network.fresh(np.arange(2000, 2000 - gru.WORDS - 2, -1.0).clip(1))
+    states = rng.standard_normal((40, gru.HIDDEN)).astype(np.float32)
+    ids, want = rng.integers(0, 90, 40), {n: np.zeros(s) for n, s in gru.Network.shapes().items()}
+    for x, i in zip(states.astype(float), ids):
+        c, k = (gru.CLASSES, 0) if i == gru.OTHER else divmod(max(int(i) - 1, 0), gru.CLASS_SIZE)
+        for w, b, at, by_w, by_b in [(net.parts["class_w"], net.parts["class_b"], c, want["class_w"], want["class_b"])] + (
+                [] if i == gru.OTHER else [(net.parts["word_w"][c], net.parts["word_b"][c], k, want["word_w"][c], want["word_b"][c])]):
+            p = np.exp(x @ w + b)
+            p /= p.sum()
+            p[at] -= 1
+            by_w += np.outer(x, p) / 40
+            by_b += p / 40
+    steps = []
+    monkeypatch.setattr(gru.Trainer, "_step", lambda self, name, where, g: steps.append((name, where, g)))
+    gru.Trainer(net, net)._output(states, ids)
+    assert sorted(n for n, _, _ in steps) == ["class_b", "class_w", "word_b", "word_w"] and all(w is ... for _, w, _ in steps)
+    for name, _, g in steps:
+        assert np.allclose(g, want[name], atol=1e-5), name
+
+
 def test_query_scores_better_than_counts(spark):
     out = op13_lm_scores(spark, "/root/testdata/sf0.01").where("held_out").agg(
         F.sum("score"), F.sum("base_score"), F.count("*")).first()
