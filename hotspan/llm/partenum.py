@@ -64,6 +64,22 @@ def set_key(values: np.ndarray, salt: int) -> int:
         return int(ta.mixed(ta.mixed(values, salt).sum(dtype=np.uint64, keepdims=True))[0].astype(np.int64))
 
 
+def sketch(values: np.ndarray) -> bytes:
+    """How many values lie in each of 2^m equal ranges of the hashes, one byte a count and about eight values a range.
+
+    Empty if a count is too large for its byte; then nothing is known.
+    """
+    bits = max(4, len(values).bit_length() - 3)
+    counts = np.bincount((values >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def most_common(a: bytes, b: bytes) -> int:
+    """An upper bound on the number of values that the sets of two sketches have in common."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    return int(np.minimum(x, y.reshape(len(x), -1).sum(axis=1, dtype=np.int64)).sum())
+
+
 @dataclass(frozen=True)
 class Level:
     """Signatures for pairs whose smaller set lies in one size band: (low, high]; the larger may have ``reach`` values.
@@ -261,7 +277,7 @@ def sets_of(column: pa.Array, words: int) -> list[np.ndarray]:
 
 
 def with_texts(docs: DataFrame, wanted: DataFrame, join: Join, doc_id: str, text: str) -> DataFrame:
-    """(id, first, n, text): a text for each of the nodes ``wanted`` (n, key, check, id, first, rows), from a row of ``first``.
+    """(id, first, n, text, sketch): a text for each of the nodes ``wanted`` (n, key, check, id, first, rows), from a row of ``first``.
 
     A text takes less room than its set of hashes. A node whose ``first`` has one such row is found by that id alone and its text is not
     shuffled by set; only nodes of repeated or missing ids are.
@@ -271,33 +287,53 @@ def with_texts(docs: DataFrame, wanted: DataFrame, join: Join, doc_id: str, text
             sets = sets_of(batch.column(0), join.words)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s, 5) for s in sets], pa.int64()),
-                 pa.array([set_key(s, 6) for s in sets], pa.int64()), batch.column(0)], names=["n", "key", "check", "text"])
+                 pa.array([set_key(s, 6) for s in sets], pa.int64()), batch.column(0),
+                 pa.array([sketch(s) for s in sets], pa.binary())], names=["n", "key", "check", "text", "sketch"])
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = sets_of(batch.column(5), join.words)
             wants = zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))
             same = [i for i, (s, w) in enumerate(zip(sets, wants)) if (len(s), set_key(s, 5), set_key(s, 6)) == w]
-            yield batch.select([0, 1, 2, 5]).take(pa.array(same, pa.int64()))
+            yield batch.select([0, 1, 2, 5]).take(pa.array(same, pa.int64())).append_column(
+                "sketch", pa.array([sketch(sets[i]) for i in same], pa.binary()))
 
     every = _rows(docs, doc_id, text)
     single = wanted.where("rows = 1").select("id", "first", "n", "key", "check")
     found = every.join(single, every["doc_id"] == single["first"]).select("id", "first", "n", "key", "check", "text").mapInArrow(
-        own, "id bigint, first bigint, n bigint, text string")
+        own, "id bigint, first bigint, n bigint, text string, sketch binary")
     others = wanted.where("rows <> 1")
     if others.isEmpty():
         return found
     rows = every.join(others.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi").unionByName(every.where("doc_id is null"))
-    sets = rows.select("text").mapInArrow(keyed, "n bigint, key bigint, check bigint, text string").groupBy(
-        "n", "key", "check").agg(F.min("text").alias("text"))
-    return found.unionByName(sets.join(others, ["n", "key", "check"]).select("id", "first", "n", "text"))
+    sets = rows.select("text").mapInArrow(keyed, "n bigint, key bigint, check bigint, text string, sketch binary").groupBy(
+        "n", "key", "check").agg(F.min("text").alias("text"), F.min("sketch").alias("sketch"))
+    return found.unionByName(sets.join(others, ["n", "key", "check"]).select("id", "first", "n", "text", "sketch"))
+
+
+def possible(pairs: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
+    """Those of the pairs (u, v, un, vn) whose sets could link, as far as their sketches tell; ``un`` and ``vn`` are sizes.
+
+    A sketch has a byte for about eight words, and its bound is never too low, so no link is lost and few texts need to be sent.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i, (un, vn, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(2, 6)))):
+                common = min(un, vn, most_common(a, b)) if a and b else min(un, vn)
+                if join.needs(common, un + vn - common):
+                    keep.append(i)
+            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+
+    a, b = (texts.select(F.col("id").alias(i), F.col("sketch").alias(f"{i}sketch")) for i in "uv")
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "un", "vn", "usketch", "vsketch").mapInArrow(run, "u bigint, v bigint")
 
 
 def linked(pairs: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
     """The pairs (u, v) of nodes whose sets link, with the first document of each (``ufirst``, ``vfirst``).
 
-    Both sets are made from their texts and compared value by value. ``un`` and ``vn`` are their sizes. The pairs are written first, so that a
-    small table of them goes to the texts instead of all texts to the pairs.
+    ``un`` and ``vn`` are the sizes. Sets whose sketches leave it open are made from their texts and compared value by value. The pairs are
+    written first, so that a small table of them goes to the sketches and the texts instead of all texts to the pairs.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,8 +348,8 @@ def linked(pairs: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
             yield batch.select([0, 1, 2, 3]).take(pa.array(found, pa.int64()))
 
     a, b = (texts.select(F.col("id").alias(i), F.col("first").alias(f"{i}first"), F.col("text").alias(v)) for i, v in (("u", "a"), ("v", "b")))
-    likely = pairs.where(100 * F.least("un", "vn") >= join.percent * F.greatest("un", "vn")).select("u", "v").distinct()
-    near = write_once(likely)
+    likely = pairs.where(100 * F.least("un", "vn") >= join.percent * F.greatest("un", "vn")).select("u", "v", "un", "vn").distinct()
+    near = write_once(possible(write_once(likely), texts, join))
     b = b.join(near.select("v").distinct(), "v", "left_semi")
     return near.join(a, "u").join(b, "v").select("u", "v", "ufirst", "vfirst", "a", "b").mapInArrow(
         run, "u bigint, v bigint, ufirst bigint, vfirst bigint").distinct()

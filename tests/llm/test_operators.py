@@ -520,6 +520,41 @@ def test_signatures_reach_every_band(percent):
             assert len(np.intersect1d(partenum.signatures(a, percent), partenum.signatures(b, percent)))
 
 
+def test_sketches_never_miss():
+    """A sketch's bound is never below the values in common, for sets of any two sizes; unrelated sets are told apart."""
+    rng = np.random.default_rng(8)
+    for trial in range(400):
+        n = int(rng.integers(1, 40)) if trial % 2 else int(rng.integers(40, 3000))
+        a = np.unique(rng.integers(0, 2 ** 63, n).astype(np.uint64) * np.uint64(2))
+        b = np.unique(np.concatenate([rng.choice(a, int(rng.integers(0, len(a) + 1)), replace=False),
+                                      rng.integers(0, 2 ** 63, int(rng.integers(1, 2 * n + 1))).astype(np.uint64)]))
+        common = len(np.intersect1d(a, b))
+        bound = partenum.most_common(partenum.sketch(a), partenum.sketch(b))
+        assert common <= bound <= min(len(a), len(b))
+        assert partenum.most_common(partenum.sketch(a), partenum.sketch(a)) == len(a)
+    assert partenum.sketch(np.arange(5000, dtype=np.uint64)) == b""  # all in one range: nothing is known
+    a, b = (rng.integers(0, 2 ** 63, 700).astype(np.uint64) * np.uint64(2) for _ in range(2))
+    bound = partenum.most_common(partenum.sketch(a), partenum.sketch(b))
+    assert not partenum.Join(5, 80).needs(bound, 1400 - bound)
+
+
+def test_texts_are_sent_only_where_sketches_leave_a_link_open(documents, monkeypatch):
+    """Documents of a shared half meet in many buckets but aren't sent to each other; near copies among them are still linked."""
+    half = prose(90, 200)
+    rows = [(i, f"{half} {prose(100 + i, 200)}") for i in range(60)]
+    rows += [(100 + i, f"{rows[i][1]} end{i}") for i in range(5)]
+    seen, inner = [], partenum.possible
+
+    def spied(pairs, texts, join):
+        left = inner(pairs, texts, join)
+        seen.append((pairs.count(), left.count()))
+        return left
+    monkeypatch.setattr(partenum, "possible", spied)
+    out = partenum.components(documents(rows), partenum.Join(5, 80)).collect()
+    assert {(r.doc_id, r.component_id) for r in out} == {(i, c) for i, (_, c) in components_by_definition(rows, 5, 80).items()}
+    assert sum(before for before, _ in seen) > 60 and 5 <= sum(after for _, after in seen) <= 10
+
+
 def test_groups_keep_every_pair():
     """Merging equal groups and dropping contained ones loses no two keys that share a signature, and makes near copies few."""
     rng = np.random.default_rng(5)
