@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,20 @@ from hotspan.llm import mixing, partenum, quality, secrets, tier_packing
 from hotspan.llm.queries import fold, table
 from hotspan.storage import write_once
 
+#: The setting for the bytes that Spark hands to a Python worker at once, and the most that the stages need.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in batches of a few MB, in this session; a smaller bound that is set already stays.
+
+    The executor and its Python workers hold a batch each and keep that memory through all later stages. A stage runs when its
+    table is written, so the setting can't be put back before. A longer text is a batch of its own.
+    """
+    number, unit = re.fullmatch(r"(\d+)([kmgtp]?)b?", spark.conf.get(BATCH).strip().lower()).groups()
+    if int(number) << 10 * " kmgtp".index(unit or " ") > BATCH_BYTES:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts, learnt from the labelled ones among them outside the held-out fold.
@@ -16,6 +32,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     The statistics are written first: made and summed in one stage they would take two Python workers a task, which Spark
     keeps through the later stages.
     """
+    small_batches(spark)
     rows = write_once(quality.with_statistics(docs))
     model = quality.fit(rows, table(spark, sf_dir, "labels"), ~fold("doc_id", 3, 1))
     return quality.accepted(docs, model)
@@ -23,6 +40,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose sets of five-word shingles are linked by a Jaccard similarity of 0.8."""
+    small_batches(spark)
     return partenum.one_of_each(docs, partenum.Join(words=5, percent=80))
 
 
@@ -44,6 +62,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids in sequences of up to 1024."""
+    small_batches(spark)
     return tier_packing.pack_tiers(docs, with_ids=True)
 
 

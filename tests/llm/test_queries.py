@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +54,30 @@ def test_quality_stage_takes_one_python_worker_a_task(spark, monkeypatch):
     assert plans[1].count("ArrowEvalPython") + plans[1].count("MapInArrow") == 1
 
 
+def test_stages_hand_small_batches_to_python(spark):
+    """A batch of texts has a few MB when a stage with Python has returned, and less where the user has set less."""
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["bytes"])
+
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    texts = spark.range(0, 12, 1, 1).select(F.repeat(F.lit("x"), 1_000_000).alias("text"))
+    before = spark.conf.get(corpus_pipeline.BATCH)
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            if name in ("quality", "near_duplicates", "pack"):
+                spark.conf.set(corpus_pipeline.BATCH, "64m")
+                stage(spark, docs, SF_DIR)
+                found = [r.bytes for r in texts.mapInArrow(sizes, "bytes bigint").collect()]
+                assert max(found) < corpus_pipeline.BATCH_BYTES + 1_100_000 and sum(found) > 12_000_000, name
+        for text, then in (("1m", "1m"), ("4096k", "4096k"), ("5000kb", str(4 << 20)), ("1g", str(4 << 20)), ("300", "300")):
+            spark.conf.set(corpus_pipeline.BATCH, text)
+            corpus_pipeline.small_batches(spark)
+            assert spark.conf.get(corpus_pipeline.BATCH) == then
+    finally:
+        spark.conf.set(corpus_pipeline.BATCH, before)
+
+
 CLASHES = ("_id", "_source", "_size", "_key", "_base", "_spans", "_epochs", "_words", "_cut", "_left", "_rest", "key", "size", "rest", "words", "id",
            "doc", "row", "component", "score", "first", "rows", "n", "check", "hits", "dotted.name")
 
