@@ -25,6 +25,8 @@ MEET = 1 << 20
 ROUNDS = 2
 #: Times that sets without enough shared values drop out before that; every time makes more values unshared.
 PEELINGS = 2
+#: Least signatures of a set that its rows carry along, by which most pairs that meet in several buckets are made in one only.
+LEAST = 16
 
 
 @dataclass(frozen=True)
@@ -414,19 +416,27 @@ def _peeled(members: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
     return kept.select("sig", "id", "n", "shared")
 
 
+def _least_signatures(members: DataFrame) -> DataFrame:
+    """(id, sigs): the least signatures of every set, in ascending order."""
+    return members.groupBy("id").agg(F.slice(F.sort_array(F.collect_list("sig")), 1, LEAST).alias("sigs"))
+
+
 def _across(members: DataFrame, percent: int) -> DataFrame:
     """Pairs of members of one bucket that lie in different components and share enough values with others to link.
 
-    Near copies meet in many buckets; a pair is made only in the one with the least signature that both have.
+    Near copies meet in many buckets; a pair is made only in the one with the least signature that is among the least of
+    both, and in every bucket of both if there is none. So some pairs come more than once, but a row has a bounded size: with all
+    signatures of its set the rows would grow with the square of a text's length. Spark guesses the size of both sides from the
+    members' file and would send them through the driver, which the hints rule out.
     """
-    listed = members.groupBy("id").agg(F.collect_list("sig").alias("sigs"))
+    listed = _least_signatures(members).hint("merge")
     a, b = (members.join(listed, "id").select(
         "sig", F.col("id").alias(i), F.col("n").alias(f"{i}n"), F.col("shared").alias(f"{i}s"),
         F.col("component").alias(f"{i}c"), F.col("sigs").alias(f"{i}sigs")) for i in "uv")
     common = F.least("us", "vs", "un", "vn")
     likely = (F.col("u") < F.col("v")) & (F.col("uc") != F.col("vc")) & could_link(common, F.col("un"), F.col("vn"), percent) & (
-        a["sig"] == F.array_min(F.array_intersect("usigs", "vsigs")))
-    return a.join(b, (a["sig"] == b["sig"]) & likely).select("u", "v", "un", "vn")
+        a["sig"] == F.coalesce(F.array_min(F.array_intersect("usigs", "vsigs")), a["sig"]))
+    return a.join(b.hint("merge"), (a["sig"] == b["sig"]) & likely).select("u", "v", "un", "vn")
 
 
 def _linked_sets(docs: DataFrame, join: Join, sets: DataFrame, usable: DataFrame, doc_id: str,

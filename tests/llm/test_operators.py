@@ -555,6 +555,50 @@ def test_texts_are_sent_only_where_sketches_leave_a_link_open(documents, monkeyp
     assert sum(before for before, _ in seen) > 60 and 5 <= sum(after for _, after in seen) <= 10
 
 
+def test_pairs_across_components_carry_few_signatures(spark):
+    """Sets with many signatures in common are paired by rows of bounded size, and no side goes through the driver."""
+    rng, rows = random.Random(3), []
+    size = {i: 100 + i % 7 for i in range(24)} | {100: 100, 101: 100, 102: 400}
+    component = {i: i // 2 for i in range(24)} | {100: 100, 101: 101, 102: 102}
+    for sig in range(1500):
+        rows += [(sig * 1_000_003, i) for i in rng.sample(range(24), 10)]
+    for i in (100, 101, 102):  # what these have in common isn't among their least signatures
+        rows += [(-1000 * i - k, i) for k in range(50)] + [(10 ** 12 + k, i) for k in range(3)]
+    members = partenum.write_once(spark.createDataFrame([(sig, i, size[i], size[i] - i % 3, component[i]) for sig, i in rows],
+                                                        "sig long, id long, n long, shared long, component long"))
+    pairs = partenum._across(members, 85)
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert max(len(r.sigs) for r in partenum._least_signatures(members).collect()) <= 16
+
+    def enough(u, v):
+        common = min(size[u] - u % 3, size[v] - v % 3)
+        return 100 * common >= 85 * (size[u] + size[v] - common)
+    met = {(u, v) for _, bucket in _by_first(rows) for u in bucket for v in bucket if u < v}
+    want = {(u, v, size[u], size[v]) for u, v in met if component[u] != component[v] and enough(u, v)}
+    got = [tuple(r) for r in pairs.collect()]
+    assert set(got) == want and (100, 101, 100, 100) in want and len(want) > 200
+    assert len(got) <= len(want) + 2
+
+
+def _by_first(rows):
+    groups = {}
+    for k, v in rows:
+        groups.setdefault(k, []).append(v)
+    return groups.items()
+
+
+def test_jaccard_join_of_long_versions(documents):
+    """Versions of one text that meet in many buckets without a link, and two that link."""
+    rng = random.Random(8)
+    one, other = ([prose(seed * 1000 + k, 10) for k in range(200)] for seed in (7, 8))
+    rows = [(i, " ".join(b if rng.random() < 0.06 else a for a, b in zip(one, other))) for i in range(14)]
+    rows.append((20, rows[3][1] + " end"))
+    out = partenum.components(documents(rows), partenum.Join(4, 85)).collect()
+    want = components_by_definition(rows, 4, 85)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in out} == {(i, n[0], c) for i, (n, c) in want.items()}
+    assert want[20][1] == want[3][1] and len({c for _, c in want.values()}) > 1
+
+
 def test_groups_keep_every_pair():
     """Merging equal groups and dropping contained ones loses no two keys that share a signature, and makes near copies few."""
     rng = np.random.default_rng(5)
